@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_suffix_array_decontamination
 from .jaccard_join import op9_ngram_jaccard_join
 
 QUERIES = {
+    "op1_suffix_array_decontamination": op1_suffix_array_decontamination,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 

@@ -41,3 +41,42 @@ def components(docs, percent=80, k=5):
                         x, y = sorted((find(a), find(b)))
                         root[y] = x
     return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def alnum(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+
+
+def contaminated(docs, items, k=10):
+    """{doc_id: (n_words, n_hit, sorted item ids as strings)}"""
+    grams = {}
+    for i, t in items:
+        w = alnum(t)
+        for j in range(max(1, len(w) - k + 1) if w else 0):
+            grams.setdefault(tuple(w[j : j + k]), set()).add(str(i))
+    out = {}
+    sizes = {len(g) for g in grams}
+    for d, t in docs:
+        w, hit, found = alnum(t), set(), set()
+        for n in sizes:
+            for j in range(len(w) - n + 1):
+                if g := grams.get(tuple(w[j : j + n])):
+                    hit |= set(range(j, j + n))
+                    found |= g
+        out[d] = (len(w), len(hit), sorted(found))
+    return out
+
+
+def longest(docs, items, k=10):
+    """{(item_id, word): longest match of at least the window}"""
+    texts, out = [alnum(t) for _, t in docs], {}
+    for i, t in items:
+        w = alnum(t)
+        for j in range(len(w)):
+            least = min(k, len(w))
+            if j + least > len(w):
+                continue
+            n = max((next((m for m in range(len(w) - j + 1) if w[j : j + m + 1] != d[p : p + m + 1] or j + m == len(w)), 0) for d in texts for p in range(len(d))), default=0)
+            if n >= least:
+                out[(str(i), j)] = n
+    return out
