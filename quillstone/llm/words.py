@@ -70,6 +70,17 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, start, end, hashes, first):
         self.data, self.offsets, self.start, self.end, self.hash, self.first = data, offsets, start, end, hashes, first
 
+    def prefix(self, n: int) -> np.ndarray:
+        """Hash of the first n bytes of each word (of all, if fewer)."""
+        out = np.full(len(self.start), n, np.uint64)
+        if len(out):
+            with np.errstate(over="ignore"):
+                for j in range(n):
+                    at = self.start + j
+                    byte = np.where(at < self.end, self.data[np.minimum(at, len(self.data) - 1)], 0).astype(np.uint64)
+                    out = out * _P + byte
+        return mix(out)
+
     @property
     def count(self) -> np.ndarray:
         return np.diff(self.first)
