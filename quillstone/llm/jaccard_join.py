@@ -7,8 +7,9 @@ of copies of any size costs one) and a column for each shingle. Columns are deal
    far as counts: how many of a row's entries there meet an entry of another row. A link of Jaccard t
    needs an overlap of t times the larger set, so a row with more than (1 - t) n unmatched entries is
    discarded, exactly. Mostly unique texts go here.
-2. For the rows left, the product is taken over the (1 - t) n + 1 lowest columns of each row: two
-   linked rows share one of them. Each column first meets only its most shared row of a like size
+2. The rows left are multiplied out over all columns and discarded by the same bound. For what still
+   remains, pairs come from the (1 - t) n + 1 rarest columns of each row: two linked rows share one of
+   them, and from their first common column on each has as many entries left as they need. Each column first meets only its most shared row of a like size
    (a star instead of all pairs); overlaps are counted on the whole sets.
 3. Rows that the stars joined need no more pairs among themselves: what is left are pairs of one
    column whose rows are in different components, in bounds. They are counted as well, so no link is
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +58,8 @@ def _row_scan(k: int, lower: bool):
     return run
 
 
-def _incidence(k: int, lower: bool, bits: int):
-    """Rows (block, payload): a task's entries of one block, each row's set once a task."""
+def _packer(bits: int):
+    """Entries to rows (block, payload)."""
 
     def pack(parts):
         h = np.concatenate([p[0] for p in parts])
@@ -74,6 +76,13 @@ def _incidence(k: int, lower: bool, bits: int):
             out.append(np.array([len(sigs), b - a], np.uint32).tobytes() + sigs.tobytes() + low.tobytes() + at.tobytes())
         return pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), pa.array(out, pa.binary())], ["block", "payload"])
 
+    return pack
+
+
+def _incidence(k: int, lower: bool, bits: int):
+    """A task's entries in the first blocks, each distinct set's once a task."""
+    pack = _packer(bits)
+
     def run(batches):
         parts, held, seen = [], 0, np.zeros(0, np.uint64)
         for b in W.chunks(batches, "text"):
@@ -95,8 +104,8 @@ def _incidence(k: int, lower: bool, bits: int):
     return run
 
 
-def _product(batches):
-    """Of the blocks of a partition: how many entries of each row meet another row."""
+def _columns(batches):
+    """Of the blocks of a partition: the entries (column, row) that meet another row, by column and row, and how many rows each column has."""
     h, row = [], []
     for b in batches:
         for block, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -109,7 +118,7 @@ def _product(batches):
             h.append(wide.reshape(-1).view(np.uint64) | np.uint64(block % 65536) << np.uint64(48))
             row.append(sigs[np.frombuffer(raw[8 + 8 * n + 6 * m :].tobytes(), kind)])
     if not h:
-        return
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h, row = np.concatenate(h), np.concatenate(row)
     order = np.argsort(h, kind="stable")
     h, row = h[order], row[order]
@@ -122,27 +131,54 @@ def _product(batches):
     h, row = h[order], row[order]
     again = np.concatenate([[False], (h[1:] == h[:-1]) & (row[1:] == row[:-1])])  # one row from two tasks
     h, row = h[~again], row[~again]
-    same = h[1:] == h[:-1]
-    meets = np.zeros(len(h), bool)
-    meets[1:] |= same
-    meets[:-1] |= same
-    sigs, counts = np.unique(row[meets], return_counts=True)
+    column = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+    size = np.diff(np.concatenate([np.flatnonzero(column), [len(h)]]))
+    size = np.repeat(size, size)
+    return h[size > 1], row[size > 1], size[size > 1]
+
+
+def _product(batches):
+    """How many entries of each row meet another row."""
+    _, row, _ = _columns(batches)
+    sigs, counts = np.unique(row, return_counts=True)
     yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(counts.astype(np.int64))], ["sig", "shared"])
 
 
+def _meeting(batches):
+    """The entries of each row that meet another row, with the sizes of their columns."""
+    h, row, size = _columns(batches)
+    order = np.argsort(row, kind="stable")
+    h, row, size = h[order], row[order], size[order]
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[: len(row)])
+    each = pa.StructArray.from_arrays([pa.array(size), pa.array(h.view(np.int64))], ["df", "h"])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(row)]]).astype(np.int32)), each)
+    yield pa.RecordBatch.from_arrays([pa.array(row[first].view(np.int64)), lists], ["id", "c"])
+
+
 def _whole_rows(k: int, lower: bool):
     def run(batches):
         for b in W.chunks(batches, "text"):
             g, first = W.shingle_sets(W.split(b.column(1), lower=lower), k)
-            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(g.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lists], ["id", "s", "g"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(g.view(np.int64)))], ["id", "g"])
 
     return run
 
 
-def _in_bounds(n1, s1, n2, s2, percent: int):
-    """Whether sets of n1 and n2, of which at most s1 and s2 entries can meet others, may still link."""
-    most = F.least(s1, s2)
+def _vector_incidence(bits: int):
+    """All entries of whole rows (id, g)."""
+    pack = _packer(bits)
+
+    def run(batches):
+        for b in batches:
+            g = b.column(1)
+            yield pack([(g.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), pc.list_value_length(g).to_numpy(zero_copy_only=False)))])
+
+    return run
+
+
+def _in_bounds(n1, left1, n2, left2, percent: int):
+    """Whether sets of n1 and n2 may link if they have at most left1 and left2 entries from their first common column on."""
+    most = F.least(left1, left2)
     return 100 * most >= percent * (n1 + n2 - most)
 
 
@@ -161,42 +197,49 @@ def jaccard_join(docs: DataFrame, percent: int = 80, k: int = 5, lower: bool = T
     rows = work.write(texts.mapInArrow(_row_scan(k, lower), "doc_id bigint, n bigint, m bigint, sig bigint"), "rows")
     sets = rows.where("doc_id is not null and n > 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("m").alias("m"))
 
+    def product(scan, rows: DataFrame, entries: int, result, schema: str) -> DataFrame:
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // TASK_ENTRIES))
+        bits = min(16, max(1, (tasks * BLOCKS_PER_TASK - 1).bit_length()))
+        blocks = rows.mapInArrow(scan(bits), "block bigint, payload binary").repartition(tasks, "block")
+        return blocks.mapInArrow(result, schema)
+
     entries = rows.agg(F.sum("m")).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // TASK_ENTRIES))
-    bits = min(16, max(1, (tasks * BLOCKS_PER_TASK - 1).bit_length()))
-    met = (
-        texts.where("doc_id is not null").select("text").mapInArrow(_incidence(k, lower, bits), "block bigint, payload binary")
-        .repartition(tasks, "block").mapInArrow(_product, "sig bigint, shared bigint")
-        .groupBy("sig").agg(F.sum("shared").alias("shared"))
-    )
-    left = sets.join(met, "sig", "left").select("id", "n", (F.col("n") - F.col("m") + F.coalesce("shared", F.lit(0))).alias("s"))
-    left = work.write(left.where(F.col("s") * 100 >= percent * F.col("n")), "left")
+    met = product(lambda bits: _incidence(k, lower, bits), texts.where("doc_id is not null").select("text"), entries, _product, "sig bigint, shared bigint")
+    met = met.groupBy("sig").agg(F.sum("shared").alias("shared"))
+    left = sets.join(met, "sig", "left").where((F.col("n") - F.col("m") + F.coalesce("shared", F.lit(0))) * 100 >= percent * F.col("n"))
+    left = work.write(left.select("id", "n"), "left")
 
     count = left.count()
-    wanted = join_checked(texts, left.select(F.col("id").alias("doc_id"), "s"), "doc_id", "inner", 16 * count)
-    vectors = work.write(wanted.select("doc_id", "text", "s").mapInArrow(_whole_rows(k, lower), "id bigint, s bigint, g array<bigint>").dropDuplicates(["id"]).withColumn("n", F.size("g").cast("bigint")), "vectors")
-
-    # the lowest columns of each row; a size class spans a ratio of 1 / t
+    wanted = join_checked(texts, left.select(F.col("id").alias("doc_id")), "doc_id", "inner", 16 * count)
+    whole = wanted.select("doc_id", "text").mapInArrow(_whole_rows(k, lower), "id bigint, g array<bigint>").dropDuplicates(["id"])
+    entries = left.agg(F.sum("n")).first()[0] or 0
+    met = product(_vector_incidence, whole, entries, _meeting, "id bigint, c array<struct<df:bigint,h:bigint>>")
+    met = met.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("c"))).getField("h").alias("g"))
+    vectors = met.join(left, "id").withColumn("s", F.size("g").cast("bigint")).where(F.col("s") * 100 >= percent * F.col("n"))
+    vectors = work.write(vectors, "vectors")
+
+    # the rarest columns of each row, after those that are its own alone; a size class spans a ratio of 1 / t
     need = F.floor((F.col("n") * percent + 99) / 100)
-    lows = vectors.select("id", "n", "s", F.floor(F.log("n") / np.log(100 / percent)).alias("size"), F.explode(F.slice("g", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("h"))
-    stars = lows.groupBy("h", "size").agg(F.count("*").alias("c"), F.min(F.struct((1 - F.col("s") / F.col("n")).alias("own"), "id", "n", "s")).alias("hub")).where("c > 1")
-    pairs = lows.join(stars, ["h", "size"]).where((F.col("id") != F.col("hub.id")) & _in_bounds(F.col("n"), F.col("s"), F.col("hub.n"), F.col("hub.s"), percent))
+    lows = vectors.select("id", "n", "s", F.floor(F.log("n") / np.log(100 / percent)).alias("size"), F.posexplode(F.slice("g", F.lit(1), (F.col("s") - need + 1).cast("int"))).alias("p", "h"))
+    lows = lows.withColumn("left", F.col("s") - F.col("p")).drop("p")
+    stars = lows.groupBy("h", "size").agg(F.count("*").alias("c"), F.min(F.struct((1 - F.col("s") / F.col("n")).alias("own"), "id", "n", "left")).alias("hub")).where("c > 1")
+    pairs = lows.join(stars, ["h", "size"]).where((F.col("id") != F.col("hub.id")) & _in_bounds(F.col("n"), F.col("left"), F.col("hub.n"), F.col("hub.left"), percent))
     pairs = pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
-        one = vectors.select(F.col("id").alias("a"), F.col("g").alias("ga"))
-        two = vectors.select(F.col("id").alias("b"), F.col("g").alias("gb"))
+        one = vectors.select(F.col("id").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na"))
+        two = vectors.select(F.col("id").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"))
         both = F.size(F.array_intersect("ga", "gb"))
-        return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("ga") + F.size("gb") - both)).select("a", "b")
+        return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
     links = work.write(linked(pairs), "edges")
     comp = components(work, links)
 
-    marked = lows.join(comp, "id", "left").select("id", "n", "s", "h", F.coalesce("comp", "id").alias("comp"))
+    marked = lows.join(comp, "id", "left").select("id", "n", "left", "h", F.coalesce("comp", "id").alias("comp"))
     marked = work.write(marked, "marked")
     main = marked.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1").select("h", F.col("top.comp").alias("main"))
-    odd = marked.join(main, "h").where("comp <> main").select("h", *(F.col(c).alias(f"{c}1") for c in ("id", "n", "s", "comp")))
-    rest = odd.join(marked, "h").where((F.col("comp1") != F.col("comp")) & _in_bounds(F.col("n1"), F.col("s1"), F.col("n"), F.col("s"), percent))
+    odd = marked.join(main, "h").where("comp <> main").select("h", *(F.col(c).alias(f"{c}1") for c in ("id", "n", "left", "comp")))
+    rest = odd.join(marked, "h").where((F.col("comp1") != F.col("comp")) & _in_bounds(F.col("n1"), F.col("left1"), F.col("n"), F.col("left"), percent))
     more = work.write(linked(rest.select(F.least("id1", "id").alias("a"), F.greatest("id1", "id").alias("b")).distinct()), "edges")
     if not more.isEmpty():
         comp = components(work, links.union(more))
@@ -211,5 +254,18 @@ def jaccard_join(docs: DataFrame, percent: int = 80, k: int = 5, lower: bool = T
     return out
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """`docs` with one row of each near-duplicate class: the smallest id's (and one of its repeated rows). Rows without words, or with a null id, stay."""
+    work = Work(docs.sparkSession, "keep-one")
+    rows = jaccard_join(docs, id_col=id_col, **options).where("n_shingles > 0 and doc_id is not null")
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("times"), F.first("component_id").alias("kept"))
+    odd = work.write(ids.where("times > 1 or doc_id <> kept").select(F.col("doc_id").alias(id_col), (F.col("doc_id") == F.col("kept")).alias("__first")), "odd")
+    size = 24 * odd.count()
+    one = join_checked(docs, odd, id_col, "left_anti", size)
+    if odd.where("__first").isEmpty():
+        return one.select(docs.columns)
+    return one.select(docs.columns).union(join_checked(docs, odd.where("__first"), id_col, "left_semi", size).dropDuplicates([id_col]).select(docs.columns))
+
+
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
