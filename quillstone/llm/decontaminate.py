@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import Work
+from .store import Work, join_checked
 
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 32 << 20
@@ -260,8 +260,9 @@ def longest_matches(docs: DataFrame, bench: DataFrame, window: int = 10, id_col:
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: str = "doc_id", **columns) -> DataFrame:
     """`docs` without the contaminated documents, all columns kept (a null id is kept)."""
-    bad = contamination(docs, bench, window, id_col, **columns).where(F.size("spans") > 0).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(docs.columns)
+    work = Work(docs.sparkSession, "decontaminate")
+    bad = work.write(contamination(docs, bench, window, id_col, **columns).where(F.size("spans") > 0).select(F.col("doc_id").alias(id_col)).distinct(), "bad")
+    return join_checked(docs, bad, id_col, "left_anti", 16 * bad.count()).select(docs.columns)
 
 
 def op1_suffix_array_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -103,7 +103,8 @@ def bytes_of(texts) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def split(texts, cls: np.ndarray = WHITE, lower: bool = False, hashes: bool = True) -> Words:
+def split(texts, cls: np.ndarray = WHITE, lower: bool = False, hashes: bool = True, cuts=None) -> Words:
+    """cuts: of the bytes (lower-cased, if asked), the places where words are cut as well."""
     data, off = bytes_of(texts)
     if lower:
         data = np.frombuffer(data.tobytes().translate(LOWER.tobytes()), np.uint8)
@@ -111,6 +112,8 @@ def split(texts, cls: np.ndarray = WHITE, lower: bool = False, hashes: bool = Tr
     n, starts, ends, hs, at = len(data), [], [], [], 0
     cut = np.zeros(n + 1, bool)
     cut[off] = True  # texts never share a word
+    if cuts is not None:
+        cut[cuts(data)] = True
     while at < n:
         to = min(n, at + SEGMENT)
         if to < n:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,12 +72,14 @@ def test_pack(spark):
 @pytest.mark.parametrize("table", ["/root/testdata/sf0.001/documents.parquet"])
 def test_words_are_tokenised_alone(table):
     import pyarrow.parquet as pq
-    from quillstone.llm import words as W
     from quillstone.llm.packing import WordTokens
 
     texts = pq.read_table(table)["text"]
-    w = W.split(texts)
-    ids, size = WordTokens(PATH).ids(w)
+    odd = ["it's o'clock 'tis", "<|endoftext|>x<|startoftext|>y z", "a…!b", "x=\u0338y e\u0301t", "A1b2-c_d.e", "ǅ İstanbul ΣΑΣ", "<a>it's</a>"]
+    texts = pa.chunked_array([pa.array(odd), *texts.chunks])
+    tokens = WordTokens(PATH)
+    w = tokens.parts(texts)
+    ids, size = tokens.ids(w)
     per = np.concatenate([[0], np.cumsum(size)])[w.first]
     for i, e in enumerate(Tokenizer.from_file(PATH).encode_batch(texts.to_pylist(), add_special_tokens=False)):
         assert ids[per[i] : per[i + 1]].tolist() == e.ids
