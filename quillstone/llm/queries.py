@@ -6,10 +6,12 @@ from .decontaminate import op1_suffix_array_decontamination
 from .jaccard_join import op9_ngram_jaccard_join
 from .packing import op8_best_fit_packing
 from .secrets import op6_markov_secrets
+from .substring_dedup import op2_doubling_substring_dedup
 from .toxicity import op10_cnn_toxicity
 
 QUERIES = {
     "op1_suffix_array_decontamination": op1_suffix_array_decontamination,
+    "op2_doubling_substring_dedup": op2_doubling_substring_dedup,
     "op6_markov_secrets": op6_markov_secrets,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,

@@ -35,12 +35,18 @@ class Work:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *keep: str) -> None:
-        jvm = self.spark._jvm
-        for path in self.made:
-            if path.rsplit("/", 1)[1].rsplit("-", 1)[0] not in keep:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        self.made = [p for p in self.made if p.rsplit("/", 1)[1].rsplit("-", 1)[0] in keep]
+        """Deletes all written tables but the named ones."""
+        self.remove(*{self._name(p) for p in self.made} - set(keep))
+
+    def remove(self, *names: str) -> None:
+        for path in [p for p in self.made if self._name(p) in names]:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self.made.remove(path)
+
+    @staticmethod
+    def _name(path: str) -> str:
+        return path.rsplit("/", 1)[1].rsplit("-", 1)[0]
 
 
 def join_checked(big: DataFrame, side: DataFrame, on: str, how: str, side_bytes: int) -> DataFrame:

@@ -91,3 +91,21 @@ def base_spans(t):
     out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
     out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
     return sorted(out)
+
+
+def without_repeats(docs, k=50):
+    """{doc_id: (n_words, kept text)}"""
+    low = {}
+    words = [(d, white(t)) for d, t in docs]
+    for d, w in words:
+        for i in range(len(w) - k + 1):
+            g = tuple(w[i : i + k])
+            low[g] = min(d, low.get(g, d))
+    out = {}
+    for d, w in words:
+        gone = set()
+        for i in range(len(w) - k + 1):
+            if low[tuple(w[i : i + k])] < d:
+                gone |= set(range(i, i + k))
+        out[d] = (len(w), " ".join(x for i, x in enumerate(w) if i not in gone))
+    return out
