@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op1_suffix_array_decontamination
 from .jaccard_join import op9_ngram_jaccard_join
 from .packing import op8_best_fit_packing
+from .quality import op3_subword_quality
 from .secrets import op6_markov_secrets
 from .substring_dedup import op2_doubling_substring_dedup
 from .toxicity import op10_cnn_toxicity
@@ -12,6 +13,7 @@ from .toxicity import op10_cnn_toxicity
 QUERIES = {
     "op1_suffix_array_decontamination": op1_suffix_array_decontamination,
     "op2_doubling_substring_dedup": op2_doubling_substring_dedup,
+    "op3_subword_quality": op3_subword_quality,
     "op6_markov_secrets": op6_markov_secrets,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
