@@ -42,9 +42,10 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         power = np.uint64(0x9E3779B97F4A7C15)
         for n in GRAMS:
-            h = np.zeros(max(0, len(data) - n + 1), np.uint64)
+            m = max(0, len(data) - n + 1)
+            h = np.zeros(m, np.uint64)
             for j in range(n):
-                h = h * power + data[j : len(data) - n + 1 + j] + np.uint64(1)
+                h = h * power + data[j : j + m] + np.uint64(1)
             at = np.flatnonzero(np.arange(len(h)) + n <= last[: len(h)])
             hashes.append(W.mix(h[at] + np.uint64(n)))
             owners.append(owner[at])
