@@ -6,6 +6,7 @@ from .decontaminate import op1_suffix_array_decontamination
 from .jaccard_join import op9_ngram_jaccard_join
 from .packing import op8_best_fit_packing
 from .quality import op3_subword_quality
+from .quality_rules import op7_decision_list_rules
 from .secrets import op6_markov_secrets
 from .substring_dedup import op2_doubling_substring_dedup
 from .toxicity import op10_cnn_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_doubling_substring_dedup": op2_doubling_substring_dedup,
     "op3_subword_quality": op3_subword_quality,
     "op6_markov_secrets": op6_markov_secrets,
+    "op7_decision_list_rules": op7_decision_list_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_cnn_toxicity": op10_cnn_toxicity,

@@ -109,3 +109,17 @@ def without_repeats(docs, k=50):
                 gone |= set(range(i, i + k))
         out[d] = (len(w), " ".join(x for i, x in enumerate(w) if i not in gone))
     return out
+
+
+def text_counts(t):
+    t = t or ""
+    w = white(t)
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    often = {g for g in set(grams) if grams.count(g) > 1}
+    hit = {i + j for i, g in enumerate(grams) if g in often for j in range(3)}
+    lines = [x for x in t.split("\n") if white(x)]
+    return {
+        "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in t),
+        "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(hit), "n_upper": sum("A" <= c <= "Z" for c in t),
+        "n_lines": len(lines), "n_stops": sum(c in ".!?" for c in t),
+    }
