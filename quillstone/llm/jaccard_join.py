@@ -31,9 +31,9 @@ from .store import Work, join_checked
 FIRST_OF_8 = 3
 FLUSH = 1 << 21
 #: Blocks of columns for each task of the product, so that tasks come out even.
-BLOCKS_PER_TASK = 8
+BLOCKS_PER_TASK = 2
 #: Entries of the first blocks that one task of the product takes.
-TASK_ENTRIES = 1 << 20
+TASK_ENTRIES = 2 << 20
 
 
 def _sig(g: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -169,9 +169,16 @@ def _vector_incidence(bits: int):
     pack = _packer(bits)
 
     def run(batches):
+        parts, held = [], 0
         for b in batches:
             g = b.column(1)
-            yield pack([(g.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), pc.list_value_length(g).to_numpy(zero_copy_only=False)))])
+            parts.append((g.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), pc.list_value_length(g).to_numpy(zero_copy_only=False))))
+            held += len(parts[-1][0])
+            if held >= FLUSH:
+                yield pack(parts)
+                parts, held = [], 0
+        if held:
+            yield pack(parts)
 
     return run
 
@@ -198,7 +205,7 @@ def jaccard_join(docs: DataFrame, percent: int = 80, k: int = 5, lower: bool = T
     sets = rows.where("doc_id is not null and n > 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("m").alias("m"))
 
     def product(scan, rows: DataFrame, entries: int, result, schema: str) -> DataFrame:
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // TASK_ENTRIES))
+        tasks = max(spark.sparkContext.defaultParallelism, -(-entries // TASK_ENTRIES))
         bits = min(16, max(1, (tasks * BLOCKS_PER_TASK - 1).bit_length()))
         blocks = rows.mapInArrow(scan(bits), "block bigint, payload binary").repartition(tasks, "block")
         return blocks.mapInArrow(result, schema)

@@ -14,9 +14,11 @@ its place from its own rank, where it lies.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,40 +27,86 @@ from . import words as W
 from .store import Work
 
 #: Distinct words whose ids a task keeps before it starts over.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 3 << 19
+#: Words encoded at once: each alone, or joined to one text.
+ENCODE_WORDS, JOIN_WORDS = 4096, 16384
+#: Lower-case ASCII and Latin-1 letters: always one word to the tokenizer.
+_PLAIN = re.compile(rb"(?:[a-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+")
+
+
+_LETTER, _OTHER = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[0x61:0x7B] = True
+_OTHER[0x21:0x7F] = True
+_OTHER &= ~_LETTER
+
+
+def word_cuts(data: np.ndarray) -> np.ndarray:
+    """Places between an ASCII letter and another ASCII sign, inside words without an apostrophe or `<`: the tokenizer splits there whatever surrounds them (contractions and special tokens need the others)."""
+    letter, other = _LETTER[data], _OTHER[data]
+    at = np.flatnonzero((letter[:-1] & other[1:]) | (other[:-1] & letter[1:])) + 1 if len(data) else np.zeros(0, np.int64)
+    odd = np.flatnonzero((data == 0x27) | (data == 0x3C))
+    if len(odd) and len(at):
+        white = np.concatenate([[-1], np.flatnonzero(~W.WHITE[data]), [len(data)]])
+        at = at[~np.isin(np.searchsorted(white, at), np.searchsorted(white, odd))]
+    return at
 
 
 class WordTokens:
-    """Token ids of texts whose tokenizer never joins across white space: each distinct word is encoded once."""
+    """Token ids by a tokenizer that lower-cases, drops white space, never joins across it, and splits words from punctuation: each distinct word part is encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.final = np.zeros(self.tok.get_vocab_size(), bool)
+        for token, i in self.tok.get_vocab().items():
+            self.final[i] = token.endswith("</w>")
         self.clear()
 
     def clear(self):
         self.known, self.at, self.size, self.flat, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
 
+    def parts(self, texts) -> W.Words:
+        return W.split(texts, lower=True, cuts=word_cuts)
+
+    def _encode(self, words: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word). Plain words are one piece of the vocabulary's word-end kind each, so many of them are encoded as one text."""
+        texts = [b" ".join(words).decode()] if plain else [x.decode("utf-8", "replace") for x in words]
+        found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter((x for f in found for x in f), np.uint32, sum(map(len, found)))
+        if not plain:
+            return flat, np.fromiter(map(len, found), np.int64, len(found))
+        ends = np.flatnonzero(self.final[flat]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not mark the end of every word")
+        return flat, np.diff(np.concatenate([[0], ends]))
+
+    def _add(self, keys: np.ndarray, words: list[bytes], plain: bool) -> None:
+        flat, size = self._encode(words, plain)
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.uint32)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        at = self.used + np.cumsum(size) - size
+        self.used += len(flat)
+        order = np.argsort(keys)
+        to = np.searchsorted(self.known, keys[order])
+        self.known, self.at, self.size = np.insert(self.known, to, keys[order]), np.insert(self.at, to, at[order]), np.insert(self.size, to, size[order])
+
     def ids(self, w: W.Words) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words in turn, number of ids of each word)"""
-        keys, one, which = np.unique(w.hash, return_index=True, return_inverse=True)
+        """(ids of all word parts in turn, number of ids of each)"""
+        which, keys = pd.factorize(w.hash)
+        one = np.zeros(len(keys), np.int64)
+        one[which[::-1]] = np.arange(len(which))[::-1]
         if len(self.known) > CACHE_WORDS:
             self.clear()
-        new = ~np.isin(keys, self.known, assume_unique=True)
-        if new.any():
-            words = [w.raw(i).decode("utf-8", "replace") for i in one[new]]
-            found = [e.ids for e in self.tok.encode_batch(words, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((x for f in found for x in f), np.uint32, int(size.sum()))
-            if self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.uint32)])
-            self.flat[self.used : self.used + len(flat)] = flat
-            at = self.used + np.cumsum(size) - size
-            self.used += len(flat)
-            known = np.concatenate([self.known, keys[new]])
-            order = np.argsort(known)
-            self.known, self.at, self.size = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        new = one[~np.isin(keys, self.known, assume_unique=True)]
+        words = [w.raw(i) for i in new]
+        plain = np.fromiter((_PLAIN.fullmatch(x) is not None for x in words), bool, len(new))
+        for kind, step in ((True, JOIN_WORDS), (False, ENCODE_WORDS)):
+            part = np.flatnonzero(plain == kind)
+            for a in range(0, len(part), step):
+                own = part[a : a + step]
+                self._add(w.hash[new[own]], [words[i] for i in own], kind)
         place = np.searchsorted(self.known, keys)[which]
         size = self.size[place]
         ends = np.cumsum(size)
@@ -66,11 +114,21 @@ class WordTokens:
         return self.flat[index], size
 
 
+_TOKENS: dict[str, WordTokens] = {}
+
+
+def tokens_of(path: str) -> WordTokens:
+    """One for each worker process, so that tasks share what earlier ones have encoded."""
+    if path not in _TOKENS:
+        _TOKENS[path] = WordTokens(path)
+    return _TOKENS[path]
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
-        tokens = WordTokens(path)
+        tokens = tokens_of(path)
         for b in W.chunks(batches, "text"):
-            w = W.split(b.column(1))
+            w = tokens.parts(b.column(1))
             ids, size = tokens.ids(w)
             per = np.concatenate([[0], np.cumsum(size)])[w.first]
             row, piece, start, length, crc = [], [], [], [], []
@@ -149,8 +207,8 @@ def _place(plan):
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents in sequences of at most `capacity` tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    tokenizer: a tokenizers JSON file, readable on every worker, that never joins tokens across white
-    space. Each document is its ids and then `end_id`, so a null or empty text is one token. Only
+    tokenizer: a tokenizers JSON file, readable on every worker, that lower-cases, drops white space and
+    splits words from punctuation. Each document is its ids and then `end_id`, so a null or empty text is one token. Only
     documents over the capacity are cut. Repeated rows and rows with a null id are packed like any
     other. Other columns are not read; an empty table packs nothing.
     """
