@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from .decontaminate import op1_suffix_array_decontamination
 from .jaccard_join import op9_ngram_jaccard_join
+from .lm_score import OP4_SQL, op4_cross_entropy_difference
 from .packing import op8_best_fit_packing
 from .quality import op3_subword_quality
 from .quality_rules import op7_decision_list_rules
 from .secrets import op6_markov_secrets
 from .substring_dedup import op2_doubling_substring_dedup
 from .toxicity import op10_cnn_toxicity
+from .warc import OP5_SQL, op5_monolithic_warc
 
 QUERIES = {
     "op1_suffix_array_decontamination": op1_suffix_array_decontamination,
     "op2_doubling_substring_dedup": op2_doubling_substring_dedup,
     "op3_subword_quality": op3_subword_quality,
+    "op4_cross_entropy_difference": op4_cross_entropy_difference,
+    "op5_monolithic_warc": op5_monolithic_warc,
     "op6_markov_secrets": op6_markov_secrets,
     "op7_decision_list_rules": op7_decision_list_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -22,4 +26,7 @@ QUERIES = {
     "op10_cnn_toxicity": op10_cnn_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_cross_entropy_difference": OP4_SQL,
+    "op5_monolithic_warc": OP5_SQL,
+}

@@ -40,15 +40,18 @@ class Work:
 
     def remove(self, *names: str) -> None:
         for path in [p for p in self.made if self._name(p) in names]:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self.delete(path)
             self.made.remove(path)
 
+    def delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     @staticmethod
     def _name(path: str) -> str:
         return path.rsplit("/", 1)[1].rsplit("-", 1)[0]
 
 
-def join_checked(big: DataFrame, side: DataFrame, on: str, how: str, side_bytes: int) -> DataFrame:
+def join_checked(big: DataFrame, side: DataFrame, on: str | list[str], how: str, side_bytes: int) -> DataFrame:
     """Broadcasts a side whose measured size is small, else leaves the join to shuffles."""
     return big.join(F.broadcast(side) if side_bytes <= BROADCAST_BYTES else side, on, how)
