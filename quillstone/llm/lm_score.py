@@ -9,8 +9,9 @@ of a nat, rounded; a document's score is the mean over its tokens of target loss
 
 Documents are dealt into chunks of bounded bytes. Each chunk counts its distinct words and bigrams and
 sends them, packed, by ranges of their hash; a range adds up what all chunks sent and answers each with
-the corpus's counts, in the order sent. A word or bigram travels once from a chunk however often it
-occurs there, so no key is hot, and no table of counts is collected or broadcast.
+the corpus's counts where they differ from the chunk's own, in the order sent (most bigrams are in one
+chunk alone). A word or bigram travels once from a chunk however often it occurs there, so no key is
+hot, and no table of counts is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .store import Work, join_checked
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
 LEAST_CHUNKS = 32
 #: Weight of the unigram distribution, in occurrences.
 PRIOR = 8.0
@@ -48,18 +49,54 @@ def _ranges(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, edge), len(keys))
 
 
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys in little more than six bytes each: where their upper 16 bits rise and to what, then the lower 48 bits."""
+    top = keys >> np.uint64(48)
+    rise = np.flatnonzero(np.append(True, top[1:] != top[:-1]))
+    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return b"".join([len(rise).to_bytes(4, "little"), rise.astype("<u4").tobytes(), top[rise].astype("<u2").tobytes(), low.tobytes()])
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    rise, top = np.frombuffer(data, "<u4", n, 4), np.frombuffer(data, "<u2", n, 4 + 4 * n)
+    low = np.frombuffer(data, np.uint8, offset=4 + 6 * n).reshape(-1, 6)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :6] = low
+    out[:, 6:] = np.repeat(top, np.diff(np.append(rise, len(low)))).view(np.uint8).reshape(-1, 2)
+    return out.view("<u8").ravel()
+
+
+def _pack_counts(n: np.ndarray) -> bytes:
+    """One byte for a count under 255; the others follow in full."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<i8").tobytes()
+
+
+def _unpack_counts(data: bytes, size: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, size).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", offset=size)
+    return out
+
+
+def _distinct(table) -> list[tuple[np.ndarray, ...]]:
+    """Of the words and of the bigrams of a chunk: sorted keys, the key of each token, how often the chunk and its target documents have each."""
+    *hashes, first = _tokens(table.column("__text"))
+    flag = np.repeat(table.column("__target").to_numpy().astype(np.int64), np.diff(first))
+    out = [first]
+    for h in hashes:
+        keys, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
+        out.append((keys, inverse, n.astype(np.int64), np.bincount(inverse, flag, len(keys)).astype(np.int64)))
+    return out
+
+
 def _counter(shards: int):
     def count(key, table):
-        words, pairs, first = _tokens(table.column("__text"))
-        flag = np.repeat(table.column("__target").to_numpy().astype(np.int64), np.diff(first))
         rows = []
-        for kind, hashes in enumerate((words, pairs)):
-            keys, inverse, n = np.unique(hashes, return_inverse=True, return_counts=True)
-            t = np.bincount(inverse, flag, len(keys)).astype(np.uint32)
+        for kind, (keys, _, n, t) in enumerate(_distinct(table)[1:]):
             edge = _ranges(keys, shards)
             for s in np.flatnonzero(np.diff(edge)):
                 cut = slice(edge[s], edge[s + 1])
-                rows.append((kind * shards + int(s), key[0].as_py(), keys[cut].tobytes(), n[cut].astype(np.uint32).tobytes(), t[cut].tobytes()))
+                rows.append((kind * shards + int(s), key[0].as_py(), _pack(keys[cut]), _pack_counts(n[cut]), _pack_counts(t[cut])))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["shard", "chunk", "keys", "n", "t"])
 
@@ -67,16 +104,19 @@ def _counter(shards: int):
 
 
 def _add(table):
-    """Of one range: what the whole corpus has of each key, for each chunk in its order; n_keys, n_sum and t_sum stand on one row of the range."""
-    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    n, t = (np.concatenate([np.frombuffer(x, np.uint32) for x in table.column(c).to_pylist()]).astype(np.float64) for c in ("n", "t"))
+    """Of one range, for each chunk: a bit for each key it sent, set where the corpus has more of it, and the corpus's counts of those; n_keys, n_sum and t_sum of the range stand on one row."""
+    keys = [_unpack(x) for x in table.column("keys").to_pylist()]
+    own = [[_unpack_counts(x, len(k)) for x, k in zip(table.column(c).to_pylist(), keys, strict=True)] for c in ("n", "t")]
     one, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    n, t = (np.bincount(inverse, x, len(one)).astype(np.int64) for x in (n, t))
+    n, t = (np.bincount(inverse, np.concatenate(x), len(one)).astype(np.int64) for x in own)
     edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
     parts = [inverse[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    more = [n[p] != x for p, x in zip(parts, own[0], strict=True)]
+    parts = [p[m] for p, m in zip(parts, more, strict=True)]
     rest = [0] * (len(parts) - 1)
+    packed = lambda xs: pa.array(list(xs), pa.binary())
     return pa.table({
-        "shard": table.column("shard"), "chunk": table.column("chunk"), "n": pa.array([n[p].tobytes() for p in parts], pa.binary()), "t": pa.array([t[p].tobytes() for p in parts], pa.binary()),
+        "shard": table.column("shard"), "chunk": table.column("chunk"), "more": packed(np.packbits(m).tobytes() for m in more), "n": packed(_pack_counts(n[p]) for p in parts), "t": packed(_pack_counts(t[p]) for p in parts),
         "n_keys": pa.array([len(one), *rest], pa.int64()), "n_sum": pa.array([int(n.sum()), *rest], pa.int64()), "t_sum": pa.array([int(t.sum()), *rest], pa.int64()),
     })
 
@@ -88,19 +128,18 @@ def _loss(pair, word, before, total: int, vocabulary: int) -> np.ndarray:
 
 def _scorer(shards: int, vocabulary: int, n_all: int, n_target: int):
     def run(docs, counts):
-        words, pairs, first = _tokens(docs.column("__text"))
-        shard = counts.column("shard").to_numpy()
-        order = np.argsort(shard)
-        found = {}
-        for c in ("n", "t"):
-            blocks = counts.column(c).to_pylist()
-            for kind in (0, 1):
-                found[c, kind] = np.concatenate([np.frombuffer(blocks[i], np.int64) for i in order if shard[i] // shards == kind] or [np.zeros(0, np.int64)])
-        at = np.unique(words, return_inverse=True)[1], np.unique(pairs, return_inverse=True)[1]
+        first, *kinds = _distinct(docs)
+        answer = {r["shard"]: r for r in counts.to_pylist()}
+        for kind, (keys, _, n, t) in enumerate(kinds):
+            edge = _ranges(keys, shards)
+            for s in np.flatnonzero(np.diff(edge)):
+                r = answer[kind * shards + int(s)]
+                at = edge[s] + np.flatnonzero(np.unpackbits(np.frombuffer(r["more"], np.uint8), count=int(edge[s + 1] - edge[s])))
+                n[at], t[at] = (_unpack_counts(r[c], len(at)) for c in ("n", "t"))
         sums = []
-        for c, total in (("t", n_target), ("n", n_all)):
-            word = found[c, 0][at[0]].astype(np.float64)
-            loss = _loss(found[c, 1][at[1]], word, np.roll(word, 1), total, vocabulary)
+        for c, total in ((3, n_target), (2, n_all)):
+            word, pair = (k[c][k[1]].astype(np.float64) for k in kinds)
+            loss = _loss(pair, word, np.roll(word, 1), total, vocabulary)
             sums.append(np.add.reduceat(loss, first[:-1]) if len(loss) else np.zeros(0, np.int64))
         n = np.diff(first)
         return docs.select([c for c in docs.column_names if c not in ("__text", "__chunk", "__target")]).append_column("n_tokens", pa.array(n)).append_column("target_unats", pa.array(sums[0])).append_column("background_unats", pa.array(sums[1])).append_column("score", pa.array((sums[0] - sums[1]) / n / 1e6))
@@ -126,10 +165,11 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     place = F.pmod(F.xxhash64(id_col, F.octet_length("__text")), F.lit(chunks)).cast("int")
     rows = rows.withColumns({"__target": F.coalesce("__target", F.lit(False)), "__chunk": place})
     sent = rows.groupBy("__chunk").applyInArrow(_counter(chunks), "shard int, chunk int, keys binary, n binary, t binary")
-    counts = work.write(sent.groupBy("shard").applyInArrow(_add, "shard int, chunk int, n binary, t binary, n_keys long, n_sum long, t_sum long"), "counts")
+    counts = work.write(sent.groupBy("shard").applyInArrow(_add, "shard int, chunk int, more binary, n binary, t binary, n_keys long, n_sum long, t_sum long"), "counts")
     total = counts.where(F.col("shard") < chunks).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_keys", "n_sum", "t_sum"))).first()
+    work.free()
     kind = dict(docs.dtypes)[id_col]
-    both = rows.groupBy("__chunk").cogroup(counts.select("shard", F.col("chunk").alias("__chunk"), "n", "t").groupBy("__chunk"))
+    both = rows.groupBy("__chunk").cogroup(counts.select("shard", F.col("chunk").alias("__chunk"), "more", "n", "t").groupBy("__chunk"))
     return both.applyInArrow(_scorer(chunks, *total), f"`{id_col}` {kind}, n_tokens long, target_unats long, background_unats long, score double")
 
 

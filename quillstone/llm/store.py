@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,9 +32,14 @@ class Work:
         path = f"{self.root}/{name}-{len(self.made)}"
         df.write.parquet(path)
         self.made.append(path)
-        self.spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffles behind the written table
+        self.free()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def free(self) -> None:
+        """Lets Spark's cleaner drop the shuffles behind written tables."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *keep: str) -> None:
         """Deletes all written tables but the named ones."""
         self.remove(*{self._name(p) for p in self.made} - set(keep))
