@@ -96,17 +96,16 @@ def _hashes(length: int, before: int):
 _ROWS = "h bigint, doc_id bigint, pos int"
 
 
-def _places(work: Work, rows: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, at) of (doc_id, pos), and its bytes."""
-    out = work.write(rows.groupBy("doc_id").agg(F.collect_list("pos").alias("at")), "places")
-    n = out.agg(F.sum(F.size("at") * 4 + 24)).first()[0] or 0
-    return out, n
+def _places(work: Work, rows: DataFrame) -> DataFrame:
+    """(doc_id, at) of (doc_id, pos). It grows with the documents, so joins with it always shuffle."""
+    return work.write(rows.groupBy("doc_id").agg(F.collect_list("pos").alias("at")), "places")
 
 
 def _shared(work: Work, rows: DataFrame) -> DataFrame:
     """Rows whose hash is in several documents, with the smallest of them (low)."""
     rows = work.write(rows, "rows")
-    ends = rows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "low")
+    # written, so that the rows of a hash which very many documents share can be split in the join
+    ends = work.write(rows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "low"), "ends")
     return rows.join(ends, "h").select("doc_id", "pos", "low")
 
 
@@ -117,9 +116,9 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _windows(work: Work, texts: DataFrame, length: int) -> DataFrame:
     """(doc_id, pos, low) of all windows of `length` words that are in several of `texts`."""
     shared = _shared(work, texts.mapInArrow(_anchors(length), _ROWS))
-    places, size = _places(work, shared)
-    work.remove("rows")
-    again = join_checked(texts, places, "doc_id", "inner", size).select("doc_id", "text", "at")
+    places = _places(work, shared)
+    work.remove("rows", "ends")
+    again = texts.join(places, "doc_id").select("doc_id", "text", "at")
     return _shared(work, again.mapInArrow(_hashes(length, length - length // 2), _ROWS))
 
 
@@ -131,9 +130,9 @@ def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
     while not found.isEmpty():
         level = found.select(F.lit(length).alias("length"), "doc_id", "pos")
         out = level if out is None else out.union(level)
-        places, size = _places(work, found)
+        places = _places(work, found)
         length *= 2
-        again = join_checked(texts, places, "doc_id", "inner", size).select("doc_id", "text", "at")
+        again = texts.join(places, "doc_id").select("doc_id", "text", "at")
         found = work.write(_shared(work, again.mapInArrow(_hashes(length, 0), _ROWS)), "level")
     return docs.sparkSession.sql("select 0 as length, 0L as doc_id, 0 as pos where false") if out is None else out
 
@@ -187,10 +186,10 @@ def deduplicate(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_
     size = 16 * copies.count()
     apart = join_checked(named, copies, "doc_id", "left_anti", size)
     found = _windows(work, apart, window).where("low < doc_id").select("doc_id", "pos")
-    places, bytes_ = _places(work, found)
-    work.remove("rows")
+    places = _places(work, found)
+    work.remove("rows", "ends")
     marks = work.write(places.join(copies, "doc_id", "full").select("doc_id", "at", "copy"), "marks")
-    return join_checked(texts, marks, "doc_id", "left", bytes_ + size).select("doc_id", "text", "at", "copy").mapInArrow(_kept(window), "doc_id bigint, n_words bigint, n_removed bigint, text string")
+    return texts.join(marks, "doc_id", "left").select("doc_id", "text", "at", "copy").mapInArrow(_kept(window), "doc_id bigint, n_words bigint, n_removed bigint, text string")
 
 
 def op2_doubling_substring_dedup(spark, sf_dir: str) -> DataFrame:
