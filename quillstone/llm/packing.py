@@ -27,7 +27,7 @@ from . import words as W
 from .store import Work
 
 #: Distinct words whose ids a task keeps before it starts over.
-CACHE_WORDS = 3 << 19
+CACHE_WORDS = 3 << 17
 #: Words encoded at once: each alone, or joined to one text.
 ENCODE_WORDS, JOIN_WORDS = 4096, 16384
 #: Lower-case ASCII and Latin-1 letters: always one word to the tokenizer.

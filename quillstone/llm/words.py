@@ -7,6 +7,7 @@ are bounded, by cutting the bytes between words.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -213,8 +214,22 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return g[keep], total[ends]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers outlive their tasks, and would hold it while others run."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def chunks(batches, text: str, most: int = 4 << 20):
     """Record batches cut into runs of rows of about `most` bytes of text; a longer text is a run of its own."""
+    try:
+        yield from _chunks(batches, text, most)
+    finally:
+        give_back()
+
+
+def _chunks(batches, text: str, most: int):
     for batch in batches:
         if not batch.num_rows:
             continue
