@@ -32,8 +32,8 @@ FIRST_OF_8 = 3
 FLUSH = 1 << 21
 #: Blocks of columns for each task of the product, so that tasks come out even.
 BLOCKS_PER_TASK = 2
-#: Entries of the first blocks that one task of the product takes.
-TASK_ENTRIES = 2 << 20
+#: Entries of the first blocks that one task of the product takes. Each task gives a partial count for each row it meets, so larger tasks give fewer.
+TASK_ENTRIES = 4 << 20
 
 
 def _sig(g: np.ndarray, first: np.ndarray) -> np.ndarray:
