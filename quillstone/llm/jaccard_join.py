@@ -206,7 +206,7 @@ def jaccard_join(docs: DataFrame, percent: int = 80, k: int = 5, lower: bool = T
 
     def product(scan, rows: DataFrame, entries: int, result, schema: str) -> DataFrame:
         tasks = max(spark.sparkContext.defaultParallelism, -(-entries // TASK_ENTRIES))
-        bits = min(16, max(1, (tasks * BLOCKS_PER_TASK - 1).bit_length()))
+        bits = min(20, max(1, (tasks * BLOCKS_PER_TASK - 1).bit_length()))
         blocks = rows.mapInArrow(scan(bits), "block bigint, payload binary").repartition(tasks, "block")
         return blocks.mapInArrow(result, schema)
 
