@@ -26,7 +26,31 @@ QUERIES = {
     "op10_cnn_toxicity": op10_cnn_toxicity,
 }
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_LOW)
+OP1_SQL = f"""
+with d as (select doc_id, {_ALNUM} as w from documents), i as (select item_id, {_ALNUM} as w from benchmark),
+iw as (select distinct item_id, least(len(w), 10) as k, array_to_string(w[p:p + 9], ' ') as g from (select *, unnest(range(1, greatest(len(w) - 9, least(len(w), 1)) + 1)) as p from i)),
+dw as (select doc_id, p, k, array_to_string(w[p:p + k - 1], ' ') as g from (select *, unnest(range(1, len(w) - k + 2)) as p from d, (select distinct k from iw) where len(w) >= k)),
+m as (select doc_id, p, k, item_id from dw join iw using (k, g)),
+h as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + k)) as q from m) group by 1),
+n as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id::varchar as item_id from m) group by 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join n using (doc_id)
+"""
+OP2_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) as g from (select *, unnest(range(1, len(w) - 48)) as p from d where len(w) >= 50)),
+f as (select g, min(doc_id) as low from g group by 1 having min(doc_id) < max(doc_id)),
+r as (select distinct doc_id, unnest(range(p, p + 50)) as q from g join f using (g) where low < doc_id),
+k as (select doc_id, w, unnest(range(1, len(w) + 1)) as q from d),
+t as (select doc_id, count(*) as n_kept, string_agg(w[q], ' ' order by q) as kept from k anti join r using (doc_id, q) group by 1)
+select doc_id, len(w) as n_words, len(w) - coalesce(n_kept, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join t using (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_suffix_array_decontamination": OP1_SQL,
+    "op2_doubling_substring_dedup": OP2_SQL,
     "op4_cross_entropy_difference": OP4_SQL,
     "op5_monolithic_warc": OP5_SQL,
 }
