@@ -142,6 +142,7 @@ def _product(batches):
     _, row, _ = _columns(batches)
     sigs, counts = np.unique(row, return_counts=True)
     yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(counts.astype(np.int64))], ["sig", "shared"])
+    W.give_back()
 
 
 def _meeting(batches):
@@ -153,6 +154,7 @@ def _meeting(batches):
     each = pa.StructArray.from_arrays([pa.array(size), pa.array(h.view(np.int64))], ["df", "h"])
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(row)]]).astype(np.int32)), each)
     yield pa.RecordBatch.from_arrays([pa.array(row[first].view(np.int64)), lists], ["id", "c"])
+    W.give_back()
 
 
 def _whole_rows(k: int, lower: bool):

@@ -47,8 +47,19 @@ k as (select doc_id, w, unnest(range(1, len(w) + 1)) as q from d),
 t as (select doc_id, count(*) as n_kept, string_agg(w[q], ' ' order by q) as kept from k anti join r using (doc_id, q) group by 1)
 select doc_id, len(w) as n_words, len(w) - coalesce(n_kept, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join t using (doc_id)
 """
+OP9_SQL = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[p:p + 4], ' ') as g from (select *, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) as p from d)),
+n as (select doc_id, count(*) as n from s group by 1),
+o as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+l as (select a, b from o join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as a, doc_id as b from d union select r.a, e.b from r join e on e.a = r.b)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, min(r.b) as component_id from d left join n using (doc_id) join r on r.a = d.doc_id group by 1, 2
+"""
 
 ORACLES: dict[str, str] = {
+    "op9_ngram_jaccard_join": OP9_SQL,
     "op1_suffix_array_decontamination": OP1_SQL,
     "op2_doubling_substring_dedup": OP2_SQL,
     "op4_cross_entropy_difference": OP4_SQL,
