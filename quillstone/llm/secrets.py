@@ -23,29 +23,38 @@ BASE = (
 MARKOV = "markov"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = "[A-Za-z0-9+/_=-]"
-LEAST_TOKEN = 20
+#: As short as a value of the assign pattern; above it the ratio alone decides.
+LEAST_TOKEN = 8
 #: Nats by which a token must look more random than ordinary.
 LOG_ODDS = 14.0
 SAMPLE_ROWS = 4000
 SMOOTH, BACK_OFF = 0.5, 4.0
 
 
-def _found(text: Column, pattern: str, group: int, least: int, cheap: str, kind: str, rank: int) -> Column:
-    """Spans (start, rank, kind, end) of all leftmost non-overlapping matches that are long enough."""
+NONE = "array<struct<start:int,rank:int,kind:string,end:int>>"
+
+
+def _spans(text: Column, pattern: str, group: int, kind: str, rank: int, ok) -> Column:
+    """Spans (start, rank, kind, end) of all leftmost non-overlapping matches whose group `ok` takes."""
     # what lies between matches, and the matches, give all places: no built-in function returns them
     between = F.transform(F.split(text, pattern, -1), F.length)
-    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), F.length)
-    part = F.transform(F.regexp_extract_all(text, F.lit(pattern), group), F.length) if group else whole
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    match = F.regexp_extract_all(text, F.lit(pattern), 0)
+    whole = F.transform(match, F.length)
+    part = F.regexp_extract_all(text, F.lit(pattern), group) if group else match
+    none = F.array().cast(NONE)
 
     def step(acc, x):
         start = acc["at"] + x["between"]
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start + x["whole"]).alias("end"))
-        return F.struct((start + x["whole"]).alias("at"), F.when(x["part"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct((start + x["whole"]).alias("at"), F.when(ok(x["part"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     zipped = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("between"), whole.alias("whole"), part.alias("part"))
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(cheap), spans).otherwise(none)
+    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+
+def _found(text: Column, pattern: str, group: int, least: int, cheap: str, kind: str, rank: int) -> Column:
+    """Spans of the matches that are long enough."""
+    return F.when(text.rlike(cheap), _spans(text, pattern, group, kind, rank, lambda part: F.length(part) >= least)).otherwise(F.array().cast(NONE))
 
 
 def default_samples(docs: DataFrame, rows: int = SAMPLE_ROWS, text_col: str = "text") -> DataFrame:
@@ -103,9 +112,11 @@ def secret_spans(docs: DataFrame, samples: DataFrame | None = None, log_odds: fl
     table = train(default_samples(docs, text_col=text_col) if samples is None else samples)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = F.array_sort(F.concat(*(_found(text, p, g, n, cheap, kind, k) for k, (kind, p, g, n, cheap) in enumerate(BASE))))
-    tokens = _found(text, f"{TOKEN}{{{LEAST_TOKEN},}}", 0, LEAST_TOKEN, f"{TOKEN}{{{LEAST_TOKEN}}}", MARKOV, len(BASE))
-    markov = F.filter(tokens, lambda s: ratio(text.substr(s["start"] + 1, s["end"] - s["start"]), table) > log_odds)
-    out = docs.withColumns({"base_spans": base, "spans": tokens})
+    tokens = f"{TOKEN}{{{LEAST_TOKEN},}}"
+    # nearly all texts have tokens and few have secrets: each token is judged once, and places are found where one is a secret
+    secret = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(tokens), 0)), lambda t: ratio(t, table) > log_odds)
+    markov = F.when(F.size("spans") > 0, _spans(text, tokens, 0, MARKOV, len(BASE), lambda t: F.array_contains("spans", t))).otherwise(F.array().cast(NONE))
+    out = docs.withColumns({"base_spans": base, "spans": secret})
     return out.withColumn("spans", F.array_sort(F.concat("base_spans", markov)))
 
 

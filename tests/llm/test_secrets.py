@@ -37,6 +37,21 @@ def test_markov(spark):
     assert S.secret_spans(df.limit(0), samples).count() == 0
 
 
+def test_short_keys(spark):
+    keys = ["x7Qp2Zk9", "kJ8fQz2LmX", "Zq4vX9bT2wKj", "vT7bNp4RwYc6Hq2J", "p9XwQ3zKf7VbJ2mLt8R"]
+    plain = ["national", "ordinary_w", "organization", "international-kind", "documentation_of", "standing", "nationalized", "others-stand", "ordinary/kind"]
+    rows = [(i, f"the {k} stands, {w} of {w} {k}") for i, (k, w) in enumerate(zip(keys, plain))] + [(100 + i, f"{w} and {w}") for i, w in enumerate(plain)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    good = spark.createDataFrame([(w, False) for w in plain * 40], "text string, random boolean")
+    samples = good.union(S.default_samples(df).where("random"))
+    got = {r.doc_id: S_(r) for r in S.secret_spans(df, samples).select("doc_id", "spans").collect()}
+    for i, t in rows:
+        k = keys[i] if i < 100 else "\0"
+        places = [p for p in range(len(t)) if t.startswith(k, p)]
+        assert got[i] == [("markov", p, p + len(k)) for p in places] and len(places) == (2 if i < 100 else 0)
+    assert all(k not in r.text for r in S.redact(df, samples=samples).collect() for k in keys)
+
+
 def S_(r):
     return [(s.kind, s.start, s.end) for s in r.spans]
 
