@@ -32,6 +32,8 @@ class TestSet:
     def __init__(self, ids, texts, window: int):
         w = W.split(pa.array(texts, pa.string()), W.ALNUM, lower=True)
         self.ids = np.array([None if i is None else str(i) for i in ids], object)
+        seen: dict = {}
+        self.same = np.array([seen.setdefault(i, k) for k, i in enumerate(self.ids)], np.int64)  # the first row of the item's id
         self.hash = w.hash
         n, doc = w.count, w.doc()
         self.length = np.minimum(window, n)[doc]
@@ -166,7 +168,7 @@ def _hits(test, uid: bool):
             doc = w.doc()
             spans = np.searchsorted(doc[begin], np.arange(docs + 1)) if len(begin) else np.zeros(docs + 1, np.int64)
             base = w.first[doc[begin]]
-            found = np.unique(np.stack([doc[at], t.item[q]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+            found = np.unique(np.stack([doc[at], t.same[t.item[q]]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
             found = found[[t.ids[i] is not None for i in found[:, 1]]] if len(found) else found
             items = np.searchsorted(found[:, 0], np.arange(docs + 1))
             struct = pa.StructArray.from_arrays([pa.array(begin - base), pa.array(stop - base)], ["start", "end"])

@@ -47,3 +47,14 @@ def test_empty(spark):
     _, _, d, b = tables(spark, 3)
     assert D.contamination(d.limit(0), b).count() == 0
     assert D.contamination(d, b.limit(0)).where("size(spans) > 0 or size(items) > 0").count() == 0
+
+
+def test_repeated_item_ids(spark, monkeypatch):
+    say = lambda a: " ".join(f"w{i}" for i in range(a, a + 10))
+    items = [("x", say(0)), ("x", say(0)), ("x", say(20)), ("y", say(40)), (None, say(60)), (None, say(80))]
+    docs = [(0, f"{say(0)} and {say(20)} and {say(40)}"), (1, f"{say(20)} {say(60)} {say(80)}"), (2, say(60))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    for most in (D.BLOCK_BYTES, 60):
+        monkeypatch.setattr(D, "BLOCK_BYTES", most)
+        got = {r.doc_id: (sum(x.end - x.start for x in r.spans), sorted(r["items"])) for r in D.contamination(d, b).collect()}
+        assert got == {0: (30, ["x", "y"]), 1: (30, ["x"]), 2: (10, [])}
