@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,3 +52,29 @@ def manifests(log: DataFrame, size: int = 32) -> DataFrame:
 
 def cursors(log: DataFrame) -> DataFrame:
     return log.groupBy("origin").agg(F.max("sequence").alias("cursor"))
+
+
+def sorted_pieces(values: DataFrame) -> Iterator[str]:
+    """The distinct values of a string column in order, joined by | in pieces of a batch each; the driver holds one partition's at a time."""
+
+    def joined(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(["|".join(b.column(0).to_pylist())], pa.string())], ["piece"])
+
+    one = values.where(F.col(values.columns[0]).isNotNull()).distinct()
+    for r in one.orderBy(one.columns[0]).mapInArrow(joined, "piece string").toLocalIterator():
+        yield r.piece
+
+
+def set_root(values: DataFrame) -> DataFrame:
+    """One row, root: SHA-256 of the distinct values of a string column, sorted and joined by |; null where there are none.
+
+    Tasks sort the values by range, and the driver hashes them as a stream, so that nothing grows with
+    their number but the sorted shuffle and the time. Runs when called.
+    """
+    root, some = hashlib.sha256(), False
+    for piece in sorted_pieces(values):
+        root.update(("|" * some + piece).encode())
+        some = True
+    return values.sparkSession.createDataFrame([(root.hexdigest() if some else None,)], "root string")

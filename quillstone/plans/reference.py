@@ -257,7 +257,6 @@ def agg_pattern_eval(labels, docs):
 
 @query("conversations", sql=f"with {_MESSAGES}, {_SENTENCES}, {_ATOMS} select sha256(string_agg(h, '|' order by h)) as root from (select distinct sha256(kind || ':' || subject || ':' || coalesce(value, '')) as h from atoms where role = 'user')")
 def agg_truth_root(conversations):
-    """Set hash of what users state, whatever its order; one short hash of each distinct statement is gathered."""
+    """Set hash of all that users state, CURRENT or not, whatever its order."""
     own = C.statements(C.messages(conversations)).where("role = 'user'")
-    one = own.select(F.sha2(F.concat_ws(":", "kind", "subject", F.coalesce("value", F.lit(""))).cast("binary"), 256).alias("h")).distinct()
-    return one.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "|").cast("binary"), 256).alias("root"))
+    return R.set_root(own.select(F.sha2(F.concat_ws(":", "kind", "subject", F.coalesce("value", F.lit(""))).cast("binary"), 256).alias("h")))

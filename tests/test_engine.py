@@ -66,3 +66,25 @@ def test_replication_is_idempotent(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "log"))
         replication.replicate(spark, str(tmp_path / "log"), schema, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert sorted((r.record_id, r.payload) for r in replication.state(spark, str(tmp_path / "out")).collect()) == [("r", "two"), ("s", "ok")]
+
+
+def test_set_root(spark):
+    values = [f"{i * 7919 % 1000:04d}" for i in range(1000)]
+    rows = spark.createDataFrame([(v,) for v in values + values[:100] + [None]], "h string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        pieces = list(R.sorted_pieces(rows))
+        root = R.set_root(rows).first().root
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "|".join(pieces) == "|".join(sorted(values)) and max(map(len, pieces)) < 64 * 5
+    assert root == hashlib.sha256("|".join(sorted(values)).encode()).hexdigest()
+
+
+def test_truth_root_gathers_nothing(spark):
+    from quillstone.plans import reference
+
+    rows = spark.createDataFrame([(1, 0, "user", "The cat is black."), (1, 1, "assistant", "Yes it is.")], "conv_id long, turn int, role string, text string")
+    some, none = (reference.agg_truth_root(r) for r in (rows, rows.where("role <> 'user'")))
+    assert len(some.first().root) == 64 and none.first().root is None  # as the SQL
+    assert "collect_list" not in some._jdf.queryExecution().toString()
