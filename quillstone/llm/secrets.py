@@ -27,7 +27,8 @@ TOKEN = "[A-Za-z0-9+/_=-]"
 LEAST_TOKEN = 8
 #: Nats by which a token must look more random than ordinary.
 LOG_ODDS = 14.0
-SAMPLE_ROWS = 4000
+#: Generated random strings that the random model is counted on.
+RANDOM_STRINGS = 12000
 SMOOTH, BACK_OFF = 0.5, 4.0
 
 
@@ -57,16 +58,13 @@ def _found(text: Column, pattern: str, group: int, least: int, cheap: str, kind:
     return F.when(text.rlike(cheap), _spans(text, pattern, group, kind, rank, lambda part: F.length(part) >= least)).otherwise(F.array().cast(NONE))
 
 
-def default_samples(docs: DataFrame, rows: int = SAMPLE_ROWS, text_col: str = "text") -> DataFrame:
-    """(text, random): generated random strings, and identifiers from the words of `rows` documents, by a hash of the row."""
+def default_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text, random): generated random strings, and identifiers from the distinct words of all documents."""
     spark = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
     code = F.base64(F.unhex(digest))
-    made = spark.range(3 * rows).select(F.element_at(F.array(code, F.substring(digest, 1, 40), F.upper(code)), (F.col("id") % 3 + 1).cast("int")).alias("text"), F.lit(True).alias("random"))
-    # the rows with the smallest hashes: the cut is found on hashes alone, so texts are not gathered in one task
-    order = F.xxhash64(*docs.columns)
-    cut = docs.select(order.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    picked = docs.where(order <= F.lit(cut)).select(F.col(text_col).cast("string").alias("t")).where("t is not null")
+    made = spark.range(RANDOM_STRINGS).select(F.element_at(F.array(code, F.substring(digest, 1, 40), F.upper(code)), (F.col("id") % 3 + 1).cast("int")).alias("text"), F.lit(True).alias("random"))
+    picked = docs.select(F.col(text_col).cast("string").alias("t")).where("t is not null")
     words = picked.select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z]{3,}"), 0)).alias("w")).distinct()
     w = F.col("w")
     shapes = [w, F.concat(w, F.lit("_"), w), F.concat(w, F.lit("-"), w), F.concat(w, F.lit("/"), w), F.concat(w, F.initcap(w)), F.concat(w, F.crc32(w.cast("binary")) % 1000), F.concat(w, F.lit("="), w), F.upper(w), F.concat(F.crc32(w.cast("binary")).cast("string"), F.lit("-"), F.crc32(w.cast("binary")).cast("string"))]

@@ -45,3 +45,12 @@ def test_stages_against_plain_python(spark, tmp_path):
         else:
             docs, texts = out, got
     assert start.count() > docs.count()
+
+
+def test_secrets_are_judged_by_the_model_of_op6(spark, monkeypatch):
+    docs, found = spark.read.parquet(f"{DIR}/documents.parquet"), []
+    want = P.secrets.train(P.secrets.default_samples(docs))
+    train = P.secrets.train
+    monkeypatch.setattr(P.secrets, "train", lambda samples: found.append(train(samples)) or found[-1])
+    P.blank_secrets(spark, docs.limit(3), DIR)
+    assert found == [want]

@@ -52,6 +52,12 @@ def test_short_keys(spark):
     assert all(k not in r.text for r in S.redact(df, samples=samples).collect() for k in keys)
 
 
+def test_ordinary_model_counts_all_documents(spark):
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Zqx"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    words = {r.text for r in S.default_samples(rows).where("not random and text rlike '^Zqx[a-j]+$'").select("text").distinct().collect()}
+    assert {r.text for r in rows.collect()} <= words
+
+
 def S_(r):
     return [(s.kind, s.start, s.end) for s in r.spans]
 
