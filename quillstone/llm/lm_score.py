@@ -167,7 +167,6 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     sent = rows.groupBy("__chunk").applyInArrow(_counter(chunks), "shard int, chunk int, keys binary, n binary, t binary")
     counts = work.write(sent.groupBy("shard").applyInArrow(_add, "shard int, chunk int, more binary, n binary, t binary, n_keys long, n_sum long, t_sum long"), "counts")
     total = counts.where(F.col("shard") < chunks).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_keys", "n_sum", "t_sum"))).first()
-    work.free()
     kind = dict(docs.dtypes)[id_col]
     both = rows.groupBy("__chunk").cogroup(counts.select("shard", F.col("chunk").alias("__chunk"), "more", "n", "t").groupBy("__chunk"))
     return both.applyInArrow(_scorer(chunks, *total), f"`{id_col}` {kind}, n_tokens long, target_unats long, background_unats long, score double")

@@ -1,8 +1,11 @@
-"""Written tables in the cluster's shared folder, and joins with a side of checked size."""
+"""Written tables in the cluster's shared folder, and joins with a side of checked size.
+
+Operators cut lineage by writing tables; an empty table is written and read like any other. What a lazy
+result still reads stays until `release` is called.
+"""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -13,33 +16,62 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 
 
+#: Spark's own setting: shuffle files go when the query that made them ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_MADE: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of its own only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir. Where that is unset: one of its own in local mode (tests), an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that `df` doesn't have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that operators have written in this application; results not yet written elsewhere can't be read after it."""
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Work:
-    """A folder for the tables that one operator writes; close() drops all that its result doesn't read, and frees shuffle files nobody can read any more."""
+    """A folder for the tables that one operator writes; drop() and remove() delete those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", []
+        _MADE.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{len(self.made)}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEAN, "false")
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN, before)
         self.made.append(path)
-        self.free()
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def free(self) -> None:
-        """Lets Spark's cleaner drop the shuffles behind written tables."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *keep: str) -> None:
         """Deletes all written tables but the named ones."""
         self.remove(*{self._name(p) for p in self.made} - set(keep))
@@ -50,8 +82,7 @@ class Work:
             self.made.remove(path)
 
     def delete(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(self.spark, path)
 
     @staticmethod
     def _name(path: str) -> str:
