@@ -2,9 +2,10 @@
 
 Each task turns runs of its documents (shards, about `SHARD_BYTES` of text) into a sorted array of word
 suffixes and binary-searches every test suffix in it. Shards keep only suffixes that begin with the
-first two words of some test suffix: no other can hold a match. The search gives, for each test
-suffix, the interval of training suffixes that begin with its window (all occurrences, for removal)
-and the longest verbatim match with its place. Documents are never shuffled.
+first two words of some test suffix: no other can hold a match. The search gives, for each distinct
+window, the interval of training suffixes that begin with it (all occurrences, for removal), and for each
+test suffix the longest verbatim match with its place. Arrays are sorted by prefix doubling and words in common are counted
+by doubling too, so long runs of one word cost little more than other text. Documents are never shuffled.
 
 The test set is searched in blocks of at most `BLOCK_BYTES`, so what is broadcast is bounded.
 """
@@ -20,12 +21,13 @@ from . import words as W
 from .store import Work, join_checked
 
 SHARD_BYTES = 4 << 20
-BLOCK_BYTES = 32 << 20
+#: Bytes of test texts that are searched at once; what is broadcast for them is about five times as large.
+BLOCK_BYTES = 16 << 20
 _FILTER_BITS = 22
 
 
 class TestSet:
-    """Test suffixes: word hashes of all items, and of each suffix its start, its item's end, its window's length and its item."""
+    """Test suffixes: word hashes of all items, and of each suffix its start, its item's end, its window's length and its item; the distinct windows (a suffix of each, and the items that have it)."""
 
     __test__ = False
 
@@ -33,18 +35,22 @@ class TestSet:
         w = W.split(pa.array(texts, pa.string()), W.ALNUM, lower=True)
         self.ids = np.array([None if i is None else str(i) for i in ids], object)
         seen: dict = {}
-        self.same = np.array([seen.setdefault(i, k) for k, i in enumerate(self.ids)], np.int64)  # the first row of the item's id
-        self.hash = w.hash
+        same = np.array([seen.setdefault(i, k) for k, i in enumerate(self.ids)], np.int64)  # the first row of the item's id
+        self.hash, self.sums = w.hash, _sums(w.hash)
         n, doc = w.count, w.doc()
-        self.length = np.minimum(window, n)[doc]
-        self.end = w.first[1:][doc]
-        self.start = np.flatnonzero(np.arange(len(w.hash)) + self.length <= self.end)
-        self.item, self.end, self.length = doc[self.start], self.end[self.start], self.length[self.start]
+        length = np.minimum(window, n)[doc]
+        end = w.first[1:][doc]
+        self.start = np.flatnonzero(np.arange(len(w.hash)) + length <= end)
+        self.item, self.end, self.length = doc[self.start], end[self.start], length[self.start]
         self.word = self.start - w.first[self.item]
-        self.depth = int(n.max(initial=0))
-        self.single = np.unique(self.hash[self.start[self.end - self.start == 1]])
-        pair = _pairs(self.hash)
-        self.pair = np.unique(pair[self.start[self.end - self.start > 1]])
+        self.depth, self.window = int(n.max(initial=0)), int(self.length.max(initial=0))
+        key = _run(self.sums, self.start, self.length)
+        _, self.one, which = np.unique(np.stack([key, self.length.astype(np.uint64)]), axis=1, return_index=True, return_inverse=True)
+        pair = np.unique(np.stack([which.reshape(-1), same[self.item]], 1), axis=0)
+        pair = pair[[self.ids[i] is not None for i in pair[:, 1]]] if len(pair) else pair
+        self.has, self.items = np.searchsorted(pair[:, 0], np.arange(len(self.one) + 1)), pair[:, 1]
+        self.single = np.unique(self.hash[self.start[self.length == 1]])
+        self.pair = np.unique(_pairs(self.hash)[self.start[self.length > 1]])
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.pair & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
 
@@ -56,19 +62,34 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sums(h: np.ndarray) -> np.ndarray:
+    """Prefix sums of word hashes times powers, from which the hash of any run of words follows."""
+    up, _ = W._POWERS.upto(len(h))
+    out = np.zeros(len(h) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(h * up[: len(h)], out=out[1:])
+    return out
+
+
+def _run(sums: np.ndarray, at: np.ndarray, length) -> np.ndarray:
+    """Hash of the `length` words from each position."""
+    _, down = W._POWERS.upto(len(sums))
+    with np.errstate(over="ignore"):
+        return (sums[at + length] - sums[at]) * down[at]
+
+
 class Shard:
-    """The suffix array of a run of documents: word positions in the order of the words that follow."""
+    """The suffix array of a run of documents: word positions in the order of the words that follow, as far as `depth` words."""
 
-    def __init__(self, w: W.Words, test: TestSet):
-        self.hash, self.first, self.doc = w.hash, w.first, w.doc()
+    def __init__(self, w: W.Words, test: TestSet, depth: int):
+        self.hash, self.first, self.doc, self.sums = w.hash, w.first, w.doc(), _sums(w.hash)
         self.last = np.repeat(w.first[1:], w.count)
-        n = len(w.hash)
         pair = _pairs(w.hash)
         maybe = np.flatnonzero(test.filter[(pair & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
         maybe = maybe[(maybe + 1 < self.last[maybe]) & np.isin(pair[maybe], test.pair)]
         if len(test.single):
             maybe = np.union1d(maybe, np.flatnonzero(np.isin(w.hash, test.single)))
-        self.sa = self._sorted(maybe, test.depth) if n else maybe
+        self.sa = self._sorted(maybe, depth) if len(maybe) > 1 else maybe
 
     def word(self, at: np.ndarray, depth) -> np.ndarray:
         """The word `depth` after a position; 0, before all words, past the text's end."""
@@ -76,37 +97,40 @@ class Shard:
         return np.where(to < self.last[at], self.hash[np.minimum(to, len(self.hash) - 1)], np.uint64(0))
 
     def _sorted(self, at: np.ndarray, depth: int) -> np.ndarray:
-        sa = at[np.argsort(self.hash[at], kind="stable")]
-        h = self.hash[sa]
-        group = np.zeros(len(sa), np.int64)
-        open_ = np.arange(len(sa))
-        fresh = np.concatenate([[True], h[1:] != h[:-1]])[: len(sa)]
-        for d in range(1, depth + 1):
-            if not len(open_):
-                break
-            group[open_] = open_[fresh][np.cumsum(fresh) - 1]
-            # only suffixes that tie so far, and do not end here, are looked at further
-            tie = np.zeros(len(open_), bool)
-            tie[1:] |= ~fresh[1:]
-            tie[:-1] |= ~fresh[1:]
-            tie &= self.last[sa[open_]] > sa[open_] + d - 1
-            open_ = open_[tie]
-            k = self.word(sa[open_], d)
-            order = np.lexsort((k, group[open_]))
-            sa[open_], k = sa[open_][order], k[order]
-            g = group[open_]
-            fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])])[: len(open_)]
-        return sa
+        """Prefix doubling: ranks by d words give ranks by 2 d, until no two of the wanted suffixes tie or `depth` is reached."""
+        rank = np.unique(self.hash, return_inverse=True)[1].reshape(-1) + 1
+        d, places = 1, np.arange(len(rank))
+        while d < depth and len(np.unique(rank[at])) < len(at):
+            to = places + d
+            after = np.where(to < self.last, rank[np.minimum(to, len(rank) - 1)], 0)
+            order = np.lexsort((after, rank))
+            step = np.ones(len(rank), np.int64)
+            step[1:] = (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])
+            rank[order] = np.cumsum(step)
+            d *= 2
+        return at[np.argsort(rank[at], kind="stable")]
 
     def _common(self, at: np.ndarray, test: TestSet, q: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Words that suffixes `at` and test suffixes `q` have in common, up to `most`."""
+        """Words that suffixes `at` and test suffixes `q` have in common, up to `most`: steps of doubled length forward, then of halved length."""
+        most = np.minimum(most, self.last[at] - at)
         out = np.zeros(len(at), np.int64)
-        go, d = np.arange(len(at)), 0
-        while len(go):
-            go = go[d < most[go]]
-            go = go[self.word(at[go], d) == test.hash[test.start[q[go]] + d]]
-            d += 1
-            out[go] = d
+        go = np.flatnonzero(most > 0)
+        go = go[self.hash[at[go]] == test.hash[test.start[q[go]]]]
+        out[go] = 1
+        step, open_ = np.ones(len(at), np.int64), go
+        while len(go):  # equal so far: twice as far
+            far = np.minimum(2 * out[go], most[go])
+            equal = (far > out[go]) & (_run(self.sums, at[go], far) == _run(test.sums, test.start[q[go]], far))
+            step[go] = far
+            go = go[equal]
+            out[go] = step[go]
+        low, high = out[open_], np.maximum(out[open_], step[open_] - 1)
+        high = np.where(step[open_] == out[open_], out[open_], high)
+        while len(k := np.flatnonzero(low < high)):
+            mid = (low[k] + high[k] + 1) // 2
+            equal = _run(self.sums, at[open_[k]], mid) == _run(test.sums, test.start[q[open_[k]]], mid)
+            low[k], high[k] = np.where(equal, mid, low[k]), np.where(equal, high[k], mid - 1)
+        out[open_] = low
         return out
 
     def bound(self, test: TestSet, q: np.ndarray, most: np.ndarray, upper: bool) -> np.ndarray:
@@ -124,18 +148,18 @@ class Shard:
         return low
 
     def occurrences(self, test: TestSet) -> tuple[np.ndarray, np.ndarray]:
-        """(word position, test suffix) of each occurrence of a window."""
-        q = np.arange(len(test.start))
+        """(word position, distinct window) of each occurrence of a window: of each length, one window at most begins at a position."""
+        q = test.one
         if not len(self.sa) or not len(q):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        low = self.bound(test, q, test.length, False)
+        low = self.bound(test, q, test.length[q], False)
         # most windows are nowhere: only those that the lower bound meets have an interval
-        here = low < len(self.sa)
-        here[here] = self._common(self.sa[low[here]], test, q[here], test.length[here]) == test.length[here]
+        here = np.flatnonzero(low < len(self.sa))
+        here = here[self._common(self.sa[low[here]], test, q[here], test.length[q[here]]) == test.length[q[here]]]
         q, low = q[here], low[here]
         n = self.bound(test, q, test.length[q], True) - low
         at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return self.sa[at], np.repeat(q, n)
+        return self.sa[at], np.repeat(here, n)
 
     def longest(self, test: TestSet) -> tuple[np.ndarray, np.ndarray]:
         """Of each test suffix: the length of its longest match in the shard, and where it is."""
@@ -157,19 +181,21 @@ def _hits(test, uid: bool):
         t: TestSet = test.value
         for b in W.chunks(batches, "text", SHARD_BYTES):
             w = W.split(b.column(1), W.ALNUM, lower=True)
-            at, q = Shard(w, t).occurrences(t)
+            at, own = Shard(w, t, t.window).occurrences(t)
             docs = b.num_rows
             edge = np.zeros(len(w.hash) + 1, np.int64)
             np.add.at(edge, at, 1)
-            np.add.at(edge, at + t.length[q], -1)
+            np.add.at(edge, at + t.length[t.one[own]], -1)
             hit = np.concatenate([[0], np.cumsum(edge[:-1]) > 0, [0]]).astype(np.int8)
             # a span ends where its document does, whatever the next one begins with
             begin, stop = np.flatnonzero((hit[1:-1] > 0) & ((hit[:-2] == 0) | _starts(w))), np.flatnonzero((hit[1:-1] > 0) & ((hit[2:] == 0) | _stops(w))) + 1
             doc = w.doc()
             spans = np.searchsorted(doc[begin], np.arange(docs + 1)) if len(begin) else np.zeros(docs + 1, np.int64)
             base = w.first[doc[begin]]
-            found = np.unique(np.stack([doc[at], t.same[t.item[q]]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-            found = found[[t.ids[i] is not None for i in found[:, 1]]] if len(found) else found
+            met = np.unique(np.stack([doc[at], own], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+            n = t.has[met[:, 1] + 1] - t.has[met[:, 1]]  # the items of each window that a document has
+            each = np.repeat(t.has[met[:, 1]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found = np.unique(np.stack([np.repeat(met[:, 0], n), t.items[each]], 1), axis=0)
             items = np.searchsorted(found[:, 0], np.arange(docs + 1))
             struct = pa.StructArray.from_arrays([pa.array(begin - base), pa.array(stop - base)], ["start", "end"])
             cols = [
@@ -199,7 +225,7 @@ def _longest(test):
         t: TestSet = test.value
         for b in W.chunks(batches, "text", SHARD_BYTES):
             w = W.split(b.column(1), W.ALNUM, lower=True)
-            shard = Shard(w, t)
+            shard = Shard(w, t, t.depth)
             best, place = shard.longest(t)
             q = np.flatnonzero(best >= t.length)
             doc = shard.doc[place[q]] if len(q) else place[q]
@@ -227,8 +253,8 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: s
 
     Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. A window is `window`
     consecutive words of an item; an item of fewer words is one window, one without words has none. Null
-    texts have no words; a test row with a null id still marks words but is no item. Repeated
-    documents each have their row. Other columns are not read; an empty benchmark marks nothing.
+    texts have no words; a test row with a null id still marks words but is no item; test rows of one id are one item. Repeated
+    documents each have their row. Other columns are not read, whatever their names; an empty benchmark marks nothing.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(texts.dtypes)["doc_id"]
@@ -237,7 +263,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: s
     if len(tests) == 1:
         return texts.mapInArrow(_hits(tests[0], False), schema)
     work = Work(docs.sparkSession, "decontaminate")
-    named = texts.withColumn("uid", F.monotonically_increasing_id())
+    named = work.write(texts.withColumn("uid", F.monotonically_increasing_id()), "named")  # written, so that all scans see one numbering
     out = None
     for t in tests:
         part = work.write(named.mapInArrow(_hits(t, True), schema + ", uid bigint"), "part")
@@ -249,7 +275,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: s
 
 
 def longest_matches(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The longest verbatim match of every test suffix that matches at least its window: item_id, item_word (where the suffix starts), length in words, and the doc_id and doc_word of the match (of equals, the smallest)."""
+    """The longest verbatim match of every test suffix that matches at least its window: item_id, item_word (where the suffix starts), length in words, and the doc_id and doc_word of the match (of equals, the smallest). Nulls, repeated rows and empty tables as in `contamination`."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"item_id string, item_word bigint, length bigint, doc_id {dict(texts.dtypes)['doc_id']}, doc_word bigint"
     out = None
@@ -261,7 +287,7 @@ def longest_matches(docs: DataFrame, bench: DataFrame, window: int = 10, id_col:
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: str = "doc_id", **columns) -> DataFrame:
-    """`docs` without the contaminated documents, all columns kept (a null id is kept)."""
+    """`docs` without the contaminated documents, all columns kept; a null id is kept. Of rows that repeat an id, all go when one is contaminated."""
     work = Work(docs.sparkSession, "decontaminate")
     bad = work.write(contamination(docs, bench, window, id_col, **columns).where(F.size("spans") > 0).select(F.col("doc_id").alias(id_col)).distinct(), "bad")
     return join_checked(docs, bad, id_col, "left_anti", 16 * bad.count()).select(docs.columns)

@@ -58,3 +58,13 @@ def test_repeated_item_ids(spark, monkeypatch):
         monkeypatch.setattr(D, "BLOCK_BYTES", most)
         got = {r.doc_id: (sum(x.end - x.start for x in r.spans), sorted(r["items"])) for r in D.contamination(d, b).collect()}
         assert got == {0: (30, ["x", "y"]), 1: (30, ["x"]), 2: (10, [])}
+
+
+def test_runs_of_one_word(spark):
+    docs = [(0, "z " * 200_000), (1, "a " + "z " * 9 + "b"), (2, "z " * 30)]
+    items = [(7, "z " * 10_000), (8, "z z"), (9, "y " * 3000)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (sum(x.end - x.start for x in r.spans), sorted(r["items"])) for r in D.contamination(d, b).collect()}
+    assert got == {0: (200_000, ["7", "8"]), 1: (9, ["8"]), 2: (30, ["7", "8"])}
+    best = {(r.item_id, r.item_word): (r.length, r.doc_id) for r in D.longest_matches(d, b).collect()}
+    assert len(best) == 9_991 + 1 and best["7", 0] == (10_000, 0) and best["7", 9_990][0] == 10 and best["8", 0][0] == 2
