@@ -41,6 +41,14 @@ def test_odd_rows(spark):
     assert deduplicate(df.limit(0), 10).count() == 0
 
 
+def test_several_texts_of_one_id(spark):
+    say = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    a, b, c = say("a"), say("b"), say("c")
+    docs = [(3, a), (5, a), (5, b), (6, "x " + a), (6, f"{b} {c}"), (7, c), (7, c), (8, None), (9, a + " " + a)]
+    got = sorted(((r.doc_id, r.n_words, r.text) for r in deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(3, 60, a), (5, 60, ""), (5, 60, b), (6, 61, "x"), (6, 120, c), (7, 60, ""), (7, 60, ""), (8, 0, ""), (9, 120, "")], key=str)
+
+
 def test_doubling(spark):
     docs = [(d, t) for d, t in corpus(3) if d < 600]
     got = {}
