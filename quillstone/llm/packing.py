@@ -1,14 +1,13 @@
 """Operator 8, bulk-synchronous best-fit packing.
 
-Documents are tokenised and cut into pieces of at most the capacity, and the pieces are range-sorted by
-length over the cluster. In that order they are runs of one length each, at most as many as the
-capacity has values, whatever the number of pieces; so are the gaps of the open sequences. Each
-superstep takes the longest remaining run of pieces and sweeps up the runs of gaps from the successor
-(the smallest gap that holds the length). Conflicts are resolved by rank: the k-th pieces of the run
-take the k-th sequence of the gap's run, as many as it holds; then the gaps are updated, and the next
-superstep follows until no run is left. What finds no gap opens new sequences. The matched intervals of
-ranks are broadcast (their number depends on the capacity, not on the rows), and every piece finds
-its place from its own rank, where it lies.
+Documents are tokenised and cut into pieces of at most the capacity. A superstep range-sorts the pieces
+still to place by length, the longest first, and the gaps of the sequences so far by size, and deals
+both by rank to lanes, so that every lane has the same mix of lengths and no two lanes meet over a piece or a
+gap. Each lane, a task of bounded size, sweeps its pieces from the longest run of equal lengths on: a run
+goes to its successor, the smallest run of gaps that holds it; of a run's pieces the k-th by rank takes the
+k-th gap, as many as that holds; the gaps are updated, and what finds none opens sequences. At the end of
+a superstep every lane gives back the pieces of its emptiest new sequence; these, and as many of the lane's updated
+gaps, are the rows of the next, with a sixteenth of the lanes, until one lane is left, which places all.
 """
 
 from __future__ import annotations
@@ -26,6 +25,8 @@ from pyspark.sql import functions as F
 from . import words as W
 from .store import Work
 
+#: Pieces that a lane takes, about, and how many lanes one lane of the next superstep follows.
+LANE_PIECES, LANES_EACH = 1 << 17, 16
 #: Distinct words whose ids a task keeps before it starts over.
 CACHE_WORDS = 3 << 17
 #: Words encoded at once: each alone, or joined to one text.
@@ -148,14 +149,16 @@ def _pieces(path: str, capacity: int, end_id: int):
     return run
 
 
-def fit(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """The supersteps. counts: pieces of each length. Rows: length, first rank, pieces, pieces to a sequence, first sequence, offset there."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # of each gap: runs of sequences (first, how many)
-    sizes: list[int] = []  # the gaps, ascending
-    plan, fresh, least = [], 0, min((k for k, n in counts.items() if n), default=0)
+def fit(counts: dict[int, int], capacity: int, open_gaps: dict[int, list[tuple[int, int]]] | None = None) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]], int]:
+    """The sweeps of a lane. counts: pieces of each length; open_gaps: of each gap, runs of sequences (first, how many), of negative numbers.
+
+    Gives rows (length, first rank, pieces, pieces to a sequence, first sequence, gap before), the gaps left in the same form, and how many sequences were opened (from 0)."""
+    gaps = {g: list(runs) for g, runs in (open_gaps or {}).items()}
+    sizes = sorted(gaps)  # the gaps, ascending
+    plan, opened = [], 0
 
     def put(gap: int, first: int, n: int) -> None:
-        if n and gap >= least:
+        if n and gap:
             if gap not in gaps:
                 bisect.insort(sizes, gap)
                 gaps[gap] = []
@@ -172,36 +175,82 @@ def fit(counts: dict[int, int], capacity: int) -> np.ndarray:
                     del gaps[gap], sizes[i]
             else:
                 gap, n = capacity, -(-left // (capacity // length))
-                first, fresh = fresh, fresh + n
+                first, opened = opened, opened + n
             each = gap // length
             full = min(n, left // each)
             taken = full * each
             if full:
-                plan.append((length, rank, taken, each, first, capacity - gap))
+                plan.append((length, rank, taken, each, first, gap))
                 put(gap - each * length, first, full)
             if full < n and left > taken:  # the last sequence of the run takes what remains
-                plan.append((length, rank + taken, left - taken, left - taken, first + full, capacity - gap))
+                plan.append((length, rank + taken, left - taken, left - taken, first + full, gap))
                 put(gap - (left - taken) * length, first + full, 1)
                 full, taken = full + 1, left
             put(gap, first + full, n - full)
             rank, left = rank + taken, left - taken
-    return np.array(plan, np.int64).reshape(-1, 6)
+    return np.array(plan, np.int64).reshape(-1, 6), gaps, opened
+
+
+_STATE = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+#: Kinds of rows between supersteps: a piece to place, a placed one, and a gap (its size as length).
+_FREE, _PLACED, _GAP = 0, 1, 2
+
+
+def _lane(capacity: int, step: int, last: bool):
+    """A lane's superstep. Sequences are numbered by superstep, lane and order."""
+
+    def run(key, table):
+        kind, length, ids = (table.column(c).to_numpy() for c in ("kind", "length", "sequence_id"))
+        base = (step << 56) + (key[0].as_py() << 32)
+        own = np.flatnonzero(kind == _GAP)
+        own = own[np.lexsort((ids[own], length[own]))]
+        runs: dict[int, list[tuple[int, int]]] = {}
+        for g, at, n in zip(*(x.tolist() for x in np.unique(length[own], return_index=True, return_counts=True)), strict=True):
+            runs[g] = [(at - len(own), n)]  # the k-th of the sorted gaps is sequence k - len
+        pieces = np.flatnonzero(kind == _FREE)
+        rank = {c: table.column(c).take(pa.array(pieces)).to_pandas() for c in ("doc_id", "piece", "ids_crc32")}
+        pieces = pieces[pd.DataFrame({"n": -length[pieces], **rank}).sort_values(["n", "doc_id", "piece", "ids_crc32"], kind="stable").index.to_numpy()]
+        sizes, at, counts = np.unique(-length[pieces], return_index=True, return_counts=True)
+        plan, left, opened = fit(dict(zip((-sizes).tolist(), counts.tolist(), strict=True)), capacity, runs)
+        first = dict(zip((-sizes).tolist(), at.tolist(), strict=True))
+        sequence, offset = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        for n, r, many, each, seq, gap in plan.tolist():
+            k = np.arange(many)
+            to = slice(first[n] + r, first[n] + r + many)
+            sequence[to], offset[to] = seq + k // each, capacity - gap + k % each * n
+        back = -(1 << 40)
+        if not last and (new := {g: [x for x in runs if x[0] >= 0] for g, runs in left.items()}):
+            widest = max((g for g, runs in new.items() if runs), default=None)
+            back = new[widest][-1][0] + new[widest][-1][1] - 1 if widest is not None else back
+        number = lambda s: np.where(s < 0, ids[own][np.minimum(s + len(own), len(own) - 1)] if len(own) else s, base + s)
+        free = sequence == back
+        placed = table.take(pa.array(pieces))
+        put = lambda t, c, v: t.set_column(t.schema.get_field_index(c), c, pa.array(v))
+        placed = put(put(put(placed, "kind", np.where(free, _FREE, _PLACED).astype(np.int32)), "sequence_id", np.where(free, 0, number(sequence))), "offset", np.where(free, 0, offset))
+        # a returned piece needs one gap at most: the largest ones go on
+        gap = [(g, s) for g in sorted(left, reverse=True) for at, n in left[g] for s in range(at, at + n) if s != back] if free.any() else []
+        gap = gap[: int(free.sum())]
+        sizes, ids_ = (np.array([x[i] for x in gap], np.int64) for i in (0, 1))
+        rest = pa.table({c: pa.nulls(len(gap), placed.schema.field(c).type) for c in placed.schema.names})
+        rest = put(put(put(rest, "kind", np.full(len(gap), _GAP, np.int32)), "length", sizes), "sequence_id", number(ids_))
+        rest = rest.set_column(rest.schema.get_field_index("doc_id"), placed.schema.field("doc_id"), pa.nulls(len(gap), placed.schema.field("doc_id").type))
+        return pa.concat_tables([placed, rest.cast(placed.schema)]).drop_columns(["lane"])
 
+    return run
 
-def _place(plan):
-    def run(batches):
-        p = plan.value
-        key = p[:, 0] << 44 | p[:, 1]
-        order = np.argsort(key)
-        p, key = p[order], key[order]
-        for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            row = p[np.searchsorted(key, length << 44 | rank, "right") - 1]
-            k, each = rank - row[:, 1], row[:, 3]
-            new = [pa.array(row[:, 4] + k // each), pa.array(row[:, 5] + k % each * length)]
-            yield pa.RecordBatch.from_arrays(b.columns[:5] + new, b.schema.names[:5] + ["sequence_id", "offset"])
 
-    return run
+def _dealt(work: Work, rows: DataFrame, lanes: int) -> DataFrame:
+    """`rows` range-sorted by kind and length, with lane: the rank in that order modulo `lanes`."""
+    order = [F.col("kind"), F.desc("length"), F.xxhash64("doc_id", "piece", "ids_crc32", "sequence_id")]
+    at = F.monotonically_increasing_id()
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = work.write(ranged.select("*", F.shiftright(at, 33).alias("part"), at.bitwiseAND((1 << 33) - 1).alias("pos")), "ranged")
+    before, total = [], 0
+    for part, n in sorted(map(tuple, ranged.groupBy("part").agg(F.count("*")).collect())):  # a number for each partition
+        before.append((part, total))
+        total += n
+    sums = work.spark.createDataFrame(before, "part bigint, before bigint")
+    return ranged.join(F.broadcast(sums), "part").withColumn("lane", ((F.col("pos") + F.col("before")) % lanes).cast("int")).drop("part", "pos", "before")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,30 +259,27 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     tokenizer: a tokenizers JSON file, readable on every worker, that lower-cases, drops white space and
     splits words from punctuation. Each document is its ids and then `end_id`, so a null or empty text is one token. Only
     documents over the capacity are cut. Repeated rows and rows with a null id are packed like any
-    other. Other columns are not read; an empty table packs nothing.
+    other. Other columns are not read, whatever their names; an empty table packs nothing.
     """
     work = Work(docs.sparkSession, "packing")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {dict(texts.dtypes)['doc_id']}, piece int, start bigint, length bigint, ids_crc32 bigint"
     cut = work.write(texts.mapInArrow(_pieces(tokenizer, capacity, end_id), schema), "cut")
-    order = ["length", "doc_id", "piece", "ids_crc32"]
-    ranged = cut.repartitionByRange(*order).sortWithinPartitions(*order)
-    at = F.monotonically_increasing_id()
-    ranged = work.write(ranged.select("*", F.shiftright(at, 33).alias("part"), at.bitwiseAND((1 << 33) - 1).alias("pos")), "ranged")
-    # a length lies in consecutive partitions, so these are at most partitions plus lengths
-    runs = sorted(map(tuple, ranged.groupBy("length", "part").agg(F.count("*"), F.min("pos")).collect()))
-    counts: dict[int, int] = {}
-    base = []
-    for length, part, n, pos in runs:
-        base.append((length, part, counts.get(length, 0) - pos))
-        counts[length] = counts.get(length, 0) + n
-    spark = docs.sparkSession
-    bases = F.broadcast(spark.createDataFrame(base, "length bigint, part bigint, base bigint"))
-    ranked = ranged.join(bases, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("pos") + F.col("base")).alias("rank"))
-    plan = spark.sparkContext.broadcast(fit(counts, capacity))
-    out = work.write(ranked.mapInArrow(_place(plan), schema + ", sequence_id bigint, offset bigint"), "out")
-    work.drop("out")
-    return out
+    schema += ", kind int, sequence_id bigint, offset bigint"
+    zero = F.lit(0).cast("bigint")
+    # whole pieces of the capacity are sequences by themselves
+    state = cut.select("*", F.lit(_FREE).alias("kind"), zero.alias("sequence_id"), zero.alias("offset"))
+    lanes, step, out = max(1, -(-cut.count() // LANE_PIECES)), 0, None
+    while True:
+        dealt = _dealt(work, state, lanes)
+        moved = work.write(dealt.groupBy("lane").applyInArrow(_lane(capacity, step, lanes == 1), schema), "moved")
+        placed = moved.where(F.col("kind") == _PLACED).select(*_STATE)
+        out = placed if out is None else out.union(placed)
+        if lanes == 1:
+            work.remove("cut", "ranged")
+            return out
+        state = moved.where(F.col("kind") != _PLACED)
+        lanes, step = -(-lanes // LANES_EACH), step + 1
 
 
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from quillstone.llm.packing import fit, pack
+from quillstone.llm import packing
+from quillstone.llm.packing import LANE_PIECES, fit, pack
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -43,19 +44,24 @@ def best_fit(lengths, capacity):
 def test_fit(lengths):
     counts = {n: lengths.count(n) for n in lengths}
     rows, seen = [], {}
-    for length, rank, n, each, first, offset in fit(counts, 40).tolist():
+    plan, left, opened = fit(counts, 40)
+    for length, rank, n, each, first, gap in plan.tolist():
         for k in range(n):
-            rows.append((first + k // each, offset + k % each * length, length))
+            rows.append((first + k // each, 40 - gap + k % each * length, length))
             seen.setdefault(length, set()).add(rank + k)
     assert seen == {n: set(range(c)) for n, c in counts.items()}
-    assert check(rows, 40) == best_fit(lengths, 40)
+    assert check(rows, 40) == best_fit(lengths, 40) == opened
+    assert sum(g * n for g, runs in left.items() for _, n in runs) == 40 * opened - sum(lengths)
 
 
-def test_pack(spark):
+@pytest.mark.parametrize("lane", [LANE_PIECES, 12])
+def test_pack(spark, monkeypatch, lane):
+    monkeypatch.setattr(packing, "LANE_PIECES", lane)
+    monkeypatch.setattr(packing, "LANES_EACH", 4)
     rnd = random.Random(3)
     say = lambda n: "".join(rnd.choice(["the ", "Ünder ", "don't ", "x1-y2\n", "<|endoftext|> ", "日本 ", "été  ", " a "]) for _ in range(n))
     docs = [(i, say(rnd.choice((0, 1, 30, 400)))) for i in range(80)] + [(90, None), (90, None), (None, "the end"), (91, say(5000))]
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    df = spark.createDataFrame([(*d, 1, "k") for d in docs], "doc_id long, text string, lane int, kind string").repartition(3)
     got = pack(df, PATH, 256).collect()
     tok = Tokenizer.from_file(PATH)
     want = []
@@ -65,7 +71,8 @@ def test_pack(spark):
             x = np.array(ids[a : a + 256], "<u4")
             want.append((d, p, a, len(x), zlib.crc32(x.tobytes())))
     assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
-    assert check([(r.sequence_id, r.offset, r.length) for r in got], 256) == best_fit([w[3] for w in want], 256)
+    used, least = check([(r.sequence_id, r.offset, r.length) for r in got], 256), best_fit([w[3] for w in want], 256)
+    assert used == least if lane == LANE_PIECES else used <= least + 2
     assert pack(df.limit(0), PATH).count() == 0
 
 
