@@ -1,8 +1,8 @@
 """Operator 3, quality classifier: supervised subword embeddings.
 
-Words (runs without white space) and their byte n-grams of `GRAMS` lengths, with word ends marked, are
-hashed to vectors; of word bigrams, those of a word with itself share one vector and others have none. A
-document is the average of the vectors of all its words and n-grams, and a softmax over two labels reads it. Vectors and output are learned together by numpy stochastic gradient descent
+Words (runs without white space), their byte n-grams of `GRAMS` lengths, with word ends marked, and all word
+bigrams are hashed to vectors. A word's own vector is the mean of its and its n-grams'; a document is the average of the vectors of all
+its words and bigrams, and a softmax over two labels reads it. A bigram is hashed by the exclusive or of its words' hashes, in any order. Vectors and output are learned together by numpy stochastic gradient descent
 on the driver, from a bounded sample of labelled rows (`ROWS_EACH` of either label). As the output is
 linear in the average, each bucket is one number when scoring, and each distinct word is looked up once.
 """
@@ -26,8 +26,6 @@ GRAMS = (3, 4, 5)
 STEPS, EPOCHS = 20_000, (6, 30)
 CUT = 0.3
 RATE, EMB_RATE = 0.5, 2.0
-#: Bucket of the bigram of a word with itself, which counts as often as a word's n-grams do together.
-REPEAT, REPEAT_WEIGHT = BUCKETS - 1, 16
 CACHE_WORDS = 1 << 19
 
 
@@ -62,14 +60,14 @@ class Model:
 
     def __init__(self, value, bias=0.0, scale=1.0, shift=0.0):
         self.value, self.bias, self.scale, self.shift = value, bias, scale, shift
-        self.known, self.sums, self.counts = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
+        self.known, self.sums = np.zeros(0, np.uint64), np.zeros(0)
 
     def logits(self, w: W.Words) -> np.ndarray:
         which, keys = pd.factorize(w.hash)
         one = np.zeros(len(keys), np.int64)
         one[which[::-1]] = np.arange(len(which))[::-1]
         if len(self.known) > CACHE_WORDS:
-            self.known, self.sums, self.counts = self.known[:0], self.sums[:0], self.counts[:0]
+            self.known, self.sums = self.known[:0], self.sums[:0]
         new = np.flatnonzero(~np.isin(keys, self.known, assume_unique=True))
         if len(new):
             buckets, n = features([w.raw(i) for i in one[new]])
@@ -78,24 +76,23 @@ class Model:
             order = np.argsort(keys[new])
             to = np.searchsorted(self.known, keys[new][order])
             self.known = np.insert(self.known, to, keys[new][order])
-            self.sums = np.insert(self.sums, to, (total[edge[1:]] - total[edge[:-1]])[order])
-            self.counts = np.insert(self.counts, to, n[order])
+            self.sums = np.insert(self.sums, to, ((total[edge[1:]] - total[edge[:-1]]) / n)[order])
         place = np.searchsorted(self.known, keys)[which]
-        sums = np.concatenate([[0.0], np.cumsum(self.sums[place])])[w.first]
-        counts = np.concatenate([[0], np.cumsum(self.counts[place])])[w.first]
-        repeats = REPEAT_WEIGHT * _repeats(w)
-        return (np.diff(sums) + repeats * float(self.value[REPEAT])) / np.maximum(np.diff(counts) + repeats, 1) + self.bias
+        at, buckets = bigrams(w)
+        sums, counts = self.sums[place], np.ones(len(place), np.int64)
+        sums[at] += self.value[buckets]
+        counts[at] += 1
+        sums = np.diff(np.concatenate([[0.0], np.cumsum(sums)])[w.first])
+        return sums / np.maximum(np.diff(np.concatenate([[0], np.cumsum(counts)])[w.first]), 1) + self.bias
 
     def score(self, w: W.Words) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip((self.logits(w) - self.shift) * self.scale + np.log(CUT / (1 - CUT)), -30, 30)))
 
 
-def _repeats(w: W.Words) -> np.ndarray:
-    """Of each text, its words that repeat the word before."""
-    same = np.zeros(len(w.hash), bool)
-    same[1:] = w.hash[1:] == w.hash[:-1]
-    same[w.first[:-1][w.count > 0]] = False
-    return np.diff(np.concatenate([[0], np.cumsum(same)])[w.first])
+def bigrams(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words that another of their text follows, and the bucket of each such pair."""
+    at = np.flatnonzero(np.arange(1, len(w.hash) + 1) < np.repeat(w.first[1:], w.count))
+    return at, (W.mix((w.hash[at] ^ w.hash[at + 1]) + np.uint64(1)) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +102,8 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     one = np.zeros(len(keys), np.int64)
     one[which[::-1]] = np.arange(len(which))[::-1]
     buckets, n = features([w.raw(i) for i in one])
-    weight = np.bincount(buckets, np.repeat(np.bincount(which, minlength=len(keys)), n).astype(float), BUCKETS)
-    weight[REPEAT] += REPEAT_WEIGHT * _repeats(w)[0]
+    each = np.bincount(which, minlength=len(keys)) / n
+    weight = np.bincount(buckets, np.repeat(each, n), BUCKETS) + np.bincount(bigrams(w)[1], minlength=BUCKETS)
     ids = np.flatnonzero(weight)
     return ids, (weight[ids] / max(weight.sum(), 1)).astype(np.float32)
 

@@ -40,7 +40,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_lookup_equals_the_average():
-    """Scoring by distinct words is the mean over all words, n-grams and repeats."""
+    """Scoring by distinct words is the mean over all words and bigrams."""
     m = Q.Model(np.random.default_rng(1).normal(size=Q.BUCKETS).astype(np.float32), 0.25)
     texts = ["a a a bc", "", "Straße the the x", "z"]
     want = []
@@ -48,8 +48,10 @@ def test_lookup_equals_the_average():
         w = t.split()
         buckets, n = Q.features([x.encode() for x in w])
         assert n.tolist() == [1 + sum(max(0, len(x.encode()) + 2 - k + 1) for k in Q.GRAMS) for x in w]
-        again = Q.REPEAT_WEIGHT * sum(x == y for x, y in zip(w, w[1:]))
-        want.append((m.value[buckets].sum() + again * m.value[Q.REPEAT]) / max(1, len(buckets) + again) + 0.25)
+        runs = Q.bigrams(W.split(pa.array([t])))[1]
+        assert len(runs) == max(0, len(w) - 1)
+        own = [x.mean() for x in np.split(m.value[buckets], np.cumsum(n)[:-1])] if w else []
+        want.append((sum(own) + m.value[runs].sum()) / max(1, len(w) + len(runs)) + 0.25)
     assert np.allclose(m.logits(W.split(pa.array(texts))), want, atol=1e-5)
 
 
