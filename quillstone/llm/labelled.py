@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,14 +11,29 @@ def fold(id_col: str, parts: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows_each: int, unless: Column, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> list:
-    """At most `rows_each` distinct texts of either label, by a hash of the id, from rows where `unless` is false. A document with several labels takes the largest; rows with a null id, label or text are passed over."""
+#: Bytes of text that the sample of either label may have.
+BYTES_EACH = 64 << 20
+
+
+def picked(labels: DataFrame, label: str, rows_each: int, unless: Column, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, label): at most `rows_each` ids of either label, the first by a hash, from rows where `unless` is false. A document with several labels takes the largest; null ids and labels are passed over."""
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
     own = own.where(~unless).groupBy("doc_id").agg(F.max("label").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = own.where("label = 1").orderBy(*order).limit(rows_each).union(own.where("label = 0").orderBy(*order).limit(rows_each))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c) for c in extra)).where("text is not null")
-    rows = texts.join(F.broadcast(picked), "doc_id").collect()  # at most 2 * rows_each ids are broadcast
+    return own.where("label = 1").orderBy(*order).limit(rows_each).union(own.where("label = 0").orderBy(*order).limit(rows_each))
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows_each: int, unless: Column, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), bytes_each: int = BYTES_EACH) -> list:
+    """Distinct whole texts of the picked ids (doc_id, text, label and `extra`), of either label at most `rows_each` rows and `bytes_each` bytes.
+
+    Null texts are passed over; of several rows of one id one is taken, whatever their order.
+    """
+    ids = picked(labels, label, rows_each, unless, id_col)
+    columns = [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c) for c in extra)]
+    texts = docs.select(*columns).where("text is not null").join(F.broadcast(ids), "doc_id")  # at most 2 * rows_each ids are broadcast
+    one = texts.groupBy("doc_id", "label").agg(F.min_by(F.struct("text", *extra), F.xxhash64("text", *extra)).alias("r")).select("doc_id", "label", "r.*")
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))  # of the sample's rows alone
+    rows = one.withColumn("so_far", so_far).where(F.col("so_far") <= bytes_each).drop("so_far").collect()
     seen, out = set(), []
     for r in sorted(rows, key=lambda r: r.doc_id):
         if r.text not in seen:

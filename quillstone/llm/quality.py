@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .labelled import fold, sample
+from .store import fresh
 from .toxicity import best_cut
 
 ROWS_EACH = 1200
@@ -148,23 +149,27 @@ def train(texts: list[str], y: np.ndarray, seed: int = 11) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, unless, label: str = "quality", rows_each: int = ROWS_EACH, **columns) -> Model:
-    """From labelled rows where `unless` is false."""
+    """From labelled rows where `unless` is false. Null labels, ids and texts are passed over, repeated texts count once; without rows of both labels the score is constant."""
     rows = sample(docs, labels, label, rows_each, unless, **columns)
     return train([r.text for r in rows], np.array([r.label for r in rows], np.int64))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """`keep` columns and the score of each whole text, 0 to 1 (higher: label 1 likelier); a text without words scores by the bias alone. Repeated rows are scored each."""
-    kinds = dict(docs.dtypes)
+    """`keep` columns and the score of each whole text, 0 to 1 (higher: label 1 likelier); a text without words, null or empty, scores by the bias alone.
+
+    Repeated rows are scored each; other columns are not read, and kept ones may have any names but score. An empty table gives an empty result.
+    """
+    text = fresh(docs.select(*keep), "text")[0]
+    texts = docs.select(F.col(text_col).cast("string").alias(text), *(F.col(f"`{c}`") for c in keep))
+    schema = texts.select(*(F.col(f"`{c}`") for c in keep), F.lit(0.0).alias("score")).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches):
         m = shared.value
-        for b in W.chunks(batches, "__text"):
+        for b in W.chunks(batches, text):
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(m.score(W.split(b.column(0))))], [*b.schema.names[1:], "score"])
 
-    texts = docs.select(F.col(text_col).cast("string").alias("__text"), *(F.col(c) for c in keep))
-    return texts.mapInArrow(scan, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+    return texts.mapInArrow(scan, schema)
 
 
 def op3_subword_quality(spark, sf_dir: str) -> DataFrame:

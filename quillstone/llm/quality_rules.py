@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .labelled import sample
+from .labelled import picked
 
 ROWS_EACH = 4000
 MOST_RULES, MOST_CONDITIONS = 12, 4
@@ -100,7 +100,7 @@ def counts(texts) -> dict[str, np.ndarray]:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the counts of each whole text: n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word that equal an earlier one), n_repeat_words (words in 3-word windows found twice or more), n_upper (A-Z), n_lines (with a word) and n_stops. A null text counts nothing."""
+    """doc_id and the counts of each whole text: n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word that equal an earlier one), n_repeat_words (words in 3-word windows found twice or more), n_upper (A-Z), n_lines (with a word) and n_stops. A null text counts nothing; repeated rows are counted each. Other columns are not read, whatever their names; an empty table gives an empty result."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def scan(batches):
@@ -174,22 +174,21 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 5) -> list[Rule
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, unless: Column | None = None, label: str = "quality", rows_each: int = ROWS_EACH, **columns) -> list[Rule]:
-    """Rules from labelled rows where `unless` is false; label 0 is bad. Without both labels there are none."""
-    rows = sample(docs, labels, label, rows_each, F.lit(False) if unless is None else unless, **columns)
+def fit(docs: DataFrame, labels: DataFrame, unless: Column | None = None, label: str = "quality", rows_each: int = ROWS_EACH, id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:
+    """Rules from labelled rows where `unless` is false; label 0 is bad. Without both labels there are none.
+
+    Texts are counted in the tasks; of at most `rows_each` ids of either label the ratios alone are collected. Null
+    labels, ids and texts are passed over, rows of one id count once, and an empty table has no rules.
+    """
+    ids = picked(labels, label, rows_each, F.lit(False) if unless is None else unless, id_col)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    counted = statistics(own.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi"))  # at most 2 * rows_each ids are broadcast
+    ratios = counted.groupBy("doc_id").agg(F.min(F.struct(*(F.expr(e).alias(c) for c, e in RATIOS.items()))).alias("r"))
+    rows = sorted(ratios.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "r.*").collect(), key=lambda r: r.doc_id)
     bad = np.array([r.label == 0 for r in rows], bool)
     if not len(bad) or bad.all() or not bad.any():
         return []
-    parts, texts = [], [r.text for r in rows]
-    for a in range(0, len(texts), 500):
-        parts.append(counts(pa.array(texts[a : a + 500])))
-    c = {k: np.concatenate([p[k] for p in parts]).astype(float) for k in COUNTS}
-    words, chars, lines = (np.maximum(c[k], 1) for k in ("n_words", "word_chars", "n_lines"))
-    x = {
-        "n_words": c["n_words"], "mean_word": c["word_chars"] / words, "symbols": c["n_symbols"] / words, "dup_lines": c["n_dup_lines"] / lines,
-        "repeats": c["n_repeat_words"] / words, "upper": c["n_upper"] / chars, "stops": c["n_stops"] / words,
-    }
-    return learn(x, bad)
+    return learn({c: np.array([r[c] for r in rows]) for c in RATIOS}, bad)
 
 
 def verdict(rules: list[Rule]) -> Column:

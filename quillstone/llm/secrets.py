@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import fresh
+
 #: Fixed patterns: kind, pattern, the group whose length counts, its least length, and a cheap pattern that every text with a match matches.
 BASE = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
@@ -32,6 +34,8 @@ RANDOM_STRINGS = 12000
 SMOOTH, BACK_OFF = 0.5, 4.0
 
 
+#: Matches of a text whose spans are gathered at once.
+RUN = 256
 NONE = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -40,8 +44,6 @@ def _spans(text: Column, pattern: str, group: int, kind: str, rank: int, ok) ->
     # what lies between matches, and the matches, give all places: no built-in function returns them
     between = F.transform(F.split(text, pattern, -1), F.length)
     match = F.regexp_extract_all(text, F.lit(pattern), 0)
-    whole = F.transform(match, F.length)
-    part = F.regexp_extract_all(text, F.lit(pattern), group) if group else match
     none = F.array().cast(NONE)
 
     def step(acc, x):
@@ -49,8 +51,24 @@ def _spans(text: Column, pattern: str, group: int, kind: str, rank: int, ok) ->
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start + x["whole"]).alias("end"))
         return F.struct((start + x["whole"]).alias("at"), F.when(ok(x["part"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    zipped = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("between"), whole.alias("whole"), part.alias("part"))
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def zipped(found):
+        part = F.regexp_extract_all(text, F.lit(pattern), group) if group else found
+        return F.arrays_zip(F.slice(between, 1, F.size(found)).alias("between"), F.transform(found, F.length).alias("whole"), part.alias("part"))
+
+    def gathered(all_):
+        def run(acc, k):  # appending copies what is there, so spans are gathered by runs of matches
+            inner = F.aggregate(F.slice(all_, k * RUN + 1, RUN), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+            return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+
+        runs = F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{NONE}>").alias("out")), run, lambda acc: F.flatten(acc["out"]))
+
+    return _once(_once(match, zipped), gathered)
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _found(text: Column, pattern: str, group: int, least: int, cheap: str, kind: str, rank: int) -> Column:
@@ -101,35 +119,44 @@ def ratio(token: Column, table: list[float]) -> Column:
 
 
 def secret_spans(docs: DataFrame, samples: DataFrame | None = None, log_odds: float = LOG_ODDS, text_col: str = "text") -> DataFrame:
-    """`docs` with columns base_spans and spans: arrays of (start, rank, kind, end), by start and then kind; code points, end exclusive. A clashing column is replaced.
+    """`docs` with columns base_spans and spans: arrays of (start, rank, kind, end), by start and then kind; code points, end exclusive. Columns of these names are replaced.
 
     base_spans are matches of the patterns; spans also has the tokens that the Markov models call
     random. A null text has no spans. Rows are otherwise as they were, repeated ones too.
-    samples: (text string, random boolean); by default generated strings and words of `docs`.
+    samples: (text string, random boolean); by default generated strings and words of `docs`. An empty table gives an empty result.
     """
+    base, spans = fresh(docs.drop("base_spans", "spans"), "base_spans", "spans")
+    return docs.drop("base_spans", "spans").withColumns(dict(zip((base, spans), _columns(docs, samples, log_odds, text_col), strict=True)))
+
+
+def _columns(docs: DataFrame, samples: DataFrame | None, log_odds: float, text_col: str) -> tuple[Column, Column]:
+    """base_spans and spans of each row of `docs`."""
     table = train(default_samples(docs, text_col=text_col) if samples is None else samples)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = F.array_sort(F.concat(*(_found(text, p, g, n, cheap, kind, k) for k, (kind, p, g, n, cheap) in enumerate(BASE))))
     tokens = f"{TOKEN}{{{LEAST_TOKEN},}}"
     # nearly all texts have tokens and few have secrets: each token is judged once, and places are found where one is a secret
     secret = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(tokens), 0)), lambda t: ratio(t, table) > log_odds)
-    markov = F.when(F.size("spans") > 0, _spans(text, tokens, 0, MARKOV, len(BASE), lambda t: F.array_contains("spans", t))).otherwise(F.array().cast(NONE))
-    out = docs.withColumns({"base_spans": base, "spans": secret})
-    return out.withColumn("spans", F.array_sort(F.concat("base_spans", markov)))
+    markov = _once(secret, lambda found: F.when(F.size(found) > 0, _spans(text, tokens, 0, MARKOV, len(BASE), lambda t: F.array_contains(found, t))).otherwise(F.array().cast(NONE)))
+    return base, F.array_sort(F.concat(base, markov))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", samples: DataFrame | None = None, text_col: str = "text") -> DataFrame:
-    """`docs` with every found span replaced by `mark`; overlapping spans are one."""
-    found = secret_spans(docs, samples, text_col=text_col)
+    """`docs` with every found span of the text replaced by `mark`; overlapping spans are one.
+
+    A null text stays null. All other columns stay as they are, whatever their names; repeated rows are treated each, an empty table stays empty.
+    """
+    found = fresh(docs, "spans")[0]
     text = F.col(text_col)
 
     def step(acc, s):
-        piece = F.when(s["start"] >= acc["at"], F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), piece.alias("out"))
+        piece = F.when(s["start"] >= acc["at"], F.array(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
-    rest = lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text)))
-    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text)).select(docs.columns)
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text)))
+    clean = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, rest)
+    marked = docs.withColumn(found, _columns(docs, samples, LOG_ODDS, text_col)[1])
+    return marked.withColumn(text_col, F.when(F.size(found) > 0, clean).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def listed(spans: str) -> Column:

@@ -35,5 +35,7 @@ def test_rules_learned_and_judged_alike(spark):
     assert 1 <= len(rules) <= R.MOST_RULES
     got = {r.doc_id: r.kept for r in R.statistics(df).select("doc_id", R.verdict(rules).alias("kept")).collect()}
     assert np.mean([got[i] == bool(q) for i, _, q in docs]) > 0.98
+    twice = df.select("doc_id", "text").union(df.select("doc_id", "text")).withColumn("label", F.lit("own"))
+    assert R.fit(twice, df.select("doc_id", "quality")) == rules
     assert spark.range(1).select(R.verdict([]).alias("k")).first().k
     assert R.fit(df.select("doc_id", "text"), df.where("quality = 1").select("doc_id", "quality")) == []

@@ -71,3 +71,31 @@ def test_ratio_is_the_sum_over_pairs(spark):
     assert table[S.ALPHABET.index("a") * n + S.ALPHABET.index("9")] == pytest.approx(want, abs=1e-5)
     got = spark.range(1).select(S.ratio(F.lit("a9Z"), table).alias("r")).first().r
     assert got == pytest.approx(table[S.ALPHABET.index("a") * n + S.ALPHABET.index("9")] + table[S.ALPHABET.index("9") * n + S.ALPHABET.index("Z")])
+
+
+def test_many_matches_and_odd_columns(spark):
+    t = " ".join(f"token={'ab' * 4}{i:04d} {i:x}" for i in range(3000)) + " " + "deadbeef" * 5
+    df = spark.createDataFrame([(1, t, "own", {"k": 1}), (1, t, "own", {"k": 1}), (2, None, None, None)], "doc_id long, text string, spans string, m map<string,int>")
+    for r in S.secret_spans(df).collect():
+        assert [tuple(s) for s in r.base_spans] == base_spans(r.text)
+    clean = S.redact(df)
+    assert clean.columns == df.columns
+    rows = sorted(clean.collect(), key=lambda r: r.doc_id)
+    assert [(r.spans, r.m) for r in rows] == [("own", {"k": 1})] * 2 + [(None, None)]
+    assert not base_spans(rows[0].text) and rows[0].text.count("[SECRET]") == 3001 and rows[2].text is None
+
+
+def test_recall_without_keywords(spark):
+    """Planted random keys of 12 to 40 characters, of several alphabets, and ordinary identifiers that are no part of the samples."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rnd = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = [letters + letters.upper() + "0123456789", letters + "0123456789", letters.upper() + "0123456789", letters + letters.upper() + "0123456789+/"]
+    keys = ["".join(rnd.choice(rnd.choice(kinds[i % 4 : i % 4 + 1])) for _ in range(rnd.randrange(12, 41))) for i in range(400)]
+    plain = sorted({w for r in docs.collect() for w in (r.text or "").split() if len(w) >= 8 and w.isascii() and w.isalpha()})[:2000]
+    plain = [rnd.choice(("{0}", "{0}_{1}", "{0}-{1}", "{0}/{1}", "{0}{2}")).format(rnd.choice(plain), rnd.choice(plain), rnd.randrange(100)) for _ in range(2000)]
+    rows = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate(keys + plain)], "doc_id long, text string")
+    samples = S.default_samples(docs)
+    hit = {r.doc_id for r in S.secret_spans(rows, samples).where("size(spans) > 0").collect()}
+    assert len([i for i in hit if i < 400]) >= 0.97 * 400
+    assert len([i for i in hit if i >= 400]) <= 0.005 * 2000
