@@ -15,6 +15,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -22,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words as W
 from .store import Work, join_checked
 
 #: Bytes of records after which a writer begins another archive; a longer record has one of its own.
@@ -65,21 +67,19 @@ def headers(block: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines) if k}
 
 
-def inflate(data: bytes) -> Iterator[bytes]:
-    """The contents of a gzip file of one or many members, in pieces; a file that ends within one is an error."""
-    engine, at = zlib.decompressobj(31), 0
-    while at < len(data):
-        part, rest = data[at : at + PIECE], b""
-        at += len(part)
-        while part:
-            yield engine.decompress(part, PIECE)
-            part = engine.unconsumed_tail
-            if engine.eof:
-                rest, part = engine.unused_data, b""
-                at -= len(rest)
-                if at < len(data):
-                    engine = zlib.decompressobj(31)
-    if data and not engine.eof:
+def inflate(file) -> Iterator[bytes]:
+    """The contents of a gzip file (of one or many members) that is open for reading, in pieces; a file that ends within a member is an error."""
+    engine, part = zlib.decompressobj(31), file.read(PIECE)
+    some = bool(part)
+    while part:
+        yield engine.decompress(part, PIECE)
+        if engine.eof:
+            part = engine.unused_data or file.read(PIECE)
+            if part:
+                engine = zlib.decompressobj(31)
+        else:
+            part = engine.unconsumed_tail or file.read(PIECE)
+    if some and not engine.eof:
         yield engine.flush()
         raise ValueError("a gzip stream ends early")
 
@@ -111,52 +111,61 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         del held[:n]
 
 
-def _put(folder: str, name: str, content: bytes) -> None:
+@contextmanager
+def _file(folder: str, name: str):
+    """A file to write, under its name when all is written; a failed attempt leaves none."""
     fs, path = pafs.FileSystem.from_uri(folder)
     own = f"{path}/_{name}.{TaskContext.get().taskAttemptId()}"
     with fs.open_output_stream(own, compression=None) as out:
-        out.write(content)
+        yield out
     fs.move(own, f"{path}/{name}")
 
 
 def _writer(folder: str, most: int):
+    """Writes the rows (html, page_id, url, keeper) as archives of about `most` bytes of records, a page at a time."""
+
     def write(batches):
-        part, k, engine, out, size, n = TaskContext.get().partitionId(), 0, None, bytearray(), 0, 0
-        done = []
-        for b in batches:
-            for page, url, html, keeper in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                r = record(page, url, (html or "").encode(), keeper)
-                if engine and size + len(r) > most:
-                    _put(folder, name := f"part-{part:05d}-{k:05d}.warc.gz", bytes(out) + engine.flush())
-                    done.append((name, n))
-                    k, engine, out, size, n = k + 1, None, bytearray(), 0, 0
-                engine = engine or zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                out += engine.compress(r)
-                size, n = size + len(r), n + 1
-        if engine:
-            _put(folder, name := f"part-{part:05d}-{k:05d}.warc.gz", bytes(out) + engine.flush())
+        part, k, done = TaskContext.get().partitionId(), 0, []
+        pages = (r for b in W.chunks(batches, "html", PIECE) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        row = next(pages, None)
+        while row:
+            name, size, n, engine = f"part-{part:05d}-{k:05d}.warc.gz", 0, 0, zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+            with _file(folder, name) as out:
+                while row:
+                    html, page, url, keeper = row
+                    r = record(page, url, (html or "").encode(), keeper)
+                    if n and size + len(r) > most:
+                        break
+                    out.write(engine.compress(r))
+                    size, n, row = size + len(r), n + 1, next(pages, None)
+                out.write(engine.flush())
             done.append((name, n))
+            k += 1
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["archive", "n_records"])
 
     return write
 
 
-def _normaliser(folder: str):
+def _normaliser(raw: str, folder: str):
+    """Rewrites the named archives, holding one record of one at a time."""
+
     def run(batches):
+        source, root = pafs.FileSystem.from_uri(raw)
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                name, out, rows = path.rsplit("/", 1)[1], bytearray(), []
-                try:
-                    for fields, whole in records(inflate(content)):
-                        engine = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                        member = engine.compress(whole) + engine.flush()
-                        rows.append({"archive": name, "offset": len(out), "length": len(member), "record_id": fields["warc-record-id"], "record_type": fields["warc-type"]})
-                        out += member
-                except (ValueError, zlib.error, KeyError) as e:
-                    raise ValueError(f"{path}: {e}") from e
-                _put(folder, name, bytes(out))
-                _put(folder, f"{name}.idx", "".join(json.dumps(r) + "\n" for r in rows).encode())
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(rows)], pa.int64()), pa.array([len(out)], pa.int64())], ["archive", "n_records", "bytes"])
+            for name in b.column(0).to_pylist():
+                at, n = 0, 0
+                with _file(folder, name) as out, _file(folder, f"{name}.idx") as index, source.open_input_stream(f"{root}/{name}", compression=None) as file:
+                    try:
+                        for fields, whole in records(inflate(file)):
+                            engine = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                            member = engine.compress(whole) + engine.flush()
+                            index.write((json.dumps({"archive": name, "offset": at, "length": len(member), "record_id": fields["warc-record-id"], "record_type": fields["warc-type"]}) + "\n").encode())
+                            out.write(member)
+                            at, n = at + len(member), n + 1
+                    except (ValueError, zlib.error, KeyError) as e:
+                        raise ValueError(f"{raw}/{name}: {e}") from e
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([at], pa.int64())], ["archive", "n_records", "bytes"])
+        W.give_back()
 
     return run
 
@@ -165,8 +174,11 @@ def _reader(folder: str):
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
         name, file = None, None
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html", "archive", "offset")
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        rows, held = [], 0
         for b in batches:
-            rows = []
             for archive, offset, length in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if archive != name:
                     if file:
@@ -185,9 +197,12 @@ def _reader(folder: str):
                     raise ValueError(f"{archive} at {offset}: the payload isn't what its record says")
                 to = page_of(fields["warc-refers-to"]) if kind == "revisit" else None
                 rows.append((page_of(fields["warc-record-id"]), fields["warc-target-uri"], size, digest, kind, to, payload.decode() if kind == "response" else None, archive, offset))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html", "archive", "offset")
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * len(names), kinds, strict=True)], names)
+                held += len(block)
+                if held >= PIECE:
+                    yield batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch(rows)
         if file:
             file.close()
 
@@ -218,17 +233,20 @@ def write_archives(work: Work, pages: DataFrame, archive_bytes: int = ARCHIVE_BY
     own = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
     again = revisits(work, own)
     rows = own.withColumn("digest", _digest("html"))
-    rows = join_checked(rows, again, ["page_id", "digest"], "left", 48 * again.count()).select("page_id", "url", "html", "keeper")
+    rows = join_checked(rows, again, ["page_id", "digest"], "left", 48 * again.count()).select("html", "page_id", "url", "keeper")
     folder = _folder(work, "raw")
     work.write(rows.mapInArrow(_writer(folder, archive_bytes), "archive string, n_records long"), "written")
     return folder
 
 
 def normalise(work: Work, raw: str) -> str:
-    """Rewrites each archive of a folder, of one gzip stream or several, with a member for each record and an index beside it; returns the new folder. A broken or cut archive is an error that names it."""
+    """Rewrites each archive of a folder, of one gzip stream or several, with a member for each record and an index beside it; returns the new folder.
+
+    An archive may be of any size: tasks read it as a stream and write as they read. A broken or cut archive is an error that names it; an empty folder gives an empty one."""
     folder = _folder(work, "archives")
-    whole = work.spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(raw).select("path", "content")
-    work.write(whole.mapInArrow(_normaliser(folder), "archive string, n_records long, bytes long"), "normalised")
+    # names alone: files are opened in the tasks
+    names = work.spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(raw).select(F.element_at(F.split("path", "/"), -1).alias("archive"))
+    work.write(names.mapInArrow(_normaliser(raw, folder), "archive string, n_records long, bytes long"), "normalised")
     return folder
 
 

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import io
 import zlib
 
 import pytest
@@ -56,6 +57,14 @@ def test_one_stream_becomes_members_with_an_index(spark, tmp_path):
 def test_broken_archives_are_errors(spark):
     whole = gzip.compress(warc.record(1, "u", b"payload" * 100, None))
     with pytest.raises(ValueError):
-        list(warc.records(warc.inflate(whole[:-20])))
+        list(warc.records(warc.inflate(io.BytesIO(whole[:-20]))))
     with pytest.raises(ValueError):
-        list(warc.records(warc.inflate(gzip.compress(b"WARC/1.1\r\nContent-Length: 5\r\n"))))
+        list(warc.records(warc.inflate(io.BytesIO(gzip.compress(b"WARC/1.1\r\nContent-Length: 5\r\n")))))
+
+
+def test_streams_of_any_cut():
+    whole = b"".join(warc.record(i, "u", b"payload" * (i * 40_000), None) for i in range(4))
+    for data in (gzip.compress(whole), b"".join(gzip.compress(whole[a : a + 300_001]) for a in range(0, len(whole), 300_001))):
+        pieces = list(warc.inflate(io.BytesIO(data)))
+        assert b"".join(pieces) == whole and max(map(len, pieces)) <= warc.PIECE
+    assert list(warc.inflate(io.BytesIO(b""))) == []
