@@ -92,11 +92,6 @@ _ATOMS = rf"""atoms as (
       trim(regexp_extract(' ' || sentence, '(?is)^.*[^a-z0-9_]({T.VALUE_VERBS})([^a-z0-9_].*)$', 2)) as after from e))"""
 
 
-@query("conversations", sql=f'with {_MESSAGES}, {_SENTENCES}, {_ATOMS} select conv_id, sequence, role, idx as "index", sentence, kind, subject, value, polarity, keywords from atoms')
-def fn_atomize(conversations):
-    return C.statements(C.messages(conversations))
-
-
 @query("conversations", sql=f"""with {_MESSAGES}, {_SENTENCES}, {_ATOMS}, k as (
   select kind || ':' || array_to_string(list_sort(string_split(subject, ' ')[1:4]), '-') as pattern_key, count(*) as n, count(distinct conv_id) as projects from atoms group by 1 having count(*) >= 3)
 select pattern_key, n, projects, round(least(greatest(0.28::double + log2(n + 1) / 9::double + least(0.24::double, 0.06::double * projects), 0), 1), 6) as strength,
@@ -240,11 +235,6 @@ def join_merge_records(events):
     return R.merge(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "user_id", "ts", "props").select("user_id", "ts", "props")
 
 
-@query("benchmark", "labels", sql="select item_id from benchmark where item_id not in (select doc_id from labels)")
-def join_citation_check(items, labels):
-    return items.join(labels.select(F.col("doc_id").alias("item_id")), "item_id", "left_anti").select("item_id")
-
-
 @query("documents", "labels", sql="select doc_id, source from documents where doc_id in (select doc_id from labels where quality = 1)")
 def join_evidence_semi(docs, labels):
     return docs.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", "source")
@@ -256,7 +246,7 @@ def agg_pattern_eval(labels, docs):
 
 
 @query("conversations", sql=f"with {_MESSAGES}, {_SENTENCES}, {_ATOMS} select sha256(string_agg(h, '|' order by h)) as root from (select distinct sha256(kind || ':' || subject || ':' || coalesce(value, '')) as h from atoms where role = 'user')")
-def agg_truth_root(conversations):
+def agg_statement_root(conversations):
     """Set hash of all that users state, CURRENT or not, whatever its order."""
     own = C.statements(C.messages(conversations)).where("role = 'user'")
     return R.set_root(own.select(F.sha2(F.concat_ws(":", "kind", "subject", F.coalesce("value", F.lit(""))).cast("binary"), 256).alias("h")))

@@ -85,6 +85,6 @@ def test_truth_root_gathers_nothing(spark):
     from quillstone.plans import reference
 
     rows = spark.createDataFrame([(1, 0, "user", "The cat is black."), (1, 1, "assistant", "Yes it is.")], "conv_id long, turn int, role string, text string")
-    some, none = (reference.agg_truth_root(r) for r in (rows, rows.where("role <> 'user'")))
+    some, none = (reference.agg_statement_root(r) for r in (rows, rows.where("role <> 'user'")))
     assert len(some.first().root) == 64 and none.first().root is None  # as the SQL
     assert "collect_list" not in some._jdf.queryExecution().toString()
