@@ -46,7 +46,7 @@ def canonical_id(prefix: str, version: str, *parts: Column) -> Column:
 
 def ascii_words(c: Column, least: int = 3) -> Column:
     """Runs of a-z and 0-9 of the lower-cased text, in order, repeats kept."""
-    return F.filter(F.split(lower_ascii(normalize_text(c)), "[^a-z0-9]+"), lambda x: F.length(x) >= least)
+    return F.filter(F.split(lower_ascii(c), "[^a-z0-9]+"), lambda x: F.length(x) >= least)
 
 
 def terms(c: Column, least: int = 3) -> Column:

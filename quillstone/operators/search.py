@@ -8,19 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def retrieve(docs: DataFrame, query: str, query_terms: list[str], candidates: int = 256, results: int = 24, diversity: float = 0.35) -> DataFrame:
-    """Ranked documents: a point for each term in the index and one in the record, five for the phrase, less for
-    each earlier candidate of one source; of equal texts the best stays. Both top-k steps are limits of the feature."""
-    norm = F.lower(T.normalize_text(F.col("text")))
-    hits = sum((norm.contains(t).cast("int") for t in query_terms), F.lit(0))
-    found = docs.select("doc_id", "source", norm.alias("norm"), hits.alias("hits")).where("hits > 0").orderBy(F.desc("hits"), "doc_id").limit(candidates)
-    seen = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("hits"), "doc_id")) - 1
-    phrase = F.when(F.col("norm").contains(query.lower()), 5.0).otherwise(0.0)
-    scored = found.withColumn("score", F.round(2 * F.col("hits") + phrase - seen * F.lit(diversity) * 0.15, 6))
-    best = F.row_number().over(Window.partitionBy("norm").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("__best", best).where("__best = 1").orderBy(F.desc("score"), "doc_id").limit(results).select("doc_id", "source", "hits", "score")
-
-
 def term_frequencies(docs: DataFrame) -> DataFrame:
     """Documents that have each term."""
     return docs.select(F.explode(T.terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -57,20 +44,6 @@ def checksum_groups(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").groupBy(key).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n >= 2")
 
 
-def best_matches(docs: DataFrame, items: DataFrame, accept: float) -> DataFrame:
-    """For each item, the document whose terms are most like its own by Jaccard, the smallest id on ties.
-
-    Both sides are posted by term and meet only on terms they share; overlaps are summed, so no pair
-    without a common term is made.
-    """
-    d = docs.select("doc_id", T.terms(F.col("text")).alias("ts"))
-    i = items.select("item_id", T.terms(F.col("text")).alias("ts"))
-    both = i.select("item_id", F.size("ts").alias("ni"), F.explode("ts").alias("t")).join(d.select("doc_id", F.size("ts").alias("nd"), F.explode("ts").alias("t")), "t")
-    overlap = both.groupBy("item_id", "doc_id", "ni", "nd").agg(F.count("*").alias("n")).withColumn("similarity", F.round(F.col("n") / (F.col("ni") + F.col("nd") - F.col("n")), 9)).where(F.col("similarity") >= accept)
-    best = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("similarity"), "doc_id"))
-    return overlap.withColumn("__n", best).where("__n = 1").select("item_id", "doc_id", "similarity")
-
-
 def next_terms(docs: DataFrame, k: int = 4) -> DataFrame:
     """For each term, the k that most often follow it in a text, ties by the alphabet."""
     words = docs.select(F.expr("regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+', 0)").alias("w"))

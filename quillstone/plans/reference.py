@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import conversations as C
 from ..operators import records as R
+from ..operators import retrieval as V
 from ..operators import search as S
 
 QUERIES, ORACLES = {}, {}
-QUERY, QUERY_TERMS = "thing oning", ["thing", "oning", "ering", "antion", "retion"]
+QUERY_TERMS = ["thing", "oning", "ering", "antion", "retion"]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 VERSION = "1"
 
@@ -136,17 +137,6 @@ def agg_df(docs):
     return S.term_frequencies(docs)
 
 
-_HITS = " + ".join(f"contains(norm, '{t}')::int" for t in QUERY_TERMS)
-
-
-@query("documents", sql=f"""with d as (select doc_id, source, lower({_NORM}) as norm from documents), h as (select *, {_HITS} as hits from d), c as (select * from h where hits > 0 order by hits desc, doc_id limit 256),
-s as (select *, round(2 * hits + case when contains(norm, '{QUERY}') then 5.0::double else 0.0::double end - (row_number() over (partition by source order by hits desc, doc_id) - 1) * 0.35::double * 0.15::double, 6) as score from c),
-b as (select *, row_number() over (partition by norm order by score desc, doc_id) as n from s)
-select doc_id, source, hits, score from b where n = 1 order by score desc, doc_id limit 24""")
-def q_retrieve(docs):
-    return S.retrieve(docs, QUERY, QUERY_TERMS)
-
-
 @query("documents", sql=f"""with p as (select doc_id, unnest(list_distinct({_WORDS})) as term from documents where text is not null), q as (select * from p where term in ({', '.join(f"'{t}'" for t in QUERY_TERMS)})), f as (select term, count(*) as df from q group by 1)
 select doc_id, count(*) as matched, round(sum(1 / df::double), 9) as weight from q join f using (term) group by 1""")
 def join_terms_postings(docs):
@@ -174,7 +164,7 @@ def agg_duplicate_group(docs):
 j as (select item_id, doc_id, round(len(list_intersect(i.ts, d.ts)) / (len(i.ts) + len(d.ts) - len(list_intersect(i.ts, d.ts)))::double, 9) as similarity from i, d where len(list_intersect(i.ts, d.ts)) > 0)
 select item_id, doc_id, similarity from j where similarity >= 0.16 qualify row_number() over (partition by item_id order by similarity desc, doc_id) = 1""")
 def join_capability_match(docs, items):
-    return S.best_matches(docs, items, 0.16)
+    return V.best_matches(docs, items)
 
 
 @query("documents", sql=f"""with d as (select regexp_extract_all({_LOW.format('text')}, '[a-z0-9]+') as w from documents), p as (select unnest(w[1:len(w) - 1]) as a, unnest(w[2:]) as b from d where len(w) > 1), n as (select a, b, count(*) as n from p group by 1, 2)

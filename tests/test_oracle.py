@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quillstone.plans import reference
+from quillstone.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def duck():
     c = duckdb.connect()
     c.execute("set timezone = 'UTC'")
-    for t in reference.TABLES:
+    for t in catalogue.TABLES:
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
@@ -24,11 +24,11 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", sorted(reference.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query(spark, duck, name):
-    df = reference.QUERIES[name](spark, SF)
+    df = catalogue.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
-    found = duck.execute(reference.ORACLES[name])
+    found = duck.execute(catalogue.ORACLES[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == cols
     want = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in found.fetchall()), key=str)
