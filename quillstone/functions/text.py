@@ -20,6 +20,11 @@ NEGATION = r"no|not|never|cannot|can't|without"
 VALUE_VERBS = r"is|are|use|be|to"
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often `use` names it (a lambda would compute it for each element)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def whole_word(words: str) -> str:
     """A pattern for one of `words` between ASCII word ends, without look-around."""
     return rf"(?i)(^|[^A-Za-z0-9_])({words})([^A-Za-z0-9_]|$)"

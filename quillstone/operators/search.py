@@ -42,12 +42,3 @@ def checksum_groups(docs: DataFrame) -> DataFrame:
     """Groups of equal normalised texts, two at least."""
     key = F.sha2(T.normalize_search(F.col("text")).cast("binary"), 256).alias("checksum")
     return docs.where("text is not null").groupBy(key).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n >= 2")
-
-
-def next_terms(docs: DataFrame, k: int = 4) -> DataFrame:
-    """For each term, the k that most often follow it in a text, ties by the alphabet."""
-    words = docs.select(F.expr("regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+', 0)").alias("w"))
-    pairs = words.select(F.explode(F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("p")).select("p.a", "p.b")
-    n = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
-    return n.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("a").alias("context"), F.col("b").alias("next_term"), "n", "rank")

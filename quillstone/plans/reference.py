@@ -65,11 +65,6 @@ def fn_terms_ascii(docs):
     return docs.where("text is not null").select("doc_id", F.array_join(F.array_sort(T.terms(F.col("text"))), " ").alias("terms"))
 
 
-@query("benchmark", sql=rf"select item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower({_NORM}), '[^\p{{L}}\p{{N}}_-]+'), lambda x: length(x) >= 2))), ' ') as terms from benchmark")
-def fn_terms_unicode(items):
-    return items.select("item_id", F.array_join(F.array_sort(T.unicode_terms(F.col("text"), 1 << 20)), " ").alias("terms"))
-
-
 @query("documents", sql="select doc_id, len(list_filter(string_split(text, ' '), lambda x: x <> '')) as n from documents where text is not null")
 def fn_word_count(docs):
     return docs.where("text is not null").select("doc_id", T.word_count(F.col("text")).cast("bigint").alias("n"))
@@ -167,12 +162,6 @@ def join_capability_match(docs, items):
     return V.best_matches(docs, items)
 
 
-@query("documents", sql=f"""with d as (select regexp_extract_all({_LOW.format('text')}, '[a-z0-9]+') as w from documents), p as (select unnest(w[1:len(w) - 1]) as a, unnest(w[2:]) as b from d where len(w) > 1), n as (select a, b, count(*) as n from p group by 1, 2)
-select a as context, b as next_term, n, row_number() over (partition by a order by n desc, b) as rank from n qualify rank <= 4""")
-def agg_ngram_topk(docs):
-    return S.next_terms(docs)
-
-
 def agg_counts(spark, sf_dir):
     return R.counts({t: table(spark, sf_dir, t) for t in TABLES})
 
