@@ -4,7 +4,7 @@ Each task turns runs of its documents (shards, about `SHARD_BYTES` of text) into
 suffixes and binary-searches every test suffix in it. Shards keep only suffixes that begin with the
 first two words of some test suffix: no other can hold a match. The search gives, for each distinct
 window, the interval of training suffixes that begin with it (all occurrences, for removal), and for each
-test suffix the longest verbatim match with its place. Arrays are sorted by prefix doubling and words in common are counted
+test suffix the longest verbatim match with its place. Arrays that matter for many words are sorted by prefix doubling, and words in common are counted
 by doubling too, so long runs of one word cost little more than other text. Documents are never shuffled.
 
 The test set is searched in blocks of at most `BLOCK_BYTES`, so what is broadcast is bounded.
@@ -24,6 +24,8 @@ SHARD_BYTES = 4 << 20
 #: Bytes of test texts that are searched at once; what is broadcast for them is about five times as large.
 BLOCK_BYTES = 16 << 20
 _FILTER_BITS = 22
+#: Suffixes that matter for more words than these are sorted by prefix doubling.
+SHALLOW = 32
 
 
 class TestSet:
@@ -89,14 +91,32 @@ class Shard:
         maybe = maybe[(maybe + 1 < self.last[maybe]) & np.isin(pair[maybe], test.pair)]
         if len(test.single):
             maybe = np.union1d(maybe, np.flatnonzero(np.isin(w.hash, test.single)))
-        self.sa = self._sorted(maybe, depth) if len(maybe) > 1 else maybe
+        self.sa = maybe if len(maybe) < 2 else self._doubled(maybe, depth) if depth > SHALLOW else self._refined(maybe, depth)
 
     def word(self, at: np.ndarray, depth) -> np.ndarray:
         """The word `depth` after a position; 0, before all words, past the text's end."""
         to = at + depth
         return np.where(to < self.last[at], self.hash[np.minimum(to, len(self.hash) - 1)], np.uint64(0))
 
-    def _sorted(self, at: np.ndarray, depth: int) -> np.ndarray:
+    def _refined(self, at: np.ndarray, depth: int) -> np.ndarray:
+        """A few words are looked at one by one, each only where the wanted suffixes tie so far."""
+        sa, rank, open_ = at[np.argsort(self.hash[at], kind="stable")], np.zeros(len(at), np.int64), np.arange(len(at))
+        key = self.hash[sa]
+        for d in range(1, depth + 1):
+            fresh = np.ones(len(open_), bool)
+            fresh[1:] = (rank[open_][1:] != rank[open_][:-1]) | (key[1:] != key[:-1])
+            rank[open_] = open_[fresh][np.cumsum(fresh) - 1]
+            tie = ~fresh
+            tie[:-1] |= ~fresh[1:]
+            open_ = open_[tie & (self.last[sa[open_]] > sa[open_] + d - 1)]
+            if d == depth or not len(open_):
+                break
+            key = self.word(sa[open_], d)
+            order = np.lexsort((key, rank[open_]))
+            sa[open_], key = sa[open_][order], key[order]
+        return sa
+
+    def _doubled(self, at: np.ndarray, depth: int) -> np.ndarray:
         """Prefix doubling: ranks by d words give ranks by 2 d, until no two of the wanted suffixes tie or `depth` is reached."""
         rank = np.unique(self.hash, return_inverse=True)[1].reshape(-1) + 1
         d, places = 1, np.arange(len(rank))
