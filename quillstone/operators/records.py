@@ -21,9 +21,9 @@ def page(table: DataFrame, key: str, offset: int, limit: int) -> DataFrame:
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Of the rows of a key, the last in an order that must be total."""
-    w = Window.partitionBy(*keys).orderBy(*(c.desc() for c in order))
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """Of the rows of a key, the last in an order that must be total; combined before the shuffle, so a hot key is a row a task."""
+    own = rows.select(*keys, F.struct(*(F.coalesce(o, o).alias(f"o{i}") for i, o in enumerate(order))).alias("__order"), F.struct(*rows.columns).alias("__row"))
+    return own.groupBy(*keys).agg(F.max_by("__row", "__order").alias("__row")).select("__row.*")
 
 
 def merge(local: DataFrame, incoming: DataFrame, key: str, clock: str, payload: str) -> DataFrame:
@@ -78,3 +78,48 @@ def set_root(values: DataFrame) -> DataFrame:
         root.update(("|" * some + piece).encode())
         some = True
     return values.sparkSession.createDataFrame([(root.hexdigest() if some else None,)], "root string")
+
+
+def without(table: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't deleted."""
+    return table.join(deleted.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti").select(table.columns)
+
+
+def new_mutations(incoming: DataFrame, log: DataFrame, key: str) -> DataFrame:
+    """Incoming entries that the log doesn't have, each once."""
+    return incoming.dropDuplicates([key]).join(log.select(key), key, "left_anti").select(incoming.columns)
+
+
+def pending(log: DataFrame, cursor: int, n: int = 32) -> DataFrame:
+    """The next n entries after a cursor; the limit is the batch's."""
+    return log.where(F.col("sequence") > cursor).orderBy("sequence", "origin").limit(n)
+
+
+def in_sequence(log: DataFrame, seen: DataFrame) -> DataFrame:
+    """Entries with accepted: those that follow their origin's cursor (seen: origin, cursor) without a gap; after a gap none is, and an origin not seen may begin anywhere."""
+    w = Window.partitionBy("origin").orderBy("sequence")
+    rows = log.join(seen, "origin", "left").where(F.col("cursor").isNull() | (F.col("sequence") > F.col("cursor")))
+    before = F.coalesce(F.lag("sequence").over(w), "cursor", F.col("sequence") - 1)
+    rows = rows.withColumn("broken", (F.col("sequence") != before + 1).cast("int"))
+    return rows.withColumn("accepted", F.sum("broken").over(w.rowsBetween(Window.unboundedPreceding, 0)) == 0).drop("broken", "cursor")
+
+
+def advanced(seen: DataFrame, log: DataFrame) -> DataFrame:
+    """Cursors that never go back."""
+    both = seen.select("origin", "cursor").union(log.groupBy("origin").agg(F.max("sequence").alias("cursor")).select("origin", "cursor"))
+    return both.groupBy("origin").agg(F.max("cursor").alias("cursor"))
+
+
+def versions(rows: DataFrame, keys: list[str], order: list[str], ident: str) -> DataFrame:
+    """Each row's version within its key, from 1, and the id of the one before."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumns({"version": F.row_number().over(w), "rollback": F.lag(ident).over(w)})
+
+
+def merge_clock(*fields: Column) -> Column:
+    """The first that isn't empty."""
+    return F.coalesce(*(F.when(F.trim(f.cast("string")) != "", f.cast("string")) for f in fields), F.lit(""))
+
+
+def merged_roots(a: Column, b: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(a, b))))

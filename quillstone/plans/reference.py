@@ -193,11 +193,6 @@ def topk_timeline(events):
 _LOG = "log as (select user_id as origin, row_number() over (partition by user_id order by ts, event_id) as sequence, event_id, sha256(props) as payload_hash from events)"
 
 
-@query("events", sql=f"with {_LOG}, k as (select * from log where event_id % 7 <> 0), p as (select origin, sequence, lag(sequence) over (partition by origin order by sequence) as before from k) select * from p where sequence > before + 1")
-def win_mutation_gap(events):
-    return R.gaps(R.mutation_log(events).where("event_id % 7 <> 0"))  # a log that lost every seventh event
-
-
 @query("events", sql=f"with {_LOG} select origin, (sequence - 1) // 32 as batch, count(*) as n, sha256(string_agg(sequence || ':' || event_id || ':' || payload_hash, '|' order by sequence)) as manifest from log group by 1, 2")
 def str_batch_manifest(events):
     return R.manifests(R.mutation_log(events))

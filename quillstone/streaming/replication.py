@@ -1,6 +1,7 @@
-"""Consumes a change log as a stream: entries are verified, repeats dropped, and the latest of each key kept.
+"""Consumes a change log as a stream: entries are verified, repeats dropped, gaps rejected, and the latest of each key kept.
 
-Micro-batches are idempotent: a batch replaces its own folder, and readers merge folders last-writer-wins.
+Each micro-batch merges into the state and cursors that the one before left and writes new ones under its own number, so a
+repeated batch replaces its own and no more than two versions are kept.
 """
 
 from __future__ import annotations
@@ -8,25 +9,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.records import latest
+from ..operators import records as R
 
 
 def verified(entries: DataFrame) -> DataFrame:
-    """Entries whose payload is what their hash says."""
-    return entries.where(F.sha2(F.col("payload").cast("binary"), 256) == F.col("payload_hash"))
+    """Entries whose payload is what their hash says; a deletion has no payload and the hash of the empty text."""
+    return entries.where(F.sha2(F.coalesce("payload", F.lit("")).cast("binary"), 256) == F.col("payload_hash"))
 
 
-def replicate(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, trigger: dict | None = None):
-    """Starts a query over Parquet files of (origin, sequence, record_id, payload, payload_hash); the caller awaits it."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def apply_batch(batch: DataFrame, batch_id: int, target: str, ordered: bool = True) -> None:
+    """One micro-batch. With `ordered`, an entry after a gap of its origin waits in `rejected`, to be sent again."""
+    spark = batch.sparkSession
+    old = f"{target}/state/batch={batch_id - 1}"
+    own = verified(batch).dropDuplicates(["origin", "sequence"]).select("origin", "sequence", "record_id", "payload", "payload_hash")
+    if _exists(spark, old):
+        state, seen = spark.read.parquet(old), spark.read.parquet(f"{target}/cursors/batch={batch_id - 1}")
+    else:
+        state, seen = own.limit(0), own.select("origin", F.col("sequence").alias("cursor")).limit(0)
+    checked = R.in_sequence(own, seen) if ordered else own.withColumn("accepted", F.lit(True))
+    checked.write.mode("overwrite").parquet(f"{target}/checked/batch={batch_id}")
+    checked = spark.read.parquet(f"{target}/checked/batch={batch_id}")
+    taken = checked.where("accepted").drop("accepted").select(state.columns)
+    R.latest(state.union(taken), ["record_id"], [F.col("sequence"), F.col("origin"), F.col("payload_hash")]).write.mode("overwrite").parquet(f"{target}/state/batch={batch_id}")
+    R.advanced(seen, taken).write.mode("overwrite").parquet(f"{target}/cursors/batch={batch_id}")
+    checked.where("not accepted").drop("accepted").write.mode("overwrite").parquet(f"{target}/rejected/batch={batch_id}")
+    for part in ("state", "cursors", "checked"):
+        _drop(spark, f"{target}/{part}/batch={batch_id - 2}")
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        verified(batch).dropDuplicates(["origin", "sequence"]).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
+def replicate(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, trigger: dict | None = None, ordered: bool = True):
+    """Starts a query over Parquet files of (origin, sequence, record_id, payload, payload_hash); the caller awaits it."""
     stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return stream.writeStream.foreachBatch(lambda b, i: apply_batch(b, i, target, ordered)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _newest(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(folder)
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == F.lit(last)).drop("batch")
 
 
 def state(spark: SparkSession, target: str) -> DataFrame:
-    """The latest payload of each record; an entry that came in several batches counts once."""
-    rows = spark.read.parquet(target).drop("batch").dropDuplicates(["origin", "sequence"])
-    return latest(rows, ["record_id"], [F.col("sequence"), F.col("origin"), F.col("payload_hash")])
+    """The latest payload of each record; deleted ones (a null payload) are not among them."""
+    return _newest(spark, f"{target}/state").where("payload is not null")
+
+
+def cursors(spark: SparkSession, target: str) -> DataFrame:
+    return _newest(spark, f"{target}/cursors")

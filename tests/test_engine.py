@@ -60,12 +60,17 @@ def test_exports(spark, tmp_path):
 
 def test_replication_is_idempotent(spark, tmp_path):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    rows = [("a", 1, "r", "one", sha("one")), ("a", 2, "r", "two", sha("two")), ("b", 1, "s", "bad", sha("other")), ("b", 2, "s", "ok", sha("ok"))]
+    rows = [("a", 1, "r", "one", sha("one")), ("a", 2, "r", "two", sha("two")), ("b", 1, "s", "bad", sha("other")), ("b", 2, "s", "ok", sha("ok")), ("c", 1, "t", "gone", sha("gone")), ("c", 2, "t", None, sha("")), ("a", 9, "r", "after a gap", sha("after a gap"))]
     schema = "origin string, sequence long, record_id string, payload string, payload_hash string"
     for _ in range(2):  # the log comes twice
         spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "log"))
         replication.replicate(spark, str(tmp_path / "log"), schema, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert sorted((r.record_id, r.payload) for r in replication.state(spark, str(tmp_path / "out")).collect()) == [("r", "two"), ("s", "ok")]
+    assert sorted(map(tuple, replication.cursors(spark, str(tmp_path / "out")).select("origin", "cursor").collect())) == [("a", 2), ("b", 2), ("c", 2)]
+    missing = [("a", i, "r", str(i), sha(str(i))) for i in range(3, 9)] + [rows[-1]]
+    spark.createDataFrame(missing, schema).write.mode("append").parquet(str(tmp_path / "log"))
+    replication.replicate(spark, str(tmp_path / "log"), schema, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert sorted((r.record_id, r.payload) for r in replication.state(spark, str(tmp_path / "out")).collect()) == [("r", "after a gap"), ("s", "ok")]
 
 
 def test_set_root(spark):
