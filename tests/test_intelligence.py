@@ -59,15 +59,15 @@ def test_fold_in_order(spark):
     rows = talk("The cache store is local files.", "The cache store is remote rows.", "Going forward the cache store is fast disks.", "Going forward the cache store is fast disks.", "Nothing of that sort here.")
     rows += talk("The cache store is local files.", conv=8) + [(1, 9, "assistant", "The cache store is a dream.")]
     conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
-    t = {(r.conv_id, r.text): r for r in U.fold_truths(U.atomize(conversations)).collect()}
-    two = {r.status + r.relation for r in t.values() if "fast disks" in r.text}
+    rows = U.fold_truths(U.atomize(conversations)).collect()
+    t, two = {(r.conv_id, r.text): r for r in rows}, sorted(r.status + r.relation for r in rows if "fast disks" in r.text)
     assert t[1, "The cache store is local files."].status in ("CONFLICTING", "SUPERSEDED")
     assert t[1, "The cache store is remote rows."].relation == "CONTRADICTS"
-    assert two <= {"CURRENTSUPERSEDES", "HISTORICALSAME"} and "CURRENTSUPERSEDES" in two
+    assert two == ["CURRENTSUPERSEDES", "HISTORICALSAME"]
     assert t[8, "The cache store is local files."].status == "PENDING_REVIEW" and t[8, "The cache store is local files."].relation == "UNCERTAIN"
     assert not any("dream" in x for _, x in t)
-    again = {(r.conv_id, r.text): r.status for r in U.fold_truths(U.atomize(conversations.repartition(1))).collect()}
-    assert again == {k: r.status for k, r in t.items()}
+    again = sorted((r.truth_id, r.status) for r in U.fold_truths(U.atomize(conversations.repartition(1))).collect())
+    assert again == sorted((r.truth_id, r.status) for r in rows)
     assert U.fold_truths(U.atomize(conversations.limit(0))).count() == 0
 
 
