@@ -341,3 +341,40 @@ def next_terms(docs: DataFrame, longest: int = 3, k: int = 16) -> DataFrame:
     n = pairs.groupBy("order", "context", "next_term").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("order", "context").orderBy(F.desc("n"), "next_term"))
     return n.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def unique_units(rows: DataFrame) -> DataFrame:
+    """Units that no other equals, by normalised text."""
+    once = rows.groupBy("norm").agg(F.count("*").alias("n")).where("n = 1").select("norm")
+    return rows.join(once, "norm", "left_semi").select("doc_id", "paragraph", "unit", "text")
+
+
+def top_duplicates(rows: DataFrame, n: int = 20) -> DataFrame:
+    """The n largest groups of units of one family."""
+    return duplicates(rows, family_key(F.col("norm"))).orderBy(F.desc("n"), "first_doc", "key").limit(n)
+
+
+def top_changes(found: DataFrame, n: int = 20) -> DataFrame:
+    return found.orderBy(F.desc("similarity"), "doc_id", "paragraph1", "unit1", "paragraph2", "unit2").limit(n)
+
+
+CHANGE = re.compile(r"chang\w* (value|date|entity|number)\s*(?:of|from|:)?\s*(.*?)\s*(?:->|to)\s*(.*)$|(value|date|entity|number) changed", re.IGNORECASE)
+
+
+def change_query(query: str) -> tuple[str, str, str] | None:
+    """(kind, left, right) of `changed value X -> Y` and its like; empty sides where only the kind is asked."""
+    m = CHANGE.search(query)
+    if not m:
+        return None
+    kind = (m[1] or m[4]).lower()
+    return ("" if kind == "value" else f"change-{kind}", *(" ".join(re.findall("[a-z0-9]+", (s or "").lower())) for s in (m[2], m[3])))
+
+
+def matching_changes(found: DataFrame, query: str) -> DataFrame:
+    """Changes of the asked kind between the asked values, in either direction."""
+    kind, left, right = change_query(query) or ("", "", "")
+    rows = found.where(F.col("kind") == kind) if kind else found
+    if not left and not right:
+        return rows
+    one = (F.col("left_value") == left) & (F.col("right_value") == right)
+    return rows.where(one | ((F.col("left_value") == right) & (F.col("right_value") == left)))

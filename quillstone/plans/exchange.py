@@ -364,3 +364,21 @@ def fn_recency(events):
 
     return events.select("event_id", F.round(recency(F.date_trunc("second", "ts"), F.lit("2025-01-01 00:00:00").cast("timestamp")), 9).alias("recency"))
 
+
+
+@query("events", sql="""select event_id, case when event_id % 3 = 0 then make_timestamp((1700000000 + event_id) * 1000000) when event_id % 3 = 1 then ts else null end as at from (select event_id, date_trunc('second', ts) as ts from events)""")
+def fn_parse_date(events):
+    from ..sources.snapshots import parsed_date
+
+    i = F.col("event_id")
+    text = F.when(i % 3 == 0, (i + 1700000000).cast("string")).when(i % 3 == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise("soon")
+    return events.select("event_id", parsed_date(text).alias("at"))
+
+
+@query("events", sql="select event_id, sha256('{\"a\":' || event_id || ',\"k\":' || cast(props->>'$.k' as bigint) || '}') as hash from events")
+def fn_hash_entity(events):
+    """Hash of a record's JSON, whatever the order of its fields."""
+    from ..sources.snapshots import canonical_json
+
+    record = F.concat(F.lit('{ "k": '), F.get_json_object("props", "$.k"), F.lit(', "a": '), F.col("event_id").cast("string"), F.lit("}"))
+    return events.select("event_id", F.sha2(canonical_json(record).cast("binary"), 256).alias("hash"))

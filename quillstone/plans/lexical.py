@@ -212,3 +212,24 @@ _CTX = " union all ".join(f"select {m} as \"order\", array_to_string(w[i - {m}:i
 @query("documents", sql=f"with d as (select regexp_extract_all({_LOW.format('text')}, '[a-z0-9]+') as w from documents where text is not null), c as ({_CTX}), n as (select \"order\", context, next_term, count(*) as n from c group by all) select *, row_number() over (partition by \"order\", context order by n desc, next_term) as rank from n qualify rank <= 16")
 def agg_ngram_topk(docs):
     return L.next_terms(docs)
+
+
+@query("documents", sql=f"{_U} select doc_id, paragraph, unit, text from u where norm in (select norm from u group by 1 having count(*) = 1)")
+def agg_unique_units(docs):
+    return L.unique_units(units(docs))
+
+
+@query("documents", sql=f"select key, n, first_doc from ({ORACLES['agg_duplicate_family']}) order by n desc, first_doc, key limit 20")
+def topk_duplicates(docs):
+    return L.top_duplicates(units(docs))
+
+
+@query("documents", sql=f"select * from ({ORACLES['q_change_index']}) order by similarity desc, doc_id, paragraph1, unit1, paragraph2, unit2 limit 20")
+def topk_changes(docs):
+    return L.top_changes(L.changes(L.change_pairs(units(docs))))
+
+
+@query("documents", sql=f"select * from ({ORACLES['q_change_index']}) where kind = 'change-number'")
+def fn_change_query(docs):
+    """Changes of one asked kind."""
+    return L.matching_changes(L.changes(L.change_pairs(units(docs))), "number changed")

@@ -199,3 +199,21 @@ def test_generic_titles_and_matching(spark):
     known = spark.createDataFrame([("p", ["parquet", "store", "files"], [])], "project_id string, terms array<string>, names array<string>")
     got = {r.conv_id: (r.project_id == "p", r.new_name) for r in projects.resolved(prints, known).collect()}
     assert got == {1: (True, None), 2: (False, "Music · Piano")}
+
+
+def test_snapshots_round_trip(spark, tmp_path):
+    from quillstone.sources import snapshots as S
+
+    a = spark.createDataFrame([(1, "x", None), (2, None, 2.5), (2, None, 2.5)], "b int, a string, c double")
+    S.write_snapshot({"one": a, "two": a.limit(0)}, str(tmp_path / "s"))
+    back = S.read_snapshot(spark, str(tmp_path / "s"), {"one": "a string, b int, c double", "two": "b int", "three": "z int"})
+    assert sorted(map(tuple, back["one"].select("b", "a", "c").collect()), key=str) == sorted(map(tuple, a.collect()), key=str) and back["two"].count() == back["three"].count() == 0
+    spark.createDataFrame([('{"a":"y","b":9,"c":null}',)], "value string").write.mode("append").text(str(tmp_path / "s/tables/one"))
+    with pytest.raises(ValueError, match="one"):
+        S.read_snapshot(spark, str(tmp_path / "s"), {"one": "a string"})
+    rows = spark.createDataFrame([("",), ("a",), (None,)], "t string").select(S.fnv1a64("t").alias("h"), S.canonical_json(F.lit('{"b": [1, {"d": 1, "c": "é"}], "a": null}')).alias("j")).collect()
+    assert [r.h for r in rows] == ["cbf29ce484222325", "af63dc4c8601ec8c", None] and rows[0].j == '{"a":null,"b":[1,{"c":"é","d":1}]}'
+
+
+def test_change_queries():
+    assert L.change_query("changed value red car -> blue car") == ("", "red car", "blue car") and L.change_query("date changed") == ("change-date", "", "") and L.change_query("plain words") is None
