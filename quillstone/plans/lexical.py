@@ -32,9 +32,9 @@ def units(docs):
     return L.units(L.sections(L.paragraphs(docs)))
 
 
-def on_units(name: str, columns: dict, sql: str):
+def on_units(name: str, columns, sql: str):
     """Registers column functions of units."""
-    QUERIES[name] = lambda spark, sf: units(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "paragraph", "unit", *(c.alias(n) for n, c in columns.items()))
+    QUERIES[name] = lambda spark, sf: units(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "paragraph", "unit", *(c.alias(n) for n, c in columns().items()))
     ORACLES[name] = f"{_U} select {_UNIT}, {sql} from u"
 
 
@@ -65,27 +65,27 @@ def flt_structural(docs):
 _marks = "length(regexp_replace(text, '[^.!?]', '', 'g'))"
 _any = lambda word, i=0: "(" + " or ".join(f"contains({_LOW.format('text')}, '{n}')" for n in L.CUES[word][i][0]) + ")"
 _c = F.col
-on_units("fn_title_like", {"title_like": _c("title_like")}, f"n_terms <= 18 and strlen(text) <= 220 and {_marks} <= 1 as title_like")
-on_units("fn_cues", {w: L.cue(_c("text"), w) for w in L.CUES} | {f"how{i}": L.cue(_c("text"), "how", i) for i in range(1, 5)}, ", ".join([f'{_any(w)} as "{w}"' for w in L.CUES] + [f"{_any('how', i)} as how{i}" for i in range(1, 5)]))
-on_units("fn_terms_native", {"words": F.array_join("seq", " "), "terms": F.array_join("terms", " ")}, "array_to_string(seq, ' ') as words, array_to_string(terms, ' ') as terms")
+on_units("fn_title_like", lambda: {"title_like": _c("title_like")}, f"n_terms <= 18 and strlen(text) <= 220 and {_marks} <= 1 as title_like")
+on_units("fn_cues", lambda: {w: L.cue(_c("text"), w) for w in L.CUES} | {f"how{i}": L.cue(_c("text"), "how", i) for i in range(1, 5)}, ", ".join([f'{_any(w)} as "{w}"' for w in L.CUES] + [f"{_any('how', i)} as how{i}" for i in range(1, 5)]))
+on_units("fn_terms_native", lambda: {"words": F.array_join("seq", " "), "terms": F.array_join("terms", " ")}, "array_to_string(seq, ' ') as words, array_to_string(terms, ' ') as terms")
 _lead, _trail = "array_to_string(string_split(norm, ' ')[1:8], ' ')", "array_to_string(string_split(norm, ' ')[greatest(len(string_split(norm, ' ')) - 5, 1):], ' ')"
 _FAMILY = f"case when norm = '' then '' else concat_ws('|', {_lead}, {_trail}, (length(norm) // 24)::varchar) end"
 _PRINT = f"sha256(concat_ws('|', {_lead}, {_trail}, n_terms::varchar, (length(norm) // 16)::varchar))"
-on_units("fn_family_key", {"family": L.family_key(_c("norm")), "fingerprint": L.fingerprint(_c("norm"), _c("n_terms"))}, f"{_FAMILY} as family, {_PRINT} as fingerprint")
+on_units("fn_family_key", lambda: {"family": L.family_key(_c("norm")), "fingerprint": L.fingerprint(_c("norm"), _c("n_terms"))}, f"{_FAMILY} as family, {_PRINT} as fingerprint")
 _SHINGLES = "case when len(seq) >= 3 then list_sort(list_distinct(list_transform(range(1, len(seq) - 1), lambda i: array_to_string(seq[i:i + 2], '|')))) when norm <> '' then [norm] else [] end"
-on_units("fn_shingles", {"shingles": F.array_join(L.shingles(_c("seq"), _c("norm")), " ")}, f"array_to_string({_SHINGLES}, ' ') as shingles")
+on_units("fn_shingles", lambda: {"shingles": F.array_join(L.shingles(_c("seq"), _c("norm")), " ")}, f"array_to_string({_SHINGLES}, ' ') as shingles")
 _DATES = rf"list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(text, '{L.ISO_DATE}'), lambda d: regexp_split_to_array(d, '[-/.]')[1] || '-' || lpad(regexp_split_to_array(d, '[-/.]')[2], 2, '0') || '-' || lpad(regexp_split_to_array(d, '[-/.]')[3], 2, '0')), list_transform(regexp_extract_all(text, '{L.LONG_DATE}'), lambda d: string_split(d, ' ')[3] || '-' || lpad(((strpos('{L.MONTHS}', lower(substr(d, 1, 3))) + 2) // 3)::varchar, 2, '0') || '-' || lpad(replace(string_split(d, ' ')[2], ',', ''), 2, '0')))))"
 _NUMBERS = rf"list_sort(list_distinct(list_transform(regexp_extract_all(text, '{L.NUMERIC}'), lambda x: lower(regexp_replace(x, '[$,]', '', 'g')))))"
 _ABBR = rf"list_sort(list_distinct(list_transform(regexp_extract_all(text, '{L.ABBREVIATION}'), lambda x: lower(regexp_replace(x, '\.$', '')))))"
-on_units("fn_date_signatures", {"dates": F.array_join(L.dates(_c("text")), " ")}, f"array_to_string({_DATES}, ' ') as dates")
-on_units("fn_numeric_signatures", {"numbers": F.array_join(L.numbers(_c("text")), " ")}, f"array_to_string({_NUMBERS}, ' ') as numbers")
-on_units("fn_abbrev_signatures", {"abbreviations": F.array_join(L.abbreviations(_c("text")), " ")}, f"array_to_string({_ABBR}, ' ') as abbreviations")
-on_units("fn_quoted_phrases", {"quoted": F.array_join(L.quoted(_c("text")), "|")}, "array_to_string(regexp_extract_all(text, '\"([^\"]+)\"', 1), '|') as quoted")
-on_units("fn_occurrences", {"n": L.occurrences(_c("norm"), "the").cast("bigint")}, "len(list_filter(seq, lambda x: x = 'the')) as n")
-on_units("fn_term_sequence", {"at": L.sequence_at(_c("seq"), F.array(F.lit("of"), F.lit("the"))).cast("bigint")}, "coalesce(list_min(list_filter(range(len(seq) - 1), lambda i: seq[i + 1] = 'of' and seq[i + 2] = 'the')), -1) as at")
+on_units("fn_date_signatures", lambda: {"dates": F.array_join(L.dates(_c("text")), " ")}, f"array_to_string({_DATES}, ' ') as dates")
+on_units("fn_numeric_signatures", lambda: {"numbers": F.array_join(L.numbers(_c("text")), " ")}, f"array_to_string({_NUMBERS}, ' ') as numbers")
+on_units("fn_abbrev_signatures", lambda: {"abbreviations": F.array_join(L.abbreviations(_c("text")), " ")}, f"array_to_string({_ABBR}, ' ') as abbreviations")
+on_units("fn_quoted_phrases", lambda: {"quoted": F.array_join(L.quoted(_c("text")), "|")}, "array_to_string(regexp_extract_all(text, '\"([^\"]+)\"', 1), '|') as quoted")
+on_units("fn_occurrences", lambda: {"n": L.occurrences(_c("norm"), "the").cast("bigint")}, "len(list_filter(seq, lambda x: x = 'the')) as n")
+on_units("fn_term_sequence", lambda: {"at": L.sequence_at(_c("seq"), F.array(F.lit("of"), F.lit("the"))).cast("bigint")}, "coalesce(list_min(list_filter(range(len(seq) - 1), lambda i: seq[i + 1] = 'of' and seq[i + 2] = 'the')), -1) as at")
 _places = lambda w: f"list_filter(range(1, len(seq) + 1), lambda i: seq[i] = '{w}')"
 _GAP = f"list_min(flatten(list_transform({_places('the')}, lambda a: list_transform({_places('of')}, lambda b: abs(a - b)))))"
-on_units("fn_near_clause", {"near": F.round(L.near(_c("seq"), "the", "of", 5), 9)}, f"case when {_GAP} <= 5 then round(2.5::double + 4.0::double * (5 - {_GAP} + 1) / 6::double, 9) else 0.0::double end as near")
+on_units("fn_near_clause", lambda: {"near": F.round(L.near(_c("seq"), "the", "of", 5), 9)}, f"case when {_GAP} <= 5 then round(2.5::double + 4.0::double * (5 - {_GAP} + 1) / 6::double, 9) else 0.0::double end as near")
 
 
 @query("documents", sql=f"{_U} select key, count(*) as n, min(doc_id) as first_doc from (select doc_id, {_FAMILY} as key from u where norm <> '') group by 1 having count(*) >= 2")
