@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import Work, join_checked
+from .store import Work, bounded_batches, join_checked
 
 SHARD_BYTES = 4 << 20
 #: Bytes of test texts that are searched at once; what is broadcast for them is about five times as large.
@@ -276,6 +276,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: s
     texts have no words; a test row with a null id still marks words but is no item; test rows of one id are one item. Repeated
     documents each have their row. Other columns are not read, whatever their names; an empty benchmark marks nothing.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(texts.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"

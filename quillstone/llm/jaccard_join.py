@@ -29,9 +29,9 @@ from .components import components
 from .store import Work, fresh, join_checked
 
 FIRST_OF_8 = 3
-FLUSH = 1 << 21
-#: Blocks of columns for each task of the product, so that tasks come out even.
-BLOCKS_PER_TASK = 2
+FLUSH = 1 << 20
+#: Blocks of columns for each task of the product: tasks come out even, and one block is unpacked at a time.
+BLOCKS_PER_TASK = 4
 #: Entries of the first blocks that one task of the product takes. Each task gives a partial count for each row it meets, so larger tasks give fewer.
 TASK_ENTRIES = 4 << 20
 
@@ -123,44 +123,52 @@ def _incidence(k: int, lower: bool, bits: int):
 
 def _product(batches):
     """Of the blocks of a partition: how many entries of each row meet another row. A row that several tasks sent may count twice, never too little."""
-    h, row, sigs, counts = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    packed, sigs, counts = {}, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for b in batches:
-        for block, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            raw = np.frombuffer(payload.as_buffer(), np.uint8)
-            if block >= _COUNTED:
-                n = len(raw) // 16
-                sigs.append(raw[: 8 * n].view(np.uint64).copy())
-                counts.append(raw[8 * n :].view(np.int64).copy())
-                continue
-            n, m = (int(x) for x in raw[:8].view(np.uint32))
-            own = np.frombuffer(raw[8 : 8 + 8 * n].tobytes(), np.uint64)
-            wide = np.zeros((m, 8), np.uint8)
-            wide[:, :6] = raw[8 + 8 * n : 8 + 8 * n + 6 * m].reshape(m, 6)
-            kind = np.uint16 if n <= 1 << 16 else np.uint32
-            h.append(wide.reshape(-1).view(np.uint64) | np.uint64(block % 65536) << np.uint64(48))
-            row.append(own[np.frombuffer(raw[8 + 8 * n + 6 * m :].tobytes(), kind)])
-    if h:
-        h, row = np.concatenate(h), np.concatenate(row)
-        order = np.argsort(h, kind="stable")
-        h, row = h[order], row[order]
-        shared = np.zeros(len(h), bool)  # the column has another entry
-        shared[1:] |= h[1:] == h[:-1]
-        shared[:-1] |= h[1:] == h[:-1]
-        h, row = h[shared], row[shared]
-        order = np.lexsort((row, h))
-        h, row = h[order], row[order]
-        again = np.zeros(len(h), bool)  # one row from two tasks
-        again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
-        h, row = h[~again], row[~again]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(h)))
-        sigs.append(row[np.repeat(size, size) > 1])
-        counts.append(np.ones(len(sigs[-1]), np.int64))
+        for block, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if block < _COUNTED:
+                packed.setdefault(block, []).append(payload)
+            else:
+                n = len(payload) // 16
+                sigs.append(np.frombuffer(payload, np.uint64, n))
+                counts.append(np.frombuffer(payload, np.int64, n, 8 * n))
+    for block in list(packed):
+        row = _meeting(block, packed.pop(block))
+        one, n = np.unique(row, return_counts=True)
+        sigs.append(one)
+        counts.append(n.astype(np.int64))
     one, at = np.unique(np.concatenate(sigs), return_inverse=True)
     yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(np.bincount(at, np.concatenate(counts), len(one)).astype(np.int64))], ["sig", "shared"])
     W.give_back()
 
 
+def _meeting(block: int, payloads: list[bytes]) -> np.ndarray:
+    """The rows of a block's entries whose column another row has, once for each such entry."""
+    h, row = [], []
+    for raw in payloads:
+        n, m = (int(x) for x in np.frombuffer(raw, np.uint32, 2))
+        own = np.frombuffer(raw, np.uint64, n, 8)
+        wide = np.zeros((m, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(raw, np.uint8, 6 * m, 8 + 8 * n).reshape(m, 6)
+        h.append(wide.reshape(-1).view(np.uint64) | np.uint64(block % 65536) << np.uint64(48))
+        row.append(own[np.frombuffer(raw, np.uint16 if n <= 1 << 16 else np.uint32, offset=8 + 8 * n + 6 * m)])
+    h, row = np.concatenate(h), np.concatenate(row)
+    order = np.argsort(h, kind="stable")
+    h, row = h[order], row[order]
+    shared = np.zeros(len(h), bool)  # the column has another entry
+    shared[1:] |= h[1:] == h[:-1]
+    shared[:-1] |= h[1:] == h[:-1]
+    h, row = h[shared], row[shared]
+    order = np.lexsort((row, h))
+    h, row = h[order], row[order]
+    again = np.zeros(len(h), bool)  # one row from two tasks
+    again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+    h, row = h[~again], row[~again]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(h)))
+    return row[np.repeat(size, size) > 1]
+
+
 def _whole_rows(k: int, lower: bool):
     """The sets of texts that are what their row's signature says; other texts of the same id go."""
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .labelled import fold, sample
-from .store import fresh
+from .store import bounded_batches, fresh
 from .toxicity import best_cut
 
 ROWS_EACH = 1200
@@ -159,6 +159,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
 
     Repeated rows are scored each; other columns are not read, and kept ones may have any names but score. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     text = fresh(docs.select(*keep), "text")[0]
     texts = docs.select(F.col(text_col).cast("string").alias(text), *(F.col(f"`{c}`") for c in keep))
     schema = texts.select(*(F.col(f"`{c}`") for c in keep), F.lit(0.0).alias("score")).schema

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .labelled import picked
+from .store import bounded_batches
 
 ROWS_EACH = 4000
 MOST_RULES, MOST_CONDITIONS = 12, 4
@@ -101,6 +102,7 @@ def counts(texts) -> dict[str, np.ndarray]:
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the counts of each whole text: n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word that equal an earlier one), n_repeat_words (words in 3-word windows found twice or more), n_upper (A-Z), n_lines (with a word) and n_stops. A null text counts nothing; repeated rows are counted each. Other columns are not read, whatever their names; an empty table gives an empty result."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def scan(batches):

@@ -19,6 +19,16 @@ BROADCAST_BYTES = 24 << 20
 #: Spark's own setting: shuffle files go when the query that made them ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _MADE: dict[str, list[str]] = {}
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of texts that go to a Python worker at once.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of rows a batch to `BATCH_ROWS` (a lower one stays): with Spark's 10000, one batch of long texts fills what an executor has beside its heap."""
+    rows = int(spark.conf.get(_ROWS, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +68,7 @@ class Work:
     """A folder for the tables that one operator writes; drop() and remove() delete those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", []
         _MADE.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
