@@ -358,7 +358,7 @@ def join_msg_atoms(conversations):
     return C.messages(conversations).select("conv_id", "sequence").join(a, ["conv_id", "sequence"], "left").select("conv_id", "sequence", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("atoms", F.lit("")).alias("atoms"))
 
 
-@query("events", sql="select event_id, case when v is null then 0.35::double else round(least(greatest(1 - floor(datediff('hour', date_trunc('hour', ts), timestamp '2025-01-01') - case when ts > date_trunc('hour', ts) then 1 else 0 end) / 24::double / 730::double, 0), 1), 9) end as recency from (select *, ts as v from events)")
+@query("events", sql="select event_id, case when v is null then 0.35::double else round(least(greatest(1 - floor(datediff('hour', date_trunc('hour', ts), timestamp '2025-01-01') - case when date_trunc('second', ts) > date_trunc('hour', ts) then 1 else 0 end) / 24::double / 730::double, 0), 1), 9) end as recency from (select *, ts as v from events)")
 def fn_recency(events):
     from ..operators.projection import recency
 
