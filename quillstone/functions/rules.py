@@ -14,7 +14,7 @@ from . import text as T
 _WORD = "[A-Za-z0-9_]"
 _END = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
-# Patterns of the strict families, case-insensitive.
+# Patterns of the strict families, case-insensitive. A product's own name is no part of them.
 CODE_OR_LOG = r"(```|^\s*(import|export|const|let|var|function|class|def|from)\b|npm\s+run|GET\s+/|POST\s+/|stack trace|console\.log|error:|warning:)"
 QUESTION = r"^\s*(what|why|how|when|where|who|which|can|could|would|should|is|are|do|does|did)\b|[?]\s*$"
 CHAT_TASK = r"\b(give me|write|find|search|show me|explain|summari[sz]e|review|audit|analy[sz]e|create|generate|make a|make me|tell me|help me)\b"
@@ -22,8 +22,8 @@ TRANSIENT = r"\b(freeze|frozen|unresponsive|loading|downloading|pending|console
 SPECULATIVE = r"\b(maybe|might|could be|possibly|probably|i think|i guess|not sure|seems like|wonder if)\b"
 NEGATIVE_CONSTRAINT = r"\b(do not|don't|dont|never|must not|should not|cannot|can't|no\s+manual|without\s+manual|avoid)\b"
 FIRST_PERSON = r"\b(i|we)\s+(want|need|prefer|must|should|will|am going to|are going to)\b"
-CONFIG = r"\b(runtime|model|backend|provider|architecture|schema|adapter|engine|cache|worker|mrs|dvi|brain2|gemini|claude|chatgpt)\b.{0,80}\b(is|are|uses|use|must use|should use|equals|=|:)\b"
-_TOPICS = "model|backend|provider|schema|adapter|engine|cache|worker|mrs|dvi|brain2|life wiki|import|export|truth|deterministic"
+CONFIG = r"\b(runtime|model|backend|provider|architecture|schema|adapter|engine|cache|worker|mrs|dvi|gemini|claude|chatgpt)\b.{0,80}\b(is|are|uses|use|must use|should use|equals|=|:)\b"
+_TOPICS = "model|backend|provider|schema|adapter|engine|cache|worker|mrs|dvi|life wiki|import|export|truth|deterministic"
 _DUTIES = r"should|must|needs?\s+to|has\s+to|have\s+to|will"
 PROJECT_REQUIREMENT = rf"\b({_TOPICS})\b.{{0,120}}\b({_DUTIES})\b|\b({_DUTIES})\b.{{0,120}}\b({_TOPICS})\b"
 SHORT_DIRECTIVE = r"^(keep|use|switch|replace|remove|add|make|move|stick to|preserve|disable|enable)\b"
@@ -40,7 +40,7 @@ STATE_WORD = r"\b(?:current|status|version|limit|budget|error|issue|problem|stat
 TREATED_NUMBER = r"\bmust be treated as\s+\d+\b"
 TREATED_WORD = r"\bmust be treated as\s+(?:on|between|ambiguous|true|false)\b"
 MARKUP_WORD = r"\b(?:class|meta-data|android:name|div|span|image|svg|import|export|const)\b"
-PLACEHOLDER = r"this block is not supported|browser cache is not available|brain2 mrs could not activate|retry after checking browser network/storage/console|(?:download|restore|enable)\s+local\s+mrs|brain2 ai runtime|model download progress"
+PLACEHOLDER = r"this block is not supported|browser cache is not available|mrs could not activate|retry after checking browser network/storage/console|(?:download|restore|enable)\s+local\s+mrs|[a-z0-9]+ ai runtime|model download progress"
 ACKNOWLEDGEMENT = r"^(?:yes|no|ok|okay|thanks|thank you|done|sure)\b"
 DIRECTIVE_PERSON = r"\b(i|we)\s+(want|need|prefer|must|should)\b"
 DIRECTIVE_VERB = r"\b(should|must|needs?\s+to|has\s+to|have\s+to|do not|don't|dont|never|without manual|no manual|keep|use|switch|replace|remove|make|move|stay|stick to|preserve|protect|disable|enable)\b"
