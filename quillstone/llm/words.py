@@ -214,6 +214,17 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return g[keep], total[ends]
 
 
+def _frugal() -> None:
+    """Large arrays go back to the system when they are freed, not at a task's end: two workers share with the executor's heap what memory it has."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if set_ := getattr(ctypes.CDLL(None), "mallopt", None):
+        for option, value in ((-3, 1 << 20), (-1, 4 << 20), (-8, 2)):  # glibc: mapped from this size on, trimmed beyond this, arenas
+            set_(option, value)
+
+
+_frugal()
+
+
 def give_back() -> None:
     """Returns freed memory to the system: Python workers outlive their tasks, and would hold it while others run."""
     pa.default_memory_pool().release_unused()
@@ -221,7 +232,7 @@ def give_back() -> None:
         trim(0)
 
 
-def chunks(batches, text: str, most: int = 4 << 20):
+def chunks(batches, text: str, most: int = 2 << 20):
     """Record batches cut into runs of rows of about `most` bytes of text; a longer text is a run of its own."""
     try:
         yield from _chunks(batches, text, most)
