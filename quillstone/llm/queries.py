@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .bpe import op12_tokenization_automaton
 from .decontaminate import op1_suffix_array_decontamination
+from .fill_middle import OP11_SQL, op11_fill_in_middle
 from .jaccard_join import op9_ngram_jaccard_join
 from .lm_score import OP4_SQL, op4_cross_entropy_difference
 from .packing import op8_best_fit_packing
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_cnn_toxicity": op10_cnn_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_tokenization_automaton": op12_tokenization_automaton,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -64,4 +68,5 @@ ORACLES: dict[str, str] = {
     "op2_doubling_substring_dedup": OP2_SQL,
     "op4_cross_entropy_difference": OP4_SQL,
     "op5_monolithic_warc": OP5_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
