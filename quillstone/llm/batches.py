@@ -22,8 +22,8 @@ def extended(docs: DataFrame, inputs: dict[str, str], fields: list[StructField],
     bounded_batches(docs.sparkSession)
     new = {f.name.lower() for f in fields}
     kept = [f for f in docs.schema.fields if f.name.lower() not in new]
-    own = fresh(docs, *inputs)
-    read = docs.select(*(F.col(f"`{f.name}`") for f in kept), *(F.col(f"`{c}`").cast(kind).alias(o) for (c, kind), o in zip(inputs.items(), own, strict=True)))
+    own = fresh(docs, *(f"in{j}" for j in range(len(inputs))))
+    read = docs.select(*(F.col(f.name) for f in kept), *(F.col(c).cast(kind).alias(o) for (c, kind), o in zip(inputs.items(), own, strict=True)))
     n, k = len(kept), len(own)
     names = [f.name for f in kept + fields]
 

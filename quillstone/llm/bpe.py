@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -29,6 +30,8 @@ from .batches import extended
 
 #: Distinct words whose ids a worker keeps before it starts over, and characters of text whose words are held at once.
 KNOWN_WORDS, HELD_CHARS = 1 << 18, 1 << 20
+#: Characters from which on a word is encoded by itself.
+LONG_WORD = 200
 _NEVER = 1 << 30
 
 
@@ -182,6 +185,31 @@ class Automaton:
         which = np.repeat(np.arange(len(words)), size)
         return last[on_path], np.bincount(which[on_path], minlength=len(words))
 
+    def encode_long(self, word: bytes) -> list[int]:
+        """Ids of one word, by the same sweep without arrays: for words so long that few others keep step with them."""
+        if not hasattr(self, "_steps"):
+            self._steps, self._gone = dict(zip(self.step.tolist(), self.child.tolist(), strict=True)), dict(zip(self.gone.tolist(), self.gone_rank.tolist(), strict=True))
+        step, gone, token, left, rank, target = self._steps, self._gone, self.token.tolist(), self.left.tolist(), self.rank.tolist(), self.target.tolist()
+        last, came = array("i", [-1]) * (len(word) + 1), array("q", [0]) * (len(word) + 1)
+        for s in range(len(word)):
+            state, node = (target[last[s]] if s else 0) << 32, 0
+            for e in range(s, len(word)):
+                node = step.get(node << 8 | word[e])
+                if node is None:
+                    break
+                label = t = token[node]
+                if t >= 0 > last[e + 1]:
+                    made = _NEVER
+                    while label >= 0 and gone.get(state | label, _NEVER + 1) > made:
+                        made, label = rank[label], left[label]
+                    if label < 0:
+                        last[e + 1], came[e + 1] = t, s
+        out, at = [], len(word)
+        while at:
+            out.append(last[at])
+            at = came[at]
+        return out[::-1]
+
 
 def spelled(labels: list[bytes], ids: np.ndarray) -> str:
     """Labels of ids, one after the other; ids without a label are passed over, bytes that are no UTF-8 are U+FFFD."""
@@ -215,6 +243,8 @@ class Encoder:
             self.known.clear()
         self.known |= {(s,): i.to_bytes(4, "little") for s, i in self.automaton.specials.items()}
         new = list(set(chain.from_iterable(w for _, w in held)) - self.known.keys())
+        self.known |= {w: np.array(self.automaton.encode_long(w.encode()), "<u4").tobytes() for w in new if len(w) > LONG_WORD}
+        new = [w for w in new if len(w) <= LONG_WORD]
         for a in range(0, len(new), 1 << 14):
             own = new[a : a + (1 << 14)]
             ids, size = self.automaton.encode([w.encode() for w in own])

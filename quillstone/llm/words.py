@@ -94,10 +94,11 @@ class Words:
 
 
 def bytes_of(texts) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string array; null is empty."""
+    """(bytes, offsets) of a string or binary array; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    kind, none = (pa.large_binary(), b"") if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else (pa.large_string(), "")
+    texts = pc.fill_null(texts.cast(kind), none)
     off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     buf = texts.buffers()[2] if len(texts) else None
     data = np.frombuffer(buf, np.uint8)[off[0] : off[-1]] if buf is not None and off[-1] > off[0] else np.zeros(0, np.uint8)

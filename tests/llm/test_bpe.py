@@ -51,7 +51,7 @@ def test_every_code_point(automaton, library):
 
 def test_paths_are_what_merging_gives(tmp_path):
     """Small vocabularies, whose merges meet in many ways: the path, a merge loop and the arcs of every other path agree."""
-    for seed in range(12):
+    for seed in range(6):
         rng = random.Random(seed)
         tokens, merges = list(bpe._byte_signs()), []
         parts = ["a", "b", "c"]
@@ -66,7 +66,7 @@ def test_paths_are_what_merging_gives(tmp_path):
         spec["model"]["merges"] = [list(m) for m in merges]
         (path := tmp_path / f"{seed}.json").write_text(json.dumps(spec))
         made = bpe.Automaton(str(path))
-        words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(25)]
+        words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(15)]
         ids, size = made.encode([w.encode() for w in words])
         for w, own in zip(words, np.split(ids, np.cumsum(size)[:-1]), strict=True):
             seq = list(w)
