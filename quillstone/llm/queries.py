@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op12_tokenization_automaton
 from .decontaminate import op1_suffix_array_decontamination
+from .divergence import OP13_SQL, op13_heavy_light_divergence
 from .fill_middle import OP11_SQL, op11_fill_in_middle
 from .jaccard_join import op9_ngram_jaccard_join
 from .lm_score import OP4_SQL, op4_cross_entropy_difference
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_cnn_toxicity": op10_cnn_toxicity,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_tokenization_automaton": op12_tokenization_automaton,
+    "op13_heavy_light_divergence": op13_heavy_light_divergence,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -69,4 +71,5 @@ ORACLES: dict[str, str] = {
     "op4_cross_entropy_difference": OP4_SQL,
     "op5_monolithic_warc": OP5_SQL,
     "op11_fill_in_middle": OP11_SQL,
+    "op13_heavy_light_divergence": OP13_SQL,
 }
