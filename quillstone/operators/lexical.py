@@ -333,11 +333,17 @@ def duplicates(rows: DataFrame, key: Column) -> DataFrame:
 
 
 def next_terms(docs: DataFrame, longest: int = 3, k: int = 16) -> DataFrame:
-    """For each run of up to `longest` words of a text (and none), the k that most often follow, ties by the alphabet. Counts are combined before the shuffle, and ranks cut within each task first."""
-    words = docs.where("text is not null").select(native_terms(F.col("text")).alias("w"))
-    each = words.select(F.posexplode("w").alias("i", "next_term"), "w").where("next_term is not null")
-    runs = F.array(*(F.when(F.col("i") >= m, F.struct(F.lit(m).alias("order"), F.array_join(F.slice("w", F.col("i") - m + 1, m) if m else F.array().cast("array<string>"), " ").alias("context"))) for m in range(longest + 1)))
-    pairs = each.select("next_term", F.inline(F.filter(runs, lambda x: x.isNotNull())))
+    """For each run of up to `longest` words of a text (and none), the k that most often follow, ties by the alphabet.
+
+    A text's runs are built in one pass over its words, so that its exploded rows hold a run each and not the text. Counts are combined before the shuffle, and ranks cut within each task first.
+    """
+
+    def runs(q):
+        run = lambda i, m: F.struct(F.lit(m).alias("order"), (F.array_join(F.slice(q, i - m + 1, m), " ") if m else F.lit("")).alias("context"), F.get(q, i).alias("next_term"))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(q) - 1), lambda i: F.filter(F.array(*(F.when(i >= m, run(i, m)) for m in range(longest + 1))), lambda x: x.isNotNull())))
+
+    words = native_terms(F.col("text"))
+    pairs = docs.where("text is not null").select(F.inline(T.once(words, lambda q: F.when(F.size(q) > 0, runs(q)))))
     n = pairs.groupBy("order", "context", "next_term").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("order", "context").orderBy(F.desc("n"), "next_term"))
     return n.withColumn("rank", rank).where(F.col("rank") <= k)

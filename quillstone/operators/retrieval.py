@@ -98,10 +98,12 @@ def _any(low: Column, terms: list[str]) -> Column:
     return reduce(Column.__or__, (low.contains(re.sub("[%_]", "", t)) for t in terms[:8]))
 
 
-def hydrated(found: DataFrame, records: DataFrame) -> DataFrame:
-    """Index hits with their records, as long as the record still has the hash it was indexed with."""
-    base = records.withColumn("actual", record_hash())
-    return base.join(F.broadcast(found.select("table_name", "record_id", "record_hash", "hits")), ["table_name", "record_id"]).where("record_hash = actual").drop("actual")  # a query's candidates: 512 at most
+def hydrated(found: DataFrame, records: DataFrame, most: int | None = None) -> DataFrame:
+    """Index hits with their records, as long as the record still has the hash it was indexed with. Hits are broadcast only where they are known to be `most` at most, 512 or fewer; else both sides are shuffled."""
+    base, hits = records.withColumn("actual", record_hash()), found.select("table_name", "record_id", "record_hash", "hits")
+    if most is not None and most <= 512:
+        hits = F.broadcast(hits.limit(most))
+    return base.join(hits, ["table_name", "record_id"]).where("record_hash = actual").drop("actual")
 
 
 def in_scope(rows: DataFrame, project: str | None) -> DataFrame:

@@ -125,7 +125,7 @@ def flt_hash_verify(docs, conversations):
     own = records(docs, conversations).where("table_name in ('atoms', 'truths')")
     stale = F.row_number().over(Window.partitionBy("table_name").orderBy("record_id")) % 3 == 0
     now = own.withColumn("text", F.when(stale, F.concat("text", F.lit("."))).otherwise(F.col("text")))
-    found = V.hydrated(V.recent(V.index_of(own), 1 << 30), now)
+    found = V.hydrated(V.index_of(own).withColumn("hits", F.lit(1)), now)
     return found.orderBy(F.desc("updated_at"), "table_name", "record_id").limit(512).select("table_name", "record_id")
 
 
@@ -135,7 +135,7 @@ def join_candidate_hydrate(docs, conversations):
     own, p = records(docs, conversations), V.plan(ASKED)
     index = V.index_of(own).withColumn("hits", V._hits(F.col("low"), p.terms))
     found = V.like_any(index, p.terms).orderBy(F.desc("hits"), "table_name", "record_id").limit(p.candidates)
-    return V.ranked(V.hydrated(found, own), p).select("table_name", "record_id", "hits")
+    return V.ranked(V.hydrated(found, own, p.candidates), p).select("table_name", "record_id", "hits")
 
 
 @query("documents", "conversations", sql=f"""{sql_retrieve(ASKED)} select table_name as type, record_id, {_NORM} as text, case when table_name = 'messages' then record_id end as message_id, case when table_name = 'truths' then status end as truth_status from res""")

@@ -217,3 +217,11 @@ def test_snapshots_round_trip(spark, tmp_path):
 
 def test_change_queries():
     assert L.change_query("changed value red car -> blue car") == ("", "red car", "blue car") and L.change_query("date changed") == ("change-date", "", "") and L.change_query("plain words") is None
+
+
+def test_next_terms_of_a_long_text(spark):
+    """Every run of a text of 20,000 words, in the memory of a test: rows hold a run each, not the text."""
+    words = [f"w{i % 700}" for i in range(20_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, ""), (3, None), (4, "one")], "doc_id long, text string")
+    got = {(r.order, r.context, r.next_term): r.n for r in L.next_terms(docs).where("context = 'w5 w6 w7' or context = 'w699' or context = 'w5'").collect()}
+    assert got == {(3, "w5 w6 w7", "w8"): 29, (1, "w699", "w0"): 28, (1, "w5", "w6"): 29}
