@@ -91,9 +91,11 @@ class Model:
 
 
 def bigrams(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
-    """The words that another of their text follows, and the bucket of each such pair."""
+    """The words that another of their text follows, and the bucket of each such pair, in its order."""
     at = np.flatnonzero(np.arange(1, len(w.hash) + 1) < np.repeat(w.first[1:], w.count))
-    return at, (W.mix((w.hash[at] ^ w.hash[at + 1]) + np.uint64(1)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    with np.errstate(over="ignore"):
+        pair = w.hash[at] * W.ODD + w.hash[at + 1]
+    return at, (W.mix(pair) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 SEGMENT = 1 << 20
 LONG_WORD = 1 << 16
-_P = np.uint64(0x9E3779B97F4A7C15)
+_P = ODD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

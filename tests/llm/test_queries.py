@@ -46,7 +46,7 @@ def test_op3(spark, tables):
             buckets, _ = Q.features([w.encode()])
             total += float(np.mean(model.value[buckets], dtype=np.float64))
         hashes = W.split(pa.array([r.text])).hash
-        pairs = [int(W.mix(np.array([a ^ b], np.uint64) + np.uint64(1))[0]) % Q.BUCKETS for a, b in zip(hashes, hashes[1:])]
+        pairs = [int(W.mix(np.array([(int(a) * int(W.ODD) + int(b)) % (1 << 64)], np.uint64))[0]) % Q.BUCKETS for a, b in zip(hashes, hashes[1:])]
         total += float(sum(model.value[b] for b in pairs))
         score = scaled(model, total / max(1, len(words) + len(pairs)) + model.bias, Q.CUT)
         own = got[r.doc_id]
