@@ -34,6 +34,13 @@ ISO_DATE = r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}"
 LONG_DATE = r"(?i)(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? [0-9]{1,2},? [0-9]{4}"
 NUMERIC = r"\$?[0-9]+(?:[.,][0-9]+)*[A-Za-z]*%?"
 ABBREVIATION = r"(?:[A-Za-z]\.){2,}"
+# Bytes and terms under which a range is short, bytes up to which ranges are merged, and what keeps a paragraph whole.
+SHORT_BYTES, SHORT_TERMS, MERGED_BYTES = 48, 6, 220
+WHOLE_BYTES, WHOLE_TERMS, LINED_BYTES = 220, 18, 320
+#: Words of letters and full stops that end in one, ten signs at most: two stops or more (`e.g.`), or four letters at most (`Prof.`).
+SHORTENED = r"(?<!\S)(?:(?=\.*[A-Za-z]\.*[A-Za-z])(?=[A-Za-z]*\.[A-Za-z]*\.)[A-Za-z.]{2,9}\.|[A-Za-z]{2,4}\.)(?!\S)"
+_ESC, _CUT, _OPEN, _SHUT = "\x01", "\x01\x03", "\x01\x04", "\x01\x05"  # in a text, \x01 is written \x01\x02 meanwhile
+_END = rf"(?:[!?]|(?<![0-9])(?<!{_OPEN}[A-Za-z.]{{0,9}})\.|(?<=[0-9])\.(?![0-9]))"
 
 
 def title_cased(t: Column) -> Column:
@@ -75,9 +82,70 @@ def native_terms(c: Column) -> Column:
     return F.regexp_extract_all(T.lower_ascii(c), F.lit("[a-z0-9]+"), 0)
 
 
+def _marked(text: Column) -> Column:
+    """A text whose \\x01 are escaped and whose shortened words stand between marks."""
+    return F.regexp_replace(F.replace(text, F.lit(_ESC), F.lit(_ESC + "\x02")), SHORTENED, f"{_OPEN}$0{_SHUT}")
+
+
+def sentence_marks(text: Column) -> Column:
+    """How many of a text's . ! ? end a sentence: not those in numbers and shortened words."""
+    return F.regexp_count(_marked(text), F.lit(_END))
+
+
+def term_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[0-9A-Za-z]+"))
+
+
+def ranges(text: Column) -> Column:
+    """array<struct<start, stop, terms>>: byte ranges of a text's sentences, with closing quotes and brackets, without the white space behind."""
+    cut = F.split(F.regexp_replace(_marked(text), _END + r"""["')\]}]*\s*""", f"$0{_CUT}"), _CUT)
+    pieces = F.transform(cut, lambda x: F.replace(F.regexp_replace(x, f"{_OPEN}|{_SHUT}", ""), F.lit(_ESC + "\x02"), F.lit(_ESC)))
+
+    def placed(q):
+        ends = F.aggregate(q, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.octet_length(x))))
+        each = T.once(ends, lambda e: F.transform(q, lambda x, i: F.struct(F.get(e, i).alias("start"), (F.get(e, i) + F.octet_length(F.regexp_replace(x, r"\s+\z", ""))).alias("stop"), term_count(x).alias("terms"))))
+        return F.filter(each, lambda r: r["stop"] > r["start"])
+
+    return T.once(pieces, placed)
+
+
+def merged(found: Column) -> Column:
+    """Ranges joined from the first on: one that is short, or meets a short one, takes in the next, up to 220 bytes of both."""
+    size = lambda r: r["stop"] - r["start"]
+    short = lambda r: (size(r) < SHORT_BYTES) | (r["terms"] < SHORT_TERMS)
+    kind = "struct<start:int,stop:int,terms:int>"
+    state = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("now"))
+
+    def step(acc, r):
+        now = acc["now"]
+        joins = (size(now) + size(r) <= MERGED_BYTES) & (short(now) | short(r))
+        both = F.struct(now["start"].alias("start"), r["stop"].alias("stop"), (now["terms"] + r["terms"]).alias("terms"))
+        return F.when(now.isNull(), F.struct(acc["done"].alias("done"), r.alias("now"))).when(joins, F.struct(acc["done"].alias("done"), both.alias("now"))).otherwise(F.struct(F.concat(acc["done"], F.array(now)).alias("done"), r.alias("now")))
+
+    return F.aggregate(found.cast(f"array<{kind}>"), state, step, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
+
+
+def stays_whole(text: Column, is_heading: Column) -> Column:
+    """Headings, short paragraphs, lists of short lines and paragraphs with one sentence at most."""
+    lined = (F.regexp_count(text, F.lit("\n")) >= 2) & (F.octet_length(text) <= LINED_BYTES)
+    return is_heading | (F.octet_length(text) <= WHOLE_BYTES) | (term_count(text) <= WHOLE_TERMS) | lined | (sentence_marks(text) <= 1)
+
+
+def split_atoms(text: Column, is_heading: Column) -> Column:
+    """array<struct<start, stop, text>>: a paragraph's units and their byte offsets in it.
+
+    Paragraphs that don't stay whole are cut at sentence ends, and short sentences merged. The cost of a merge grows with the number of a paragraph's units, not with other paragraphs. Null and empty texts have none.
+    """
+    n = F.octet_length(text)
+    one = F.array(F.struct(F.lit(0).alias("start"), n.alias("stop"), term_count(text).alias("terms")))
+    found = F.when(n == 0, F.array().cast("array<struct<start:int,stop:int,terms:int>>")).when(stays_whole(text, is_heading), one).otherwise(merged(ranges(text)))
+    data = text.cast("binary")
+    return F.transform(found, lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop"), F.substring(data, r["start"] + 1, r["stop"] - r["start"]).cast("string").alias("text")))
+
+
 def units(paras: DataFrame) -> DataFrame:
-    """Sentences of paragraphs with what search needs of them."""
-    each = paras.select("doc_id", "paragraph", *(c for c in ("section", "heading") if c in paras.columns), F.posexplode(T.sentences(F.col("text"))).alias("unit", "text"))
+    """Units of paragraphs with their byte offsets and what search needs of them."""
+    each = paras.select("doc_id", "paragraph", *(c for c in ("section", "heading") if c in paras.columns), F.posexplode(split_atoms(F.col("text"), F.col("is_heading"))).alias("unit", "u")).select("*", "u.*").drop("u")
     each = each.withColumn("norm", T.normalize_search(F.col("text"))).withColumn("seq", F.filter(F.split("norm", " "), lambda x: x != ""))
     n, bytes_ = F.size(F.array_distinct("seq")), F.octet_length("text")
     marks = F.length(F.regexp_replace("text", "[^.!?]", ""))

@@ -20,10 +20,22 @@ _HEADING = (
 )
 _P = f"""with p0 as (select doc_id, unnest(ps) as text, generate_subscripts(ps, 1) - 1 as paragraph from (select doc_id, {_SPLIT} as ps from documents where text is not null)), p1 as (select *, {_HEADING} as is_heading from p0),
 p2 as (select *, sum((is_heading and paragraph > 0)::int) over (partition by doc_id order by paragraph) as section from p1), p as (select *, first_value(case when is_heading then text else '' end) over (partition by doc_id, section order by paragraph) as heading from p2)"""
-_SENT = rf"list_filter(string_split(regexp_replace({_NORM}, '([.!?]) +', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) >= 4)"
+_WS = r" \t\r\n\x0B\x0C"
+_SHORTENED = "regexp_full_match(k, '[A-Za-z.]{1,10}') and ends_with(k, '.') and length(replace(k, '.', '')) >= 2 and (length(k) - length(replace(k, '.', '')) >= 2 or length(k) <= 5)"
+_NO_DECIMALS = r"regexp_replace(regexp_replace(k, '([0-9])\.([0-9])', '\1o\2', 'g'), '([0-9])\.([0-9])', '\1o\2', 'g')"
+_CLASSES = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(case when {_SHORTENED} then replace(k, '.', 'o') else {_NO_DECIMALS} end, '[^.!?"'')\\]}}{_WS}]', 'o', 'g'), '[.!?]', 'T', 'g'), '["'')\\]}}]', 'C', 'g'), '[{_WS}]', 'W', 'g')"""
+_COUNT = "len(regexp_extract_all({}, '[0-9A-Za-z]+'))"
 _SEARCHED = f"trim(regexp_replace({_LOW.format('text')}, '[^a-z0-9]+', ' ', 'g'))"
 _SEQ = "list_filter(string_split(norm, ' '), lambda x: x <> '')"
-_U = f"""{_P}, u0 as (select doc_id, paragraph, section, case when len({_SENT}) > 0 then {_SENT} else [{_NORM}] end as ss from p), u1 as (select doc_id, paragraph, section, unnest(ss) as text, generate_subscripts(ss, 1) - 1 as unit from u0),
+# signs become classes (T ends a sentence, C closes, W is white), pieces are runs of these, and the merge goes on by one piece in each round
+_U = f"""{_P.replace('with p0', 'with recursive p0', 1)}, s0 as materialized (select doc_id, paragraph, section, is_heading, text, array_to_string(list_transform(regexp_extract_all(text, '[^{_WS}]+|[{_WS}]+'), lambda k: {_CLASSES}), '') as cls from p),
+s1 as materialized (select *, is_heading or strlen(text) <= {L.WHOLE_BYTES} or {_COUNT.format('text')} <= {L.WHOLE_TERMS} or (length(text) - length(replace(text, chr(10), '')) >= 2 and strlen(text) <= {L.LINED_BYTES}) or length(cls) - length(replace(cls, 'T', '')) <= 1 as whole from s0),
+s2 as (select doc_id, paragraph, text, generate_subscripts(lens, 1) as k, unnest(lens) as len from (select *, list_transform(regexp_extract_all(cls, '[^T]*TC*W*|[^T]+'), lambda x: length(x)) as lens from s1 where not whole)),
+s3 as (select *, sum(len) over (partition by doc_id, paragraph order by k) - len as c from s2), s4 as (select doc_id, paragraph, k, c, length(x) as n, strlen(substr(text, 1, c::bigint)) as start, strlen(x) as size, {_COUNT.format('x')} as terms from (select *, rtrim(substr(text, c::bigint + 1, len), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as x from s3) where x <> ''),
+s5 as materialized (select doc_id, paragraph, c, c + n as e, start, start + size as stop, terms, row_number() over (partition by doc_id, paragraph order by k) as i from s4),
+m as (select doc_id, paragraph, i, c, e, start, stop, terms, 0 as unit from s5 where i = 1 union all select doc_id, paragraph, i, case when j then mc else c end, e, case when j then ms else start end, stop, case when j then mt + terms else terms end, case when j then mu else mu + 1 end from (
+  select s5.*, m.c as mc, m.start as ms, m.terms as mt, m.unit as mu, m.stop - m.start + s5.stop - s5.start <= {L.MERGED_BYTES} and (m.stop - m.start < {L.SHORT_BYTES} or m.terms < {L.SHORT_TERMS} or s5.stop - s5.start < {L.SHORT_BYTES} or s5.terms < {L.SHORT_TERMS}) as j from m join s5 on s5.doc_id = m.doc_id and s5.paragraph = m.paragraph and s5.i = m.i + 1)),
+u1 as materialized (select doc_id, paragraph, section, 0 as unit, 0 as start, strlen(text) as stop, text from s1 where whole union all select doc_id, paragraph, section, unit, start, stop, substr(text, c::bigint + 1, (e - c)::bigint) from (select doc_id, paragraph, unit, min(c) as c, max(e) as e, min(start) as start, max(stop) as stop from m group by all) join s1 using (doc_id, paragraph)),
 u2 as (select *, {_SEARCHED} as norm from u1), u3 as (select *, {_SEQ} as seq from u2), u as (select *, list_sort(list_distinct(seq)) as terms, len(list_distinct(seq)) as n_terms from u3)"""
 _UNIT = "doc_id, paragraph, unit"
 
@@ -62,9 +74,19 @@ def flt_structural(docs):
     return rows.where((F.col("h") != "") & F.col("h").contains("the")).select("doc_id", "paragraph", F.lower("heading").contains("the").alias("contained"))
 
 
+_c = F.col
+on_units("fn_split_atoms", lambda: {"start": _c("start"), "stop": _c("stop"), "text": _c("text"), "terms": L.term_count(_c("text"))}, f"start, stop, text, {_COUNT.format('text')} as terms")
+
+
+@query("documents", sql=f"{_U} select doc_id, paragraph, length(cls) - length(replace(cls, 'T', '')) as ends, length(regexp_replace(text, '[^.!?]', '', 'g')) as marks, whole from s1")
+def fn_abbrev(docs):
+    """Of each paragraph, the signs that end a sentence, all signs that could (the others are in numbers and shortened words), and whether it stays whole."""
+    rows = L.paragraphs(docs)
+    return rows.select("doc_id", "paragraph", L.sentence_marks(F.col("text")).alias("ends"), F.length(F.regexp_replace("text", "[^.!?]", "")).alias("marks"), L.stays_whole(F.col("text"), F.col("is_heading")).alias("whole"))
+
+
 _marks = "length(regexp_replace(text, '[^.!?]', '', 'g'))"
 _any = lambda word, i=0: "(" + " or ".join(f"contains({_LOW.format('text')}, '{n}')" for n in L.CUES[word][i][0]) + ")"
-_c = F.col
 on_units("fn_title_like", lambda: {"title_like": _c("title_like")}, f"n_terms <= 18 and strlen(text) <= 220 and {_marks} <= 1 as title_like")
 on_units("fn_cues", lambda: {w: L.cue(_c("text"), w) for w in L.CUES} | {f"how{i}": L.cue(_c("text"), "how", i) for i in range(1, 5)}, ", ".join([f'{_any(w)} as "{w}"' for w in L.CUES] + [f"{_any('how', i)} as how{i}" for i in range(1, 5)]))
 on_units("fn_terms_native", lambda: {"words": F.array_join("seq", " "), "terms": F.array_join("terms", " ")}, "array_to_string(seq, ' ') as words, array_to_string(terms, ' ') as terms")
