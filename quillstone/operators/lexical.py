@@ -138,7 +138,7 @@ def split_atoms(text: Column, is_heading: Column) -> Column:
     """
     n = F.octet_length(text)
     one = F.array(F.struct(F.lit(0).alias("start"), n.alias("stop"), term_count(text).alias("terms")))
-    found = F.when(n == 0, F.array().cast("array<struct<start:int,stop:int,terms:int>>")).when(stays_whole(text, is_heading), one).otherwise(merged(ranges(text)))
+    found = F.when(F.coalesce(n, F.lit(0)) == 0, F.array().cast("array<struct<start:int,stop:int,terms:int>>")).when(stays_whole(text, is_heading), one).otherwise(merged(ranges(text)))
     data = text.cast("binary")
     return F.transform(found, lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop"), F.substring(data, r["start"] + 1, r["stop"] - r["start"]).cast("string").alias("text")))
 
@@ -296,10 +296,11 @@ def changes(pairs: DataFrame) -> DataFrame:
 
 
 def simhash(rows: DataFrame, key: str, terms: str) -> DataFrame:
-    """64-bit signatures of rows by their terms, each weighted by 1 / sqrt(df + 1): the sign of each bit's weighted sum."""
+    """64-bit signatures of rows by their terms: the sign of each bit's weighted sum, a term's bits those of its MD5's first half, its weight 1 / sqrt(df + 1) in millionths, so that sums are exact."""
     posts = rows.select(key, F.explode(terms).alias("t"))
     df = posts.groupBy("t").agg(F.count("*").alias("df"))
-    weighted = posts.join(df, "t").select(key, F.xxhash64("t").alias("h"), (1 / F.sqrt(F.col("df") + 1)).alias("w"))
+    bits = F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 16), 16, -10).cast("bigint")
+    weighted = posts.join(df, "t").select(key, bits.alias("h"), F.round(1000000 / F.sqrt(F.col("df") + 1)).cast("bigint").alias("w"))
     bit = lambda b: F.when(F.shiftrightunsigned("h", b).bitwiseAND(1) == 1, F.col("w")).otherwise(-F.col("w"))
     sums = weighted.groupBy(key).agg(*(F.sum(bit(b)).alias(f"b{b}") for b in range(64)))
     signature = F.lit(0).cast("bigint")
@@ -312,12 +313,32 @@ def bands(signature: Column) -> Column:
     return F.array(*(F.shiftrightunsigned(signature, 16 * b).bitwiseAND(0xFFFF) + F.lit(b << 16) for b in range(4)))
 
 
+def hamming(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
 def band_matches(asked: DataFrame, signed: DataFrame, key: str, most: int = 12) -> DataFrame:
-    """Rows of `signed` that share a band with an asked signature and differ from it in `most` bits at most. The asked rows are a stated query set."""
+    """Rows of `signed` that share a band with an asked signature and differ from it in `most` bits at most. The asked rows are a stated query set. Of rows that differ in more than 3 bits some have no band in common: `hamming_matches` finds all."""
     q = asked.select(F.col(key).alias("asked"), F.col("signature").alias("s1"), F.explode(bands(F.col("signature"))).alias("band"))
     found = signed.select(F.col(key).alias("found"), F.col("signature").alias("s2"), F.explode(bands(F.col("signature"))).alias("band"))
-    distance = F.bit_count(F.col("s1").bitwiseXOR(F.col("s2")))
-    return q.join(found, "band").where("asked <> found").select("asked", "found", distance.alias("distance")).where(F.col("distance") <= most).distinct()
+    return q.join(found, "band").where("asked <> found").select("asked", "found", hamming(F.col("s1"), F.col("s2")).alias("distance")).where(F.col("distance") <= most).distinct()
+
+
+def hamming_matches(asked: DataFrame, signed: DataFrame, key: str, most: int = 12) -> DataFrame:
+    """All signatures within `most` bits of the asked ones: asked and found (the smallest keys of a signature's rows), distance, n_asked and n_found (rows of either signature).
+
+    Exact: of four bands of 16 bits, one differs in `most` / 4 bits at most, so each asked band is looked up with every such change of it, by equality.
+    Rows of one signature are one class on either side, so copies are not paired; of several bands that find a pair the first counts. A class's distance to itself is 0.
+    The asked rows are a stated query set; null signatures have no class.
+    """
+    near = most // 4
+    classes = lambda d, n: d.where("signature is not null").groupBy(F.col("signature").alias(f"s{n}")).agg(F.min(key).alias(("asked", "found")[n - 1]), F.count("*").alias(("n_asked", "n_found")[n - 1]))
+    changes = F.lit([m for m in range(1 << 16) if m.bit_count() <= near])
+    q = classes(asked, 1).select("*", F.posexplode(bands(F.col("s1"))).alias("b", "band")).select("*", F.explode(changes).alias("change")).select("asked", "n_asked", "s1", "b", F.col("band").bitwiseXOR(F.col("change")).alias("band"))
+    met = q.join(classes(signed, 2).select("*", F.explode(bands(F.col("s2"))).alias("band")), "band").withColumn("distance", hamming(F.col("s1"), F.col("s2"))).where(F.col("distance") <= most)
+    apart = F.col("s1").bitwiseXOR(F.col("s2"))
+    earlier = lambda b: (F.col("b") > b) & (F.bit_count(F.shiftrightunsigned(apart, 16 * b).bitwiseAND(0xFFFF)) <= near)
+    return met.where(~(earlier(0) | earlier(1) | earlier(2))).select("asked", "found", "distance", "n_asked", "n_found")
 
 
 def shingle_matches(asked: DataFrame, rows: DataFrame, key: str, least: float = 0.5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,6 +68,10 @@ def _jaccard(a: frozenset, b: frozenset) -> float:
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
+#: Fixed value: the likeness from which a truth is one that a statement is about.
+LEAST_LIKE = 0.25
+
+
 def _decide(a, t, update: bool, unsure: bool) -> str:
     """The relation of a statement to a truth, from features that columns have computed."""
     if a.conv_id is not None and t.conv_id is not None and a.conv_id != t.conv_id:
@@ -98,21 +103,63 @@ def _decide(a, t, update: bool, unsure: bool) -> str:
     return "REFINES" if (t.ident in a.ident or like >= 0.58) and len(a.ident) > len(t.ident) else "UNCERTAIN"
 
 
+class _Active:
+    """Active truths of one project and kind by how many terms they are about, and by each of these: a statement meets only truths that share one of its rarer terms."""
+
+    def __init__(self):
+        self.truths, self.turn, self.by_size, self.turns = {}, {}, {}, 0
+
+    def put(self, a) -> None:
+        if a.truth_id in self.truths:  # the same statement again: it keeps its turn
+            turn = self.turn[a.truth_id]
+            self.drop(a.truth_id)
+        else:
+            self.turns = turn = self.turns + 1
+        about = frozenset(a.about)
+        self.truths[a.truth_id], self.turn[a.truth_id] = (a, about), turn
+        own = self.by_size.setdefault(len(about), {})
+        for term in about:
+            own.setdefault(term, {})[a.truth_id] = None
+
+    def drop(self, truth_id: str) -> None:
+        _, about = self.truths.pop(truth_id)
+        own = self.by_size[len(about)]
+        for term in about:
+            del own[term][truth_id]
+            if not own[term]:
+                del own[term]
+        del self.turn[truth_id]
+
+    def best(self, a, least: float):
+        """The truth most like a statement by what both are about, from `least` on; of equal ones the earliest."""
+        about, found, best = frozenset(a.about), None, (least, -math.inf)
+        n = len(about)
+        for size, own in self.by_size.items():
+            shared = math.ceil(least / (1 + least) * (n + size) - 1e-9)  # terms that two of such sizes share at least, to be that much alike
+            if not 0 < shared <= min(n, size):
+                continue
+            # so one of the others, the rarer ones, is shared
+            rarer = sorted((own[t] for t in about if t in own), key=len)
+            rarer = rarer[: max(0, n - shared + 1 - (n - len(rarer)))]
+            for truth_id in dict.fromkeys(t for ids in rarer for t in ids):
+                t, terms = self.truths[truth_id]
+                if (a.exact or t.exact) and a.subject_id != t.subject_id:
+                    continue
+                like = _jaccard(about, terms), -self.turn[truth_id]
+                if like[0] >= least and (found is None or like > best):
+                    found, best = t, like
+        return found
+
+
 def _folded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Statements in order, a project's kind after the other: each meets the active truths that earlier ones left."""
-    key, active, order = None, {}, 0
+    key, active, order = None, _Active(), 0
     for frame in frames:
         out = []
         for a in frame.itertuples(index=False):
             if (a.project_id, a.kind) != key:
-                key, active, order = (a.project_id, a.kind), {}, 0
-            about, best, match = frozenset(a.about), 0.0, None
-            for t in active.values():
-                exact = a.exact or t.exact
-                if (overlap := _jaccard(about, frozenset(t.about))) > best and not (exact and a.subject_id != t.subject_id):
-                    best, match = overlap, t
-            if best < 0.25:
-                match = None
+                key, active, order = (a.project_id, a.kind), _Active(), 0
+            match = active.best(a, LEAST_LIKE)
             relation, status = "NEW", "CURRENT"
             if match is not None:
                 relation = _decide(a, match, a.update, a.unsure)
@@ -121,11 +168,11 @@ def _folded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if old:
                     out.append((match.truth_id, order := order + 1, *[None] * 10, old, "CONTRADICTS" if old == "CONFLICTING" else None, None, None))
                 if old == "SUPERSEDED":
-                    del active[match.truth_id]
+                    active.drop(match.truth_id)
             replaced = match.truth_id if relation in ("SUPERSEDES", "REFINES") else None
             out.append((a.truth_id, order := order + 1, a.project_id, a.kind, a.conv_id, a.atom_id, a.text, a.subject, a.value, a.polarity, a.scope, a.confidence, status, relation, match.truth_id if match is not None else None, replaced))
             if status in R.ACTIVE:
-                active[a.truth_id] = a
+                active.put(a)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _FOLDED.split(", ")])
 
 

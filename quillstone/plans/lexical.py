@@ -189,11 +189,23 @@ def join_shingle(docs):
 
 
 def _signed(spark, sf):
+    """Signatures of whole documents by their shingles, counted once for both sides of a search."""
     return L.simhash(_shingled(spark.read.parquet(f"{sf}/documents.parquet")), "doc_id", "shingles")
 
 
-QUERIES["fn_simhash"] = lambda spark, sf: _signed(spark, sf).select("doc_id", "signature", L.bands(F.col("signature")).alias("bands"))
+_BITS = ", ".join(f"sum(case when (h >> {b}) & 1 = 1 then w else -w end) as b{b}" for b in range(64))
+_SIGNED = f"""{_DOCS}, po as (select doc_id, unnest({_SHINGLES}) as t from u), dft as (select t, ('0x' || substr(md5(t), 1, 16))::ubigint as h, round(1000000 / sqrt(count(*) + 1))::bigint as w from po group by t), sb as (select doc_id, {_BITS} from po join dft using (t) group by 1),
+sx as (select doc_id, {' + '.join(f"case when b{b} >= 0 then {1 << b}::hugeint else 0 end" for b in range(64))} as x from sb), si as materialized (select doc_id, (case when x >= 9223372036854775808::hugeint then x - 18446744073709551616::hugeint else x end)::bigint as signature, x from sx)"""
+_BANDS = "[" + ", ".join(f"((x // {1 << (16 * b)}::hugeint) % 65536 + {b << 16})::bigint" for b in range(4)) + "]"
+
+
+QUERIES["fn_simhash"] = lambda spark, sf: _signed(spark, sf).select("doc_id", "signature", F.array_join(L.bands(F.col("signature")).cast("array<string>"), " ").alias("bands"))
+ORACLES["fn_simhash"] = f"{_SIGNED} select doc_id, signature, array_to_string({_BANDS}, ' ') as bands from si"
 QUERIES["join_simhash_band"] = lambda spark, sf: (lambda s: L.band_matches(s.where("doc_id % 50 = 0"), s, "doc_id"))(_signed(spark, sf))
+ORACLES["join_simhash_band"] = f"{_SIGNED} select a.doc_id as asked, b.doc_id as found, bit_count(xor(a.signature, b.signature))::int as distance from (select *, {_BANDS} as bands from si) a join (select *, {_BANDS} as bands from si) b on a.doc_id <> b.doc_id and list_has_any(a.bands, b.bands) where a.doc_id % 50 = 0 and bit_count(xor(a.signature, b.signature)) <= 12"
+QUERIES["join_hamming"] = lambda spark, sf: (lambda s: L.hamming_matches(s.where("doc_id % 50 = 0"), s, "doc_id"))(_signed(spark, sf))
+ORACLES["join_hamming"] = f"""{_SIGNED}, qa as (select signature, min(doc_id) as asked, count(*) as n_asked from si where doc_id % 50 = 0 group by 1), fo as (select signature, min(doc_id) as found, count(*) as n_found from si group by 1)
+select asked, found, bit_count(xor(qa.signature, fo.signature))::int as distance, n_asked, n_found from qa join fo on bit_count(xor(qa.signature, fo.signature)) <= 12"""
 _TERMS = [t for t in L.parse(SEARCH).terms]
 _QW = L.parse(SEARCH)
 _cnt = lambda t: f"(select count(*) from u where list_contains(terms, '{t}'))"

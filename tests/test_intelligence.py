@@ -225,3 +225,29 @@ def test_next_terms_of_a_long_text(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, ""), (3, None), (4, "one")], "doc_id long, text string")
     got = {(r.order, r.context, r.next_term): r.n for r in L.next_terms(docs).where("context = 'w5 w6 w7' or context = 'w699' or context = 'w5'").collect()}
     assert got == {(3, "w5 w6 w7", "w8"): 29, (1, "w699", "w0"): 28, (1, "w5", "w6"): 29}
+
+
+def test_active_truths_by_term():
+    """The truth that a statement meets is that of a scan over all active ones, with exact subjects, ties, equal ids and truths that went."""
+    from collections import namedtuple
+
+    import random
+
+    S = namedtuple("S", "truth_id about exact subject_id")
+    rng, active, plain = random.Random(8), U._Active(), {}
+    for i in range(3000):
+        about = [rng.choice("abcdefghijklmnop") if rng.random() < 0.5 else f"w{int(rng.expovariate(0.05))}" for _ in range(rng.randint(0, 9))]
+        a = S(f"t{rng.randrange(2500)}", list(dict.fromkeys(about)), rng.random() < 0.2, f"s{rng.randrange(3)}")
+        best, match = 0.0, None
+        for t in plain.values():
+            like = U._jaccard(frozenset(a.about), frozenset(t.about))
+            if like > best and not ((a.exact or t.exact) and a.subject_id != t.subject_id):
+                best, match = like, t
+        assert active.best(a, 0.25) == (match if best >= 0.25 else None)
+        if plain and rng.random() < 0.2:
+            gone = rng.choice(list(plain))
+            del plain[gone]
+            active.drop(gone)
+        plain[a.truth_id] = a
+        active.put(a)
+    assert {w for own in active.by_size.values() for w in own} == {w for t in plain.values() for w in t.about}
