@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,30 +51,45 @@ def cursors(log: DataFrame) -> DataFrame:
     return log.groupBy("origin").agg(F.max("sequence").alias("cursor"))
 
 
-def sorted_pieces(values: DataFrame) -> Iterator[str]:
-    """The distinct values of a string column in order, joined by | in pieces of a batch each; the driver holds one partition's at a time."""
+#: Hexadecimal digits that name a leaf of a tree of hashes: 65,536 leaves.
+LEAF_DIGITS = 4
 
-    def joined(batches):
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(["|".join(b.column(0).to_pylist())], pa.string())], ["piece"])
 
-    one = values.where(F.col(values.columns[0]).isNotNull()).distinct()
-    for r in one.orderBy(one.columns[0]).mapInArrow(joined, "piece string").toLocalIterator():
-        yield r.piece
+def hash_tree(values: DataFrame, digits: int = LEAF_DIGITS) -> DataFrame:
+    """(prefix, n, hash): a tree over a set of SHA-256 in hexadecimal. A leaf is the hash of its distinct values, sorted and joined by |; an inner node, one digit shorter, that of its children's.
 
+    Two sets differ where their leaves do (`differing_leaves`); a leaf has about 1 / 16^`digits` of the values, whatever these are hashes of, and
+    a change of the set changes one node of each level. Nulls are passed over; an empty set has no nodes.
+    """
+    return reduce(DataFrame.union, _levels(values, digits))
 
-def set_root(values: DataFrame) -> DataFrame:
-    """One row, root: SHA-256 of the distinct values of a string column, sorted and joined by |; null where there are none.
 
-    Tasks sort the values by range, and the driver hashes them as a stream, so that nothing grows with
-    their number but the sorted shuffle and the time. Runs when called.
-    """
-    root, some = hashlib.sha256(), False
-    for piece in sorted_pieces(values):
-        root.update(("|" * some + piece).encode())
-        some = True
-    return values.sparkSession.createDataFrame([(root.hexdigest() if some else None,)], "root string")
+def _levels(values: DataFrame, digits: int) -> list[DataFrame]:
+    level = values.select(F.col(values.columns[0]).alias("h")).where("h is not null").distinct().groupBy(F.substring("h", 1, digits).alias("prefix")).agg(F.count("*").alias("n"), _joined(F.col("h")))
+    levels = [level]
+    for d in reversed(range(digits)):
+        level = level.groupBy(F.substring("prefix", 1, d).alias("prefix")).agg(F.sum("n").alias("n"), _joined(F.col("hash"), F.col("prefix")))
+        levels.append(level)
+    return levels
+
+
+def _joined(value: Column, by: Column | None = None) -> Column:
+    rows = F.array_sort(F.collect_list(value if by is None else F.struct(by.alias("by"), value.alias("value"))))
+    return F.sha2(F.array_join(rows if by is None else rows["value"], "|").cast("binary"), 256).alias("hash")
+
+
+def differing_leaves(ours: DataFrame, theirs: DataFrame, digits: int = LEAF_DIGITS) -> DataFrame:
+    """(prefix, ours, theirs): leaves of two trees that differ, with how many values each side has under them; values to exchange begin so."""
+    side = lambda t, name: t.where(F.length("prefix") == digits).select("prefix", F.col("n").alias(name), F.col("hash").alias(f"{name}_hash"))
+    both = side(ours, "ours").join(side(theirs, "theirs"), "prefix", "full_outer").where(~F.col("ours_hash").eqNullSafe(F.col("theirs_hash")))
+    return both.select("prefix", F.coalesce("ours", F.lit(0)).alias("ours"), F.coalesce("theirs", F.lit(0)).alias("theirs"))
+
+
+def set_root(values: DataFrame) -> DataFrame:
+    """One row, root: the top hash of the tree of a column's values (`hash_tree`), or of their SHA-256 where they are no such hashes; null where there are none. Only tasks hash."""
+    own = values.select(F.col(values.columns[0]).alias("h"))
+    hashes = own.select(F.when(F.col("h").rlike("^[0-9a-f]{64}$"), F.col("h")).otherwise(F.sha2(F.col("h").cast("binary"), 256)).alias("h"))
+    return _levels(hashes, LEAF_DIGITS)[-1].agg(F.max("hash").alias("root"))
 
 
 def without(table: DataFrame, deleted: DataFrame, key: str) -> DataFrame:

@@ -211,15 +211,23 @@ def pairs_in_turn(atoms: DataFrame) -> DataFrame:
 
 
 def truth_root(truths: DataFrame) -> DataFrame:
-    """Set hash of CURRENT truths (see records.set_root)."""
+    """Top hash of the tree of CURRENT truths (see records.set_root)."""
     fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("truth_id", "text", "kind", "confidence", "subject", "value", "polarity", "scope")]
     return records.set_root(truths.where("status = 'CURRENT'").select(F.sha2(F.concat_ws(T.SEPARATOR, *fields).cast("binary"), 256).alias("h")))
 
 
-def evidence_root(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Set hash of messages by the named columns."""
+def _evidence(rows: DataFrame, columns: list[str]) -> DataFrame:
     fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
-    return records.set_root(rows.select(F.sha2(F.concat_ws(T.SEPARATOR, *fields).cast("binary"), 256).alias("h")))
+    return rows.select(F.sha2(F.concat_ws(T.SEPARATOR, *fields).cast("binary"), 256).alias("h"))
+
+
+def evidence_tree(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Tree of hashes of messages by the named columns (see records.hash_tree)."""
+    return records.hash_tree(_evidence(rows, columns))
+
+
+def evidence_root(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return records.set_root(_evidence(rows, columns))
 
 
 def missing_citations(cited: DataFrame, known: DataFrame, allowed: DataFrame, key: str = "id") -> DataFrame:

