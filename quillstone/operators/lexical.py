@@ -438,6 +438,49 @@ def next_terms(docs: DataFrame, longest: int = 3, k: int = 16) -> DataFrame:
     return n.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: What stands before an island's first words, and the signs that end an island.
+START, ISLAND_ENDS = "<s>", (".", "!", "?", "\n")
+
+
+def ngram_contexts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, place, p3, p2, p1, term): words and end signs of a text in order, each with the three before it in its sentence island; `<s>` stands for those before its start. Null and empty texts have none."""
+
+    def placed(q):
+        ends = lambda i: F.get(q, i).isin(*ISLAND_ENDS)
+        one = lambda i: (i >= 1) & ~ends(i - 1)
+        two = lambda i: one(i) & (i >= 2) & ~ends(i - 2)
+        three = lambda i: two(i) & (i >= 3) & ~ends(i - 3)
+        before = lambda i, n, ok: F.when(ok(i), F.get(q, i - n)).otherwise(START).alias(f"p{n}")
+        return F.transform(F.sequence(F.lit(0), F.size(q) - 1), lambda i: F.struct(i.alias("place"), before(i, 3, three), before(i, 2, two), before(i, 1, one), F.get(q, i).alias("term")))
+
+    words = F.regexp_extract_all(T.lower_ascii(F.col("text")), F.lit(r"[a-z0-9]+|[.!?\n]"), 0)
+    return docs.where("text is not null").select(key, F.inline(T.once(words, lambda q: F.when(F.size(q) > 0, placed(q)))))
+
+
+def predictor(contexts: DataFrame, k: int = 16) -> DataFrame:
+    """(order, context, guesses): for the last three, two, one and no words before it, the k terms that most often follow, ties by the alphabet.
+
+    Counts of whole contexts are summed before shorter ones are counted from them, so each level reads fewer rows.
+    """
+    counts = contexts.groupBy("p3", "p2", "p1", "term").agg(F.count("*").alias("n"))
+    shorter = [F.struct(F.lit(m).alias("order"), F.concat_ws(" ", *(f"p{j}" for j in range(m, 0, -1))).alias("context")) for m in (3, 2, 1, 0)]
+    n = counts.select("term", "n", F.inline(F.array(*shorter))).groupBy("order", "context", "term").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("order", "context").orderBy(F.desc("n"), "term"))
+    top = n.withColumn("rank", rank).where(F.col("rank") <= k)
+    return top.groupBy("order", "context").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("guesses"))  # k at most
+
+
+def predictions(contexts: DataFrame, table: DataFrame) -> DataFrame:
+    """Contexts and terms, n (how often they occur), order and place: the longest context that the table knows, and where the term is among its guesses, from 1; 0 where it isn't, null order where the table is empty."""
+    asked = contexts.groupBy("p3", "p2", "p1", "term").agg(F.count("*").alias("n"))
+    for m in (3, 2, 1):
+        known = table.where(F.col("order") == m).select(F.col("context").alias(f"c{m}"), F.col("guesses").alias(f"g{m}"))
+        asked = asked.withColumn(f"c{m}", F.concat_ws(" ", *(f"p{j}" for j in range(m, 0, -1)))).join(known, f"c{m}", "left")
+    none = table.where("order = 0").agg(F.first("guesses").alias("g0"))  # one row
+    found = asked.crossJoin(F.broadcast(none)).withColumn("order", F.when(F.col("g3").isNotNull(), 3).when(F.col("g2").isNotNull(), 2).when(F.col("g1").isNotNull(), 1).when(F.col("g0").isNotNull(), 0))
+    return found.select("p3", "p2", "p1", "term", "n", "order", F.coalesce(F.array_position(F.coalesce("g3", "g2", "g1", "g0"), F.col("term")), F.lit(0)).alias("place"))
+
+
 def unique_units(rows: DataFrame) -> DataFrame:
     """Units that no other equals, by normalised text."""
     once = rows.groupBy("norm").agg(F.count("*").alias("n")).where("n = 1").select("norm")

@@ -248,6 +248,31 @@ def agg_ngram_topk(docs):
     return L.next_terms(docs)
 
 
+_TOKENS = rf"""with d as (select doc_id, regexp_extract_all({_LOW.format('text')}, '[a-z0-9]+|[.!?\n]') as w from documents where text is not null), t as (select doc_id, unnest(w) as term, generate_subscripts(w, 1) - 1 as place from d),
+i as (select *, coalesce(sum((term in ('.', '!', '?', chr(10)))::int) over (partition by doc_id order by place rows between unbounded preceding and 1 preceding), 0) as island from t),
+x as (select doc_id, place, term, coalesce(lag(term, 3) over o, '<s>') as p3, coalesce(lag(term, 2) over o, '<s>') as p2, coalesce(lag(term, 1) over o, '<s>') as p1 from i window o as (partition by doc_id, island order by place))"""
+
+
+@query("documents", sql=f"{_TOKENS} select doc_id, place, p3, p2, p1, term from x")
+def win_ngram_context(docs):
+    return L.ngram_contexts(docs)
+
+
+_ORDERS = " union all ".join(f"select {m} as m, concat_ws(' ', {', '.join(f'p{j}' for j in range(m, 0, -1))}) as context, term, count(*) as n from x where not held group by all" if m else "select 0, '', term, count(*) from x where not held group by all" for m in (3, 2, 1, 0))
+_HELD = "('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % 5 = 0"
+_GUESS = lambda m, key: f"left join (select context, gs from g where m = {m}) g{m} on g{m}.context = {key}"
+
+
+@query("documents", sql=f"""{_TOKENS.replace('x as (select doc_id, place', f'x as materialized (select {_HELD} as held, doc_id, place')}, n as ({_ORDERS}), top as (select *, row_number() over (partition by m, context order by n desc, term) as r from n qualify r <= 16), g as (select m, context, list(term order by r) as gs from top group by all),
+y as (select term, case when g3.gs is not null then 3 when g2.gs is not null then 2 when g1.gs is not null then 1 else 0 end as used, coalesce(list_position(coalesce(g3.gs, g2.gs, g1.gs, g0.gs), term), 0) as spot from x {_GUESS(3, "concat_ws(' ', p3, p2, p1)")} {_GUESS(2, "concat_ws(' ', p2, p1)")} {_GUESS(1, 'p1')} {_GUESS(0, "''")} where held)
+select used as "order", count(*) as n, count(*) filter (spot = 1) as first, count(*) filter (spot > 0) as among from y group by 1""")
+def q_predictor(docs):
+    """Predictions by what the other documents say, on every fifth document by a hash: how many terms fell to each order of context, were its first guess, and were among its sixteen."""
+    rows = L.ngram_contexts(docs).withColumn("held", F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % 5 == 0)
+    found = L.predictions(rows.where("held"), L.predictor(rows.where("not held")))
+    return found.groupBy("order").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("place") == 1, F.col("n")).otherwise(0)).alias("first"), F.sum(F.when(F.col("place") > 0, F.col("n")).otherwise(0)).alias("among"))
+
+
 @query("documents", sql=f"{_U} select doc_id, paragraph, unit, text from u where norm in (select norm from u group by 1 having count(*) = 1)")
 def agg_unique_units(docs):
     return L.unique_units(units(docs))

@@ -37,3 +37,16 @@ def test_what_shortened_words_do(spark):
     rows = spark.createDataFrame([(f"{one} {two}", False)], "t string, h boolean")
     got = rows.select(F.explode(L.split_atoms(F.col("t"), F.col("h"))).alias("u")).select("u.*").collect()
     assert [r.text for r in got] == [one, two] and got[1].start == len(one) + 1
+
+
+def test_predictor_backs_off(spark):
+    """The longest context that the table knows decides, islands start anew, and texts of end signs, nulls and empty ones do no harm."""
+    say = lambda *t: spark.createDataFrame(list(enumerate(t)), "doc_id int, text string")
+    table = L.predictor(L.ngram_contexts(say("the cat sat on. the cat sat on! the dog ran", None, "", "?.\n", "a cat slept")), k=2)
+    got = {(r.order, r.context): r.guesses for r in table.collect()}
+    assert got[3, "<s> <s> <s>"][0] == "the"
+    assert got[3, "<s> the cat"] == ["sat"] and got[2, "the cat"] == ["sat"] and got[1, "cat"] == ["sat", "slept"] and len(got[0, ""]) == 2
+    asked = L.ngram_contexts(say("the cat sat", "big cat slept", "zzz yyy"))
+    found = {(r.p3, r.p2, r.p1, r.term): (r.order, r.place) for r in L.predictions(asked, table).collect()}
+    assert found["<s>", "the", "cat", "sat"] == (3, 1) and found["<s>", "big", "cat", "slept"] == (1, 2) and found["<s>", "<s>", "zzz", "yyy"] == (0, 0)
+    assert {r.order for r in L.predictions(asked, table.where("false")).collect()} == {None}
