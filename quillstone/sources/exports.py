@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import json
-import zipfile
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .archives import read_files
 
 _COLUMNS = ("provider", "conversation_id", "title", "sequence", "role", "text")
 CHAT_MESSAGES = "uuid string, name string, created_at string, chat_messages array<struct<uuid:string,sender:string,text:string>>"
@@ -129,13 +127,17 @@ def extract_text(messages: Column | str) -> Column:
 
 
 def conversations_of(files: DataFrame, envelope: str = "SOURCE_ENVELOPE") -> DataFrame:
-    """(name, hint, place, conversation JSON) of files (name, content): a root may be a list, an object with a list of a known name, an envelope or one conversation. Files that are neither have none."""
+    """(name, hint, place, conversation JSON) of files (name, content): a root may be a list, an object with a list of a known name, an envelope or one conversation. Files that are neither have none.
+
+    Where a file comes in several rows, `first` is the place of a row's first element in the file.
+    """
     c = F.col
+    first = c("first") if "first" in files.columns else F.lit(0)
     hint = F.coalesce(provider_hint(c("name")), F.when(is_object(c("content")), provider(first_string(c("content"), ("provider", "platform", "source")))))
     nested = F.coalesce(*(F.when(is_array(v), v) for v in (F.get_json_object("content", f"$.{k}") for k in ROOT_KEYS)))
     own_envelope = F.coalesce(F.upper(F.get_json_object("content", "$.format")).endswith(envelope), F.lit(False))
     all_ = F.when(is_array(c("content")), elements(c("content"))).when(is_object(c("content")) & ~own_envelope & nested.isNotNull(), elements(nested)).when(is_object(c("content")), F.array("content"))
-    rows = files.select("name", hint.alias("hint"), own_envelope.alias("enveloped"), F.posexplode(all_).alias("place", "conversation"))
+    rows = files.select("name", hint.alias("hint"), own_envelope.alias("enveloped"), first.alias("first"), F.posexplode(all_).alias("place", "conversation")).withColumn("place", c("place") + c("first")).drop("first")
     return rows.where(is_object(c("conversation")))
 
 
@@ -151,13 +153,22 @@ def detected(conversation: Column, hint: Column) -> Column:
     )
 
 
+def _in_time(message: Column, key: Column) -> Column:
+    """What a mapping's messages are sorted by: their time in seconds (0 without), a time that is no number as it is written, their id, their key."""
+    time = F.get_json_object(message, "$.create_time")
+    seconds = F.coalesce(time.try_cast("double"), F.lit(0.0))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return F.struct(seconds.alias("seconds"), F.when(time.try_cast("double").isNull(), text(time)).otherwise("").alias("time"), text(F.get_json_object(message, "$.id")).alias("id"), key.alias("key"), message.alias("message"))
+
+
 def normalised(files: DataFrame, envelope: str = "SOURCE_ENVELOPE") -> DataFrame:
-    """One table of messages from files of any known shape: provider, conversation_id, title, sequence, role, text, message_id, created. Messages without text go before they are numbered; a mapping's nodes come by key."""
+    """One table of messages from files of any known shape: provider, conversation_id, title, sequence, role, text, message_id, created. Messages without text go before they are numbered; a mapping's messages come by their time."""
     c, get = F.col, lambda path: F.get_json_object("conversation", path)
     rows = conversations_of(files, envelope).withColumn("provider", detected(c("conversation"), c("hint")))
     listed = F.coalesce(*(F.when(is_array(get(f"$.{k}")), get(f"$.{k}")) for k in LIST_KEYS))
     listed = F.when((c("provider") == "claude") & is_array(get("$.chat_messages")), get("$.chat_messages")).otherwise(listed)
-    nodes = F.transform(F.array_sort(F.map_entries(F.from_json(get("$.mapping"), "map<string,string>"))), lambda e: F.get_json_object(e["value"], "$.message"))
+    nodes = F.transform(F.map_entries(F.from_json(get("$.mapping"), "map<string,string>")), lambda e: T.once(F.get_json_object(e["value"], "$.message"), lambda m: _in_time(m, e["key"])))
+    nodes = F.transform(F.array_sort(nodes), lambda x: x["message"])
     rows = rows.select(
         "name", "provider", F.coalesce(first_string(c("conversation"), ("conversationExternalId", "conversation_id", "id", "uuid")), F.concat_ws("-", "name", "place")).alias("conversation_id"),
         F.coalesce(first_string(c("conversation"), ("conversationTitle", "title", "name")), F.lit("Conversation")).alias("title"), F.posexplode(F.when(is_object(get("$.mapping")), nodes).otherwise(elements(listed))).alias("at", "raw"),
@@ -171,21 +182,12 @@ def normalised(files: DataFrame, envelope: str = "SOURCE_ENVELOPE") -> DataFrame
     return rows.select("provider", "conversation_id", "title", "sequence", "role", "text", ident.alias("message_id"), first_string(c("message"), TIME_KEYS).alias("created"))
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, content) of JSON files, and of the JSON entries of zip files by name; a file is one row, so as large as a task can hold."""
-    def unpacked(batches):
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if name.lower().endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        found = sorted(e.filename for e in z.infolist() if not e.is_dir() and e.filename.lower().endswith(".json"))
-                        for entry in found:
-                            yield pa.RecordBatch.from_arrays([pa.array([f"{name}/{entry}"]), pa.array([z.read(entry).decode("utf-8-sig", "replace")])], ["name", "content"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content.decode("utf-8-sig", "replace")])], ["name", "content"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{json,zip,JSON,ZIP}").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(unpacked, "name string, content string")
+def read_conversations(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of all exports under a path, files and archives of any size; that there are none is an error."""
+    rows = normalised(read_files(spark, path))
+    if rows.isEmpty():
+        raise ValueError(f"{path}: no conversations of a known shape")
+    return rows
 
 
 def shard_rank(name: Column) -> Column:
