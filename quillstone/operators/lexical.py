@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,11 +146,16 @@ def split_atoms(text: Column, is_heading: Column) -> Column:
 
 def units(paras: DataFrame) -> DataFrame:
     """Units of paragraphs with their byte offsets and what search needs of them."""
-    each = paras.select("doc_id", "paragraph", *(c for c in ("section", "heading") if c in paras.columns), F.posexplode(split_atoms(F.col("text"), F.col("is_heading"))).alias("unit", "u")).select("*", "u.*").drop("u")
+    kept = [c for c in ("section", "heading") if c in paras.columns]
+    found = T.once(split_atoms(F.col("text"), F.col("is_heading")), lambda q: F.transform(q, lambda u: F.struct(u["start"].alias("start"), u["stop"].alias("stop"), u["text"].alias("text"), (F.size(q) == 1).alias("alone"))))
+    each = paras.select("doc_id", "paragraph", *kept, "is_heading", F.posexplode(found).alias("unit", "u")).select("doc_id", "paragraph", *kept, "is_heading", "unit", "u.*")
     each = each.withColumn("norm", T.normalize_search(F.col("text"))).withColumn("seq", F.filter(F.split("norm", " "), lambda x: x != ""))
     n, bytes_ = F.size(F.array_distinct("seq")), F.octet_length("text")
-    marks = F.length(F.regexp_replace("text", "[^.!?]", ""))
-    return each.withColumns({"terms": F.array_sort(F.array_distinct("seq")), "n_terms": n, "title_like": (n <= 18) & (bytes_ <= 220) & (marks <= 1), "cover_like": F.lit(False)})
+    marks, breaks = F.regexp_count("text", F.lit("[.!?]")), F.regexp_count("text", F.lit("\n"))
+    return each.withColumns({
+        "terms": F.array_sort(F.array_distinct("seq")), "n_terms": n, "title_like": (n <= 18) & (bytes_ <= 220) & (breaks <= 3) & (marks <= 1),
+        "cover_like": (n <= 30) & (bytes_ <= 260) & (breaks >= 2) & (marks <= 2),
+    })
 
 
 def cue(text: Column, word: str, i: int = 0) -> Column:
@@ -350,65 +356,217 @@ def shingle_matches(asked: DataFrame, rows: DataFrame, key: str, least: float =
 
 @dataclass(frozen=True)
 class Query:
-    """A parsed query: words in order, sorted distinct terms, quoted phrases, a NEAR clause and its question word."""
+    """A parsed query: its text without filters, words in order, sorted distinct terms, quoted phrases, a NEAR clause, its question word, what a title or question it looks like, and filters on sections and headings."""
 
+    text: str
     words: list[str]
     phrases: list[list[str]] = field(default_factory=list)
     near: tuple[str, str, int] | None = None
     asks: str | None = None
     wants: str = "rank"
+    intent: str = "concept"
+    section: str = ""
+    heading: str = ""
 
     @property
     def terms(self) -> list[str]:
         return sorted(set(self.words))
 
+    @property
+    def norm(self) -> str:
+        return " ".join(self.words)
+
+
+def _filters(query: str) -> tuple[str, str, str]:
+    """(rest, section, heading) of `section contains X`, `section: X` and the same of headings; a value is quoted, or goes on to the end."""
+    found, rest = {"section": "", "heading": ""}, query
+    while m := re.search(r"(heading|section)( contains|:)\s*", rest, re.IGNORECASE):
+        head, tail = rest[: m.start()], rest[m.end() :]
+        quote = tail[:1] if tail[:1] in ("'", '"') and tail else ""
+        value, _, after = tail[1:].partition(quote) if quote else (tail, "", "")
+        found[m[1].lower()] = value.strip()
+        rest = f"{head} {after}" if head and not head[-1].isspace() else head + after
+    return rest.strip(), found["section"], found["heading"]
+
+
+def _intent(query: str, words: list[str], asks: str | None) -> str:
+    """title, question or concept, by marks, length, capitals and question words."""
+    question = asks is not None or "?" in query
+    few = len(set(words)) <= 3 and len(query.encode()) <= 40
+    runs = re.findall("[A-Za-z0-9]+", query)
+    titled = [r[0].isupper() or (r.upper() == r and re.search("[A-Z]", r) is not None) for r in runs]
+    lowered = [not t and re.search("[a-z]", r) is not None for r, t in zip(runs, titled, strict=True)]
+    if any(mark in query for mark in ('"', "'", ":", " - ", " | ")) or (few and not question and (len(set(words)) == 1 or (any(titled) and not any(lowered)))):
+        return "title"
+    return "question" if question else "concept"
+
 
 def parse(query: str) -> Query:
-    """Words, `"phrases"`, `a NEAR/n b`, and whether duplicates, unique units or changes are wanted."""
-    low = query.lower()
+    """Words, `"phrases"`, `a NEAR/n b`, filters, and whether duplicates, unique units or changes are wanted."""
+    text, section, heading = _filters(query)
+    low = text.lower()
     clause = re.search(r"([a-z0-9]+)\s+near/(\d+)\s+([a-z0-9]+)", low)
     bare = re.sub(r"\bnear/\d+\b", " ", low) if clause else low
     wants = "duplicate" if "duplicate" in low or "repeated" in low else "unique" if "unique" in low else "change" if re.search(r"chang\w* (value|date|entity)|(value|date|entity) changed", low) else "rank"
     asks = next((w for w in CUES if re.match(rf"{w}\b", low)), None)
     phrases = [re.findall("[a-z0-9]+", p) for p in re.findall(r'"([^"]+)"', low)]
-    return Query(re.findall("[a-z0-9]+", bare), phrases, (clause[1], clause[3], int(clause[2])) if clause else None, asks, wants)
+    words = re.findall("[a-z0-9]+", bare)
+    return Query(text, words, phrases, (clause[1], clause[3], int(clause[2])) if clause else None, asks, wants, _intent(text, words, asks), section, heading)
+
+
+def _holds(haystack: Column, needle: str) -> Column:
+    """Whether normalised text has a filter's text, or all of its words somewhere."""
+    norm = " ".join(re.findall("[a-z0-9]+", needle.lower()))
+    if not norm:
+        return F.lit(False)
+    words = F.lit(True)
+    for w in norm.split(" "):
+        words = words & haystack.contains(w)
+    return haystack.contains(norm) | words
+
+
+def structural(rows: DataFrame, q: Query) -> DataFrame:
+    """Units that a query's filters leave: those of sections whose heading has the section's text, and those that have the heading's text themselves or in their heading."""
+    if q.section:
+        rows = rows.where(_holds(T.normalize_search(F.col("heading")), q.section))
+    if q.heading:
+        rows = rows.where(_holds(F.col("norm"), q.heading) | _holds(T.normalize_search(F.col("heading")), q.heading))
+    return rows
+
+
+def _at(words: list[str]) -> Column:
+    return sequence_at(F.col("seq"), F.array(*map(F.lit, words)))
+
+
+def priority(q: Query) -> Column:
+    """A cheap measure of how much a unit has to do with a query, for the choice of those that are scored."""
+    c = F.col
+    out = F.when(c("text") == q.text, 120.0).otherwise(0.0) + 8.0 * c("matched")
+    if q.norm:
+        out += F.when(c("norm") == q.norm, 90.0).when(c("norm").contains(q.norm), 35.0).otherwise(0.0)
+    for hit, more in ((reduce(Column.__or__, (c("norm").contains(" ".join(p)) for p in q.phrases if p), F.lit(False)), 25.0), (_at(q.words) >= 0 if not q.phrases and len(q.words) >= 2 else F.lit(False), 18.0), (c("is_heading"), 12.0), (c("title_like"), 6.0), (c("cover_like"), -4.0)):
+        out += F.when(hit, more).otherwise(0.0)
+    return out if q.asks else out + F.when(~c("title_like") & ~c("cover_like"), 1.0).otherwise(0.0)
+
+
+def _signatures(q: Query, score: Column, exact: Column) -> Column:
+    """What dates, numbers and abbreviations of a query add; a number or abbreviation that a unit lacks takes off, unless its text is the query's."""
+    c, text = F.col, F.col("text")
+    size = lambda of: len(_signed_query(of, q.text))
+    asked = lambda of: F.lit(_signed_query(of, q.text))
+    when = q.asks == "when"
+    both = lambda of: F.size(F.array_intersect(of(text), asked(of)))
+
+    def found(of, each, all_):
+        return T.once(both(of), lambda n: F.when(n > 0, each * n + F.when(n == size(of), all_).otherwise(0.0)).otherwise(0.0))
+
+    if size(dates):
+        score += found(dates, 7.5, 4.0)
+        if when:
+            score += F.when(both(dates) > 0, 2.0).otherwise(-3.5)
+    if when:
+        score += F.when(F.size(dates(text)) > 0, 1.8).otherwise(-0.8)
+    if size(numbers):
+        score += found(numbers, 4.5, 2.0) + F.when(both(numbers) > 0, F.when(text.rlike("[$%]"), 0.4).otherwise(0.0)).otherwise(F.when(exact, 0.0).otherwise(-0.6))
+    if size(abbreviations):
+        score += found(abbreviations, 4.5, 2.0) + F.when(both(abbreviations) > 0, F.when(F.regexp_count(text, F.lit("[.]")) >= 2, 0.4).otherwise(0.0)).otherwise(F.when(exact, -1.0).otherwise(-1.8))
+    return score
+
+
+def _signed_query(of, text: str) -> list[str]:
+    """Dates, numbers or abbreviations of a query, as `dates`, `numbers` and `abbreviations` find them in columns."""
+    if of is numbers:
+        return sorted({re.sub("[$,]", "", x).lower() for x in re.findall(NUMERIC, text)})
+    if of is abbreviations:
+        return sorted({re.sub(r"\.$", "", x).lower() for x in re.findall(ABBREVIATION, text)})
+    iso = {"-".join((y, m.zfill(2), d.zfill(2))) for y, m, d in (re.split("[-/.]", x) for x in re.findall(ISO_DATE, text))}
+    long = {f"{x.split(' ')[2]}-{str((MONTHS.index(x[:3].lower()) + 3) // 3).zfill(2)}-{x.split(' ')[1].replace(',', '').zfill(2)}" for x in re.findall(LONG_DATE, text)}
+    return sorted(iso | long)
+
+
+def calibrated(q: Query, score: Column) -> Column:
+    """A score times a factor of .5 to 1.6 by how it came about: exact text, phrases, nearness, coverage, the shapes of query and unit, and the unit's length."""
+    c = F.col
+    when = lambda cond, more: F.when(cond, more).otherwise(0.0)
+    n = len(q.terms)
+    factor = F.lit(1.0) + when(c("exact"), 0.3) + F.least(0.18 * c("phrases"), F.lit(0.36)) + when(c("near") > 0, F.least(F.lit(0.15), c("near") / 20.0))
+    if n:
+        factor += F.least(F.lit(0.2), c("matched") / n * 0.16) + when((c("matched") == n) & ~c("exact"), 0.08)
+    if q.intent == "title":
+        factor += when(c("title_like"), 0.12) - when(c("cover_like"), 0.05)
+    elif q.intent == "question":
+        factor += when(~c("title_like") & ~c("cover_like"), 0.08) - when(c("cover_like") & ~c("exact"), 0.08)
+    factor += when(c("is_heading"), 0.08) + F.when(c("alone"), 0.1).otherwise(-0.05)
+    size = F.octet_length("text")
+    factor += F.when((size <= 32) | (c("n_terms") <= 3), -0.18).when((size <= 64) | (c("n_terms") <= 5), -0.1).when(size >= 260, -0.04).otherwise(0.0)
+    return F.greatest(score, F.lit(0.0)) * F.greatest(F.lit(0.5), F.least(F.lit(1.6), factor))
+
+
+#: What a phrase adds in turn, somewhere inside, and what words in turn add, by the unit's shape (cover, title, other), for queries like titles and for others.
+RUNS = {True: ((1.0, 4.2, 6.5), (0.9, 2.2, 3.2), (0.85, 1.8, 2.8)), False: ((0.15, 3.0, 6.5), (0.1, 1.4, 3.2), (0.35, 1.0, 2.8))}
 
 
 def search(rows: DataFrame, query: str, n: int = 20) -> DataFrame:
-    """The n best units for a query: score, matched terms and why. Frequencies of the query's terms are counted first and become weights; no unit is shuffled but those that score."""
+    """The n best units for a query: score, its calibrated value, matched terms and why. Frequencies of the query's terms are counted first and become weights; no unit is shuffled but those that score.
+
+    For three hits or fewer, the 32 units of the highest priority alone are scored: every task keeps so many. Filters without terms rank all units that they leave, a query with neither all units.
+    """
     q, c = parse(query), F.col
-    counted = rows.select(F.explode("terms").alias("t")).where(F.col("t").isin(*q.terms)).groupBy("t").count().collect()  # a row for each term of the query
+    counted = rows.select(F.explode("terms").alias("t")).where(F.col("t").isin(*q.terms)).groupBy("t").count().collect() if q.terms else []  # a row for each term of the query
     weight = {r["t"]: 1.0 / r["count"] for r in counted}
     has = {t: F.array_contains("terms", t) for t in q.terms}
-    hits = rows.where(F.arrays_overlap("terms", F.array(*map(F.lit, q.terms)))).withColumn("matched", sum((has[t].cast("int") for t in q.terms), F.lit(0)))
+    hits = structural(rows, q)
+    if q.terms and not (q.section or q.heading):  # with filters, units without a term count as well
+        hits = hits.where(F.arrays_overlap("terms", F.array(*map(F.lit, q.terms))))
+    hits = hits.withColumn("matched", sum((has[t].cast("int") for t in q.terms), F.lit(0)))
+    if n <= 3:
+        hits = hits.orderBy(priority(q).desc(), "doc_id", "paragraph", "unit").limit(32)
+    titled = q.intent == "title"
+    by_shape = lambda values: F.when(c("cover_like"), values[0]).when(c("title_like"), values[1]).otherwise(values[2])
+    own, exact = c("text") == q.text, c("norm") == q.norm if q.norm else F.lit(False)
     score = F.lit(0.0)
     for t in q.terms:
         score += F.when(has[t], weight.get(t, 0.0)).otherwise(0.0)
-    whole = " ".join(q.words)
-    exact = c("norm") == whole
-    score += F.when(exact, 5.0).otherwise(0.0) + F.when(c("norm").contains(whole), 1.5).otherwise(0.0)
-    runs, found = [(p, 6.5, 3.2) for p in q.phrases] or ([(q.words, 2.8, 0.0)] if len(q.words) >= 2 else []), F.lit(0)
+    if q.section:
+        score += F.when(T.normalize_search(c("heading")).contains(" ".join(re.findall("[a-z0-9]+", q.section.lower()))), F.when(c("is_heading"), 8.0).otherwise(1.0)).otherwise(0.0)
+    if q.heading:
+        norm = " ".join(re.findall("[a-z0-9]+", q.heading.lower()))
+        score += F.when(c("is_heading"), 6.0).otherwise(0.0) + F.when(c("norm").contains(norm), 4.5).otherwise(0.0) + F.when(T.normalize_search(c("heading")).contains(norm), 2.0).otherwise(0.0)
+    score = _signatures(q, score, own | exact)
+    score += F.when(own, 10.0).otherwise(0.0) + F.when(exact, 5.0).otherwise(0.0)
+    if q.norm:
+        score += F.when(c("norm").contains(q.norm), 1.5).otherwise(0.0)
+    runs, found = [(p, *RUNS[titled][:2]) for p in q.phrases if p] or ([(q.words, RUNS[titled][2], None)] if not q.phrases and len(q.words) >= 2 else []), F.lit(0)
     for words, in_turn, inside in runs:
-        at = sequence_at(c("seq"), F.array(*map(F.lit, words)))
+        at = _at(words)
         part = c("norm").contains(" ".join(words)) if inside else F.lit(False)
-        score += F.when(at >= 0, in_turn + F.when(at == 0, 0.75).otherwise(0.0)).when(part, inside).otherwise(0.0)
+        score += F.when(at >= 0, by_shape(in_turn) + F.when(at == 0, 0.75).otherwise(0.0)).when(part, by_shape(inside or (0.0, 0.0, 0.0))).otherwise(0.0)
         found += F.when((at >= 0) | part, 1).otherwise(0)
-    score += 2.0 * c("matched") / len(q.terms) + F.when(c("matched") == len(q.terms), 1.0).otherwise(0.0)
+    if q.terms:
+        score += 2.0 * c("matched") / len(q.terms) + F.when(c("matched") == len(q.terms), 1.0).otherwise(0.0)
     close = near(c("seq"), *q.near) if q.near else F.lit(0.0)
-    ours = [w for w in ("|".join(q.words[i : i + 3]) for i in range(len(q.words) - 2))] or [whole]
-    ours = sorted(set(ours))
-    both = F.size(F.array_intersect(shingles(c("seq"), c("norm")), F.array(*map(F.lit, ours))))
-    score += close + 2.2 * both / (F.size(shingles(c("seq"), c("norm"))) + len(ours) - both)
+    ours = sorted({"|".join(q.words[i : i + 3]) for i in range(len(q.words) - 2)} or ({q.norm} if q.norm else set()))
+    if ours:
+        both = F.size(F.array_intersect(shingles(c("seq"), c("norm")), F.array(*map(F.lit, ours))))
+        score += 2.2 * both / (F.size(shingles(c("seq"), c("norm"))) + len(ours) - both)
+    score += close
+    if not titled:
+        score += F.when(c("cover_like") & ~own & ~exact, -5.0).otherwise(0.0)
+    loose = F.when(c("cover_like"), -0.7).when(~c("title_like"), -0.2) if titled else F.when(c("cover_like"), -3.6).when(c("title_like"), -0.8)
+    score += F.when(~own & ~exact & (found == 0) & (close <= 0), loose.otherwise(0.0)).otherwise(0.0)
     score += 0.4 / F.greatest(c("n_terms"), F.lit(1)) + 0.15 / (F.floor(F.octet_length("text") / 40) + 1)
     for i, (_, boost) in enumerate(CUES.get(q.asks, ())):
         score += F.when(cue(c("text"), q.asks, i), boost).otherwise(0.0)
-    scored = hits.withColumns({"score": F.round(score, 6), "exact": exact, "phrases": found, "near": F.round(close, 6)}).where("score > 0")
-    reason = F.when(c("exact"), "exact").when(c("phrases") > 0, "phrase").when(c("near") > 0, "near").when(c("matched") == len(q.terms), "all terms").otherwise("terms")
-    # of equal units the best stays, then the eleven-fold order's first n
-    order = [F.desc("exact"), F.desc("phrases"), F.desc("near"), F.desc("score"), F.desc("matched"), F.octet_length("text"), c("paragraph"), c("unit"), c("doc_id")]
-    best = F.row_number().over(Window.partitionBy("norm").orderBy(F.desc("score"), "doc_id", "paragraph", "unit"))
+    if not q.terms and not q.asks and (q.section or q.heading):
+        score += 0.5
+    scored = hits.withColumns({"score": F.round(score, 6), "exact": own | exact, "phrases": found, "near": F.round(close, 6)}).where("score > 0")
+    scored = scored.withColumn("calibrated", F.round(calibrated(q, c("score")), 6))
+    reason = F.when(c("exact"), "exact").when(c("phrases") > 0, "phrase").when(c("near") > 0, "near").when((c("matched") == len(q.terms)) & (c("matched") > 0), "all terms").when(c("matched") > 0, "terms").otherwise("filter" if q.section or q.heading else "shape")
+    order = [F.desc("exact"), F.desc("phrases"), F.desc("near"), F.desc("calibrated"), F.desc("is_heading"), F.desc("alone"), F.desc("score"), F.desc("matched"), F.octet_length("text"), c("paragraph"), c("unit"), c("doc_id")]
+    # of equal units the best stays, then the order's first n
+    best = F.row_number().over(Window.partitionBy("norm").orderBy(*order))
     kept = scored.withColumn("best", best).where("best = 1").withColumn("reason", reason).orderBy(*order).limit(n)
-    return kept.select("doc_id", "paragraph", "unit", "text", "matched", "score", "reason")
+    return kept.select("doc_id", "paragraph", "unit", "text", "matched", "score", "calibrated", "reason")
 
 
 def all_occurrences(rows: DataFrame, word: str) -> DataFrame:

@@ -35,7 +35,7 @@ s3 as (select *, sum(len) over (partition by doc_id, paragraph order by k) - len
 s5 as materialized (select doc_id, paragraph, c, c + n as e, start, start + size as stop, terms, row_number() over (partition by doc_id, paragraph order by k) as i from s4),
 m as (select doc_id, paragraph, i, c, e, start, stop, terms, 0 as unit from s5 where i = 1 union all select doc_id, paragraph, i, case when j then mc else c end, e, case when j then ms else start end, stop, case when j then mt + terms else terms end, case when j then mu else mu + 1 end from (
   select s5.*, m.c as mc, m.start as ms, m.terms as mt, m.unit as mu, m.stop - m.start + s5.stop - s5.start <= {L.MERGED_BYTES} and (m.stop - m.start < {L.SHORT_BYTES} or m.terms < {L.SHORT_TERMS} or s5.stop - s5.start < {L.SHORT_BYTES} or s5.terms < {L.SHORT_TERMS}) as j from m join s5 on s5.doc_id = m.doc_id and s5.paragraph = m.paragraph and s5.i = m.i + 1)),
-u1 as materialized (select doc_id, paragraph, section, 0 as unit, 0 as start, strlen(text) as stop, text from s1 where whole union all select doc_id, paragraph, section, unit, start, stop, substr(text, c::bigint + 1, (e - c)::bigint) from (select doc_id, paragraph, unit, min(c) as c, max(e) as e, min(start) as start, max(stop) as stop from m group by all) join s1 using (doc_id, paragraph)),
+u1 as materialized (select doc_id, paragraph, section, 0 as unit, 0 as start, strlen(text) as stop, text, is_heading, true as alone from s1 where whole union all select doc_id, paragraph, section, unit, start, stop, substr(text, c::bigint + 1, (e - c)::bigint), is_heading, count(*) over (partition by doc_id, paragraph) = 1 from (select doc_id, paragraph, unit, min(c) as c, max(e) as e, min(start) as start, max(stop) as stop from m group by all) join s1 using (doc_id, paragraph)),
 u2 as (select *, {_SEARCHED} as norm from u1), u3 as (select *, {_SEQ} as seq from u2), u as (select *, list_sort(list_distinct(seq)) as terms, len(list_distinct(seq)) as n_terms from u3)"""
 _UNIT = "doc_id, paragraph, unit"
 
@@ -67,11 +67,13 @@ def fn_heading_like(docs):
     return L.paragraphs(docs).select("doc_id", "paragraph", "is_heading", L.title_cased(F.trim("text")).alias("title_cased"))
 
 
-@query("documents", sql=f"{_P} select doc_id, paragraph, contains(lower(heading), 'the') as contained from p where {_SEARCHED.replace('text', 'heading', 1)} <> '' and contains({_SEARCHED.replace('text', 'heading', 1)}, 'the')")
+FILTER = 'heading contains "oning"'
+
+
+@query("documents", sql=f"{_U} select doc_id, paragraph, unit from u join (select doc_id, paragraph, heading from p) using (doc_id, paragraph) where contains(norm, 'oning') or contains({_SEARCHED.replace('text', 'heading', 1)}, 'oning')")
 def flt_structural(docs):
-    """Paragraphs of the sections whose heading contains a text."""
-    rows = L.sections(L.paragraphs(docs)).withColumn("h", T.normalize_search(F.col("heading")))
-    return rows.where((F.col("h") != "") & F.col("h").contains("the")).select("doc_id", "paragraph", F.lower("heading").contains("the").alias("contained"))
+    """Units that a filter on headings leaves: those that have its text, or whose section's heading has."""
+    return L.structural(units(docs), L.parse(FILTER)).select("doc_id", "paragraph", "unit")
 
 
 _c = F.col
@@ -87,7 +89,9 @@ def fn_abbrev(docs):
 
 _marks = "length(regexp_replace(text, '[^.!?]', '', 'g'))"
 _any = lambda word, i=0: "(" + " or ".join(f"contains({_LOW.format('text')}, '{n}')" for n in L.CUES[word][i][0]) + ")"
-on_units("fn_title_like", lambda: {"title_like": _c("title_like")}, f"n_terms <= 18 and strlen(text) <= 220 and {_marks} <= 1 as title_like")
+_BREAKS = "length(text) - length(replace(text, chr(10), ''))"
+_TITLED, _COVER = f"(n_terms <= 18 and strlen(text) <= 220 and {_BREAKS} <= 3 and {_marks} <= 1)", f"(n_terms <= 30 and strlen(text) <= 260 and {_BREAKS} >= 2 and {_marks} <= 2)"
+on_units("fn_title_like", lambda: {"title_like": _c("title_like"), "cover_like": _c("cover_like")}, f"{_TITLED} as title_like, {_COVER} as cover_like")
 on_units("fn_cues", lambda: {w: L.cue(_c("text"), w) for w in L.CUES} | {f"how{i}": L.cue(_c("text"), "how", i) for i in range(1, 5)}, ", ".join([f'{_any(w)} as "{w}"' for w in L.CUES] + [f"{_any('how', i)} as how{i}" for i in range(1, 5)]))
 on_units("fn_terms_native", lambda: {"words": F.array_join("seq", " "), "terms": F.array_join("terms", " ")}, "array_to_string(seq, ' ') as words, array_to_string(terms, ' ') as terms")
 _lead, _trail = "array_to_string(string_split(norm, ' ')[1:8], ' ')", "array_to_string(string_split(norm, ' ')[greatest(len(string_split(norm, ' ')) - 5, 1):], ' ')"
@@ -213,12 +217,27 @@ _whole = " ".join(_QW.words)
 _pos = lambda ws: "coalesce(list_min(list_filter(range(len(seq) - " + str(len(ws) - 1) + "), lambda i: " + " and ".join(f"seq[i + {k + 1}] = '{w}'" for k, w in enumerate(ws)) + ")), -1)"
 _ours = sorted({"|".join(_QW.words[i : i + 3]) for i in range(len(_QW.words) - 2)})
 _both = f"len(list_intersect({_SHINGLES}, [{', '.join(chr(39) + s + chr(39) for s in _ours)}]))"
-_FOUND = f"""{_U}, w as materialized (select {', '.join(f'{_cnt(t)} as w{i}' for i, t in enumerate(_TERMS))}), h as (select u.*, w.*, {' + '.join(f"list_contains(terms, '{t}')::int" for t in _TERMS)} as matched, {_pos(_QW.phrases[0])} as spot from u, w where list_has_any(terms, [{', '.join(f"'{t}'" for t in _TERMS)}])),
-sc as (select *, norm = '{_whole}' as exact, contains(norm, '{' '.join(_QW.phrases[0])}') as inside, round({' + '.join(f"case when list_contains(terms, '{t}') then 1.0::double / w{i} else 0 end" for i, t in enumerate(_TERMS))} + case when norm = '{_whole}' then 5.0::double else 0 end + case when contains(norm, '{_whole}') then 1.5::double else 0 end
-  + case when spot >= 0 then 6.5::double + case when spot = 0 then 0.75::double else 0 end when contains(norm, '{' '.join(_QW.phrases[0])}') then 3.2::double else 0 end + 2.0::double * matched / {len(_TERMS)}::double + case when matched = {len(_TERMS)} then 1.0::double else 0 end
-  + 2.2::double * {_both} / (len({_SHINGLES}) + {len(_ours)} - {_both})::double + 0.4::double / greatest(n_terms, 1)::double + 0.15::double / (strlen(text) // 40 + 1)::double + case when {_any('what')} then 1.8::double else 0 end, 6) as score from h),
-best as (select *, case when spot >= 0 or inside then 1 else 0 end as phrases from sc where score > 0 qualify row_number() over (partition by norm order by score desc, doc_id, paragraph, unit) = 1),
-found as (select doc_id, paragraph, unit, text, matched, score, case when exact then 'exact' when phrases > 0 then 'phrase' when matched = {len(_TERMS)} then 'all terms' else 'terms' end as reason from best order by exact desc, phrases desc, score desc, matched desc, strlen(text), paragraph, unit, doc_id limit 20)"""
+_PHRASE = " ".join(_QW.phrases[0])
+_shape = lambda v: f"case when {_COVER} then {v[0]}::double when {_TITLED} then {v[1]}::double else {v[2]}::double end"
+_ORDER = "exact desc, phrases desc, calibrated desc, is_heading desc, alone desc, score desc, matched desc, strlen(text), paragraph, unit, doc_id"
+_HITS = f"""{_U}, w as materialized (select {', '.join(f'{_cnt(t)} as w{i}' for i, t in enumerate(_TERMS))}), h as (select u.*, w.*, {' + '.join(f"list_contains(terms, '{t}')::int" for t in _TERMS)} as matched, {_pos(_QW.phrases[0])} as spot from u, w where list_has_any(terms, [{', '.join(f"'{t}'" for t in _TERMS)}]))"""
+_PRIORITY = f"""case when text = '{SEARCH}' then 120 else 0 end + 8 * matched + case when norm = '{_whole}' then 90 when contains(norm, '{_whole}') then 35 else 0 end + case when contains(norm, '{_PHRASE}') then 25 else 0 end + case when is_heading then 12 else 0 end + case when {_TITLED} then 6 else 0 end - case when {_COVER} then 4 else 0 end"""
+
+
+def _scored(hits: str, n: int) -> str:
+    """The score of the query's units, for a query like a title with a phrase and a question word."""
+    return f"""z0 as (select *, norm = '{_whole}' or text = '{SEARCH}' as exact, contains(norm, '{_PHRASE}') as inside, {_BREAKS} as breaks, round({' + '.join(f"case when list_contains(terms, '{t}') then 1.0::double / w{i} else 0 end" for i, t in enumerate(_TERMS))} + case when text = '{SEARCH}' then 10.0::double else 0 end
+  + case when norm = '{_whole}' then 5.0::double else 0 end + case when contains(norm, '{_whole}') then 1.5::double else 0 end + case when spot >= 0 then {_shape(L.RUNS[True][0])} + case when spot = 0 then 0.75::double else 0 end when contains(norm, '{_PHRASE}') then {_shape(L.RUNS[True][1])} else 0 end + 2.0::double * matched / {len(_TERMS)}::double + case when matched = {len(_TERMS)} then 1.0::double else 0 end
+  + 2.2::double * {_both} / (len({_SHINGLES}) + {len(_ours)} - {_both})::double + case when norm <> '{_whole}' and text <> '{SEARCH}' and spot < 0 and not contains(norm, '{_PHRASE}') then case when {_COVER} then -0.7::double when not {_TITLED} then -0.2::double else 0 end else 0 end
+  + 0.4::double / greatest(n_terms, 1)::double + 0.15::double / (strlen(text) // 40 + 1)::double + case when {_any('what')} then 1.8::double else 0 end, 6) as score from {hits}),
+z9 as (select *, case when spot >= 0 or inside then 1 else 0 end as phrases from z0 where score > 0),
+z as (select *, round(score * greatest(0.5::double, least(1.6::double, 1.0::double + case when exact then 0.3::double else 0 end + least(0.18::double * phrases, 0.36::double) + least(0.2::double, matched::double / {len(_TERMS)} * 0.16::double) + case when matched = {len(_TERMS)} and not exact then 0.08::double else 0 end
+  + case when {_TITLED} then 0.12::double else 0 end - case when {_COVER} then 0.05::double else 0 end + case when is_heading then 0.08::double else 0 end + case when alone then 0.1::double else -0.05::double end + case when strlen(text) <= 32 or n_terms <= 3 then -0.18::double when strlen(text) <= 64 or n_terms <= 5 then -0.1::double when strlen(text) >= 260 then -0.04::double else 0 end)), 6) as calibrated from z9),
+best as (select * from z qualify row_number() over (partition by norm order by {_ORDER}) = 1),
+found as (select doc_id, paragraph, unit, text, matched, score, calibrated, case when exact then 'exact' when phrases > 0 then 'phrase' when matched = {len(_TERMS)} then 'all terms' else 'terms' end as reason from best order by {_ORDER} limit {n})"""
+
+
+_FOUND = f"{_HITS}, {_scored('h', 20)}"
 
 
 @query("documents", sql=f"{_FOUND} select * from found")
@@ -226,6 +245,12 @@ def q_search_native(docs):
     return L.search(units(docs), SEARCH)
 
 
+@query("documents", sql=f"{_HITS}, few as (select * from h order by {_PRIORITY} desc, doc_id, paragraph, unit limit 32), {_scored('few', 3)} select doc_id, paragraph, unit, score, calibrated, reason from found")
+def topk_shortlist(docs):
+    """Three hits: 32 units of the highest priority are scored."""
+    return L.search(units(docs), SEARCH, 3).select("doc_id", "paragraph", "unit", "score", "calibrated", "reason")
+
+
 ORACLES["topk_search_native"] = f"{_FOUND} select doc_id, score from found order by score desc, doc_id limit 5"
 QUERIES["topk_search_native"] = lambda spark, sf: QUERIES["q_search_native"](spark, sf).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(5)
 
