@@ -76,6 +76,11 @@ def slug(c: Column, most: int = 72, default: str = "untitled") -> Column:
     return F.when(s == "", default).otherwise(s)
 
 
+def title_keywords(c: Column) -> Column:
+    """The first twelve words of a text that have four ASCII letters or digits or more."""
+    return F.slice(F.filter(F.split(F.lower(normalize_text(c)), "[^a-z0-9]+"), lambda x: F.length(x) >= 4), 1, 12)
+
+
 def sentences(c: Column) -> Column:
     """Sentences of four characters or more, or the whole text where there is none."""
     norm = normalize_text(c)

@@ -37,16 +37,6 @@ def topic_parts(rows: DataFrame, most: int = 100) -> DataFrame:
     return rows.groupBy("conv_id", F.floor(F.col("sequence") / most).alias("part")).agg(F.count("*").alias("n_messages"))
 
 
-def evidence_blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Blocks of `size` consecutive messages: their bounds, lengths and ids."""
-    key = F.floor(F.col("sequence") / size).alias("block")
-    out = rows.groupBy("conv_id", key).agg(
-        F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"), F.sum(F.length("text")).alias("n_chars"),
-        F.array_sort(F.collect_list("sequence")).alias("members"),
-    )
-    return out.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
-
-
 def statements(rows: DataFrame) -> DataFrame:
     """A row for each sentence, with its kind, subject, value, polarity and keywords."""
     each = rows.select("conv_id", "sequence", "role", F.posexplode(T.sentences(F.col("text"))).alias("index", "sentence"))

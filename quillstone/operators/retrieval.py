@@ -106,6 +106,24 @@ def hydrated(found: DataFrame, records: DataFrame, most: int | None = None) -> D
     return base.join(hits, ["table_name", "record_id"]).where("record_hash = actual").drop("actual")
 
 
+# The tables behind a project's tabs; patterns are every project's.
+TABS = {"now": "truths", "findings": "atoms", "patterns": "patterns", "evidence": "databoxes", "ticks": "ticks", "experiments": "experiments"}
+
+
+def project_tab(records: DataFrame, project: str, tab: str) -> DataFrame:
+    """Records that a tab of a project lists; an unknown tab is the first one."""
+    own = records.where(F.col("table_name") == TABS.get(tab, TABS["now"]))
+    return own if tab == "patterns" else own.where(F.coalesce("project_id", F.lit("")) == project)
+
+
+def project_tabs(records: DataFrame, tabs: list[str] | None = None) -> DataFrame:
+    """(tab, project_id, record_id) of the tabs of all projects at once; patterns, which are every project's, come with a null project."""
+    names = F.map_from_arrays(F.array(*map(F.lit, TABS.values())), F.array(*map(F.lit, TABS)))
+    rows = records.withColumn("tab", F.try_element_at(names, F.col("table_name"))).where(F.col("tab").isin(*(tabs or TABS)))
+    own = F.when(F.col("tab") != "patterns", F.col("project_id"))
+    return rows.where((F.col("tab") == "patterns") | (F.coalesce("project_id", F.lit("")) != "")).select("tab", own.alias("project_id"), "record_id")
+
+
 def in_scope(rows: DataFrame, project: str | None) -> DataFrame:
     """Records of the project, and those of none."""
     return rows if not project else rows.where((F.coalesce("project_id", F.lit("")) == "") | (F.col("project_id") == project))

@@ -199,6 +199,19 @@ def fold_truths(atoms: DataFrame) -> DataFrame:
     return writes.groupBy("truth_id").agg(*made, F.max_by("status", "ord").alias("status"), F.max_by("relation", F.when(F.col("relation").isNotNull(), F.col("ord"))).alias("relation"))
 
 
+def block_records(rows: DataFrame, atoms: DataFrame, size: int = 250) -> DataFrame:
+    """Blocks of `size` consecutive messages with their bounds, length, messages, atoms in the order of the text, id and hash: the hash is that of the block's fields as JSON with keys in order. A block without atoms has none."""
+    c = F.col
+    block = F.floor(c("sequence") / size)
+    ids = lambda x: F.transform(F.array_sort(F.collect_list(x)), lambda r: r["id"])
+    message = F.struct("sequence", T.canonical_id("msg", VERSION, c("conv_id").cast("string"), c("sequence").cast("string")).alias("id"))
+    own = rows.groupBy("conv_id", block.alias("block")).agg(F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"), F.sum(F.length("text")).alias("n_chars"), ids(message).alias("messages"))
+    said = atoms.groupBy("conv_id", block.alias("block")).agg(ids(F.struct("sequence", "index", c("atom_id").alias("id"))).alias("atoms"))
+    out = own.join(said, ["conv_id", "block"], "left").withColumn("atoms", F.coalesce("atoms", F.array().cast("array<string>")))
+    fields = F.struct(c("atoms").alias("atomIds"), c("block").alias("blockNumber"), c("conv_id").cast("string").alias("conversationId"), c("first_sequence").alias("firstSequence"), c("last_sequence").alias("lastSequence"), c("messages").alias("messageIds"))
+    return out.withColumns({"block_id": T.canonical_id("evidence-block", VERSION, c("conv_id").cast("string"), c("block").cast("string")), "hash": F.sha2(F.to_json(fields).cast("binary"), 256)})
+
+
 def pairs_in_turn(atoms: DataFrame) -> DataFrame:
     """Each statement and the one before it in its conversation, with their relation."""
     from pyspark.sql import Window

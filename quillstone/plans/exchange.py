@@ -63,19 +63,24 @@ def fn_message_id(conversations):
     return X.normalised(files(conversations)).select("message_id", "conversation_id")
 
 
-_NAMES = ("ChatGPT", "openai", "Anthropic Claude", "google", "Bard", "Microsoft", "bing chat", "Poe", "perplexity.ai", "My Own!", "")
+_has = lambda *ps: " or ".join(f"contains(lower(name), '{p}')" for p in ps)
 
 
-def _named(spark):
-    return spark.createDataFrame([(i, n) for i, n in enumerate(_NAMES)], "i int, name string")
+@query("documents", "conversations", sql=f"""select name, n, case when {_has('chatgpt')} or lower(name) = 'openai' then 'chatgpt' when {_has('claude', 'anthropic')} then 'claude' when {_has('gemini', 'bard')} or lower(name) = 'google' then 'gemini' when {_has('copilot', 'bing')} or lower(name) = 'microsoft' then 'copilot'
+  when {_has('poe')} then 'poe' when {_has('perplexity')} then 'perplexity' when name = '' then 'generic' else regexp_replace(lower(name), '[^a-z0-9_-]+', '_', 'g') end as provider,
+  case when {_has('claude', 'anthropic')} then 'claude' when {_has('gemini', 'bard')} then 'gemini' when {_has('copilot', 'bing')} then 'copilot' when {_has('poe')} then 'poe' when {_has('perplexity')} then 'perplexity' when {_has('chatgpt', 'openai')} then 'chatgpt' end as hint
+  from (select name, count(*) as n from (select trim(source) as name from documents where source is not null union all select trim(role) from conversations where role is not null) group by 1)""")
+def fn_provider(docs, conversations):
+    """The providers that sources of documents and roles of messages name; names of every kind are in the tests."""
+    names = docs.select(F.trim("source").alias("name")).union(conversations.select(F.trim("role"))).where("name is not null").groupBy("name").agg(F.count("*").alias("n"))
+    return names.select("name", "n", X.provider(F.col("name")).alias("provider"), X.provider_hint(F.col("name")).alias("hint"))
 
 
-_VALUES = "(values " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(_NAMES)) + ") as v(i, name)"
-_has = lambda *ps: " or ".join(f"contains(lower(name), '{p}')" for p in ps)
-QUERIES["fn_provider"] = lambda spark, sf: _named(spark).select("i", X.provider(F.col("name")).alias("provider"), X.provider_hint(F.col("name")).alias("hint"))
-ORACLES["fn_provider"] = f"""select i, case when {_has('chatgpt')} or lower(name) = 'openai' then 'chatgpt' when {_has('claude', 'anthropic')} then 'claude' when {_has('gemini', 'bard')} or lower(name) = 'google' then 'gemini' when {_has('copilot', 'bing')} or lower(name) = 'microsoft' then 'copilot'
-  when {_has('poe')} then 'poe' when {_has('perplexity')} then 'perplexity' when name = '' then 'generic' else regexp_replace(lower(name), '[^a-z0-9_-]+', '_', 'g') end as provider,
-  case when {_has('claude', 'anthropic')} then 'claude' when {_has('gemini', 'bard')} then 'gemini' when {_has('copilot', 'bing')} then 'copilot' when {_has('poe')} then 'poe' when {_has('perplexity')} then 'perplexity' when {_has('chatgpt', 'openai')} then 'chatgpt' end as hint from {_VALUES}"""
+@query("conversations", sql=f"with {_MESSAGES} select conv_id, sequence, array_to_string(list_filter(regexp_split_to_array(lower({_NORM}), '[^a-z0-9]+'), lambda x: length(x) >= 4)[1:12], ' ') as keywords from messages")
+def fn_keywords_title(conversations):
+    """The first twelve words of four letters or digits at least, repeated ones too, of what is imported."""
+    return C.messages(conversations).select("conv_id", "sequence", F.array_join(T.title_keywords(F.col("text")), " ").alias("keywords"))
+
 
 # --- digests
 
@@ -250,10 +255,10 @@ def str_gap(events):
     return R.in_sequence(log, R.cursors(log.where("sequence < 300"))).select("origin", "sequence", "accepted")
 
 
-@query("events", sql=f"with {_SEEN} select origin, max(cursor) as cursor from (select * from s union all select user_id, max(event_id) from events where event_id % 2 = 0 group by 1) group by 1")
+@query("events", sql=f"with {_SEEN} select origin, max(cursor) as cursor from (select * from s union all select user_id, max(event_id) from events group by 1) group by 1")
 def agg_max_sequence(events):
     log = events.select(F.col("user_id").alias("origin"), F.col("event_id").alias("sequence"))
-    return R.advanced(R.cursors(log.where("sequence < 300")), log.where("sequence % 2 = 0"))
+    return R.advanced(R.cursors(log.where("sequence < 300")), log)
 
 
 @query("events", sql="select event_id, user_id from events where event_id not in (select event_id from events where event_type = 'click')")

@@ -121,12 +121,6 @@ def win_topic_parts(conversations):
     return C.topic_parts(C.messages(conversations), 3)
 
 
-@query("conversations", sql=f"""with {_MESSAGES} select conv_id, sequence // 250 as block, min(sequence) as first_sequence, max(sequence) as last_sequence, cast(sum(length(text)) as bigint) as n_chars,
-  string_agg(sequence::varchar, ',' order by sequence) as members from messages group by 1, 2""")
-def agg_evidence_block(conversations):
-    return C.evidence_blocks(C.messages(conversations))
-
-
 @query("documents", sql=f"select term, count(*) as df from (select unnest(list_distinct({_WORDS})) as term from documents where text is not null) group by 1")
 def agg_df(docs):
     return S.term_frequencies(docs)

@@ -213,3 +213,9 @@ def q_route(conversations):
 @query("documents", "conversations", sql=f"{_RECORDS} select table_name, record_id, concat_ws(' ', text, status) as body from rec where table_name <> 'documents'")
 def prj_reader_text(docs, conversations):
     return records(docs, conversations).where("table_name <> 'documents'").select("table_name", "record_id", F.concat_ws(" ", "text", "status").alias("body"))
+
+
+@query("documents", "conversations", sql=f"{_RECORDS}, tabs(tab, t) as (values ('now', 'truths'), ('findings', 'atoms')) select tab, project_id, record_id from rec join tabs on table_name = t where coalesce(project_id, '') <> ''")
+def flt_project_tabs(docs, conversations):
+    """What each project's first tabs list, of all projects."""
+    return V.project_tabs(records(docs, conversations), ["now", "findings"])

@@ -136,6 +136,20 @@ QUERIES["agg_truth_root"] = lambda spark, sf: U.truth_root(QUERIES["q_truth_fold
 QUERIES["join_truth_match"] = lambda spark, sf: QUERIES["q_truth_fold"](spark, sf).where("related is not null").select("truth_id", "related", "relation")
 
 
+_IDS = lambda c: f"coalesce(array_to_string({c}, ','), '')"
+_QUOTED = lambda c: "'[' || coalesce(array_to_string(list_transform(" + c + ", lambda x: chr(34) || x || chr(34)), ','), '') || ']'"
+_JSON = f"""'{{"atomIds":' || {_QUOTED('atoms')} || ',"blockNumber":' || block || ',"conversationId":"' || conv_id || '","firstSequence":' || first_sequence || ',"lastSequence":' || last_sequence || ',"messageIds":' || {_QUOTED('messages')} || '}}'"""
+
+
+# blocks with their atoms and hashes take the place of the shorter ones
+@query("conversations", sql=f"""{WITH}, {FULL}, bm as (select conv_id, sequence // 250 as block, min(sequence) as first_sequence, max(sequence) as last_sequence, sum(length(text))::bigint as n_chars, list('msg_' || substr(sha256(concat_ws(chr(9247), '1', conv_id::varchar, sequence::varchar)), 1, 24) order by sequence) as messages from messages group by 1, 2),
+ba as (select conv_id, sequence // 250 as block, list(atom_id order by sequence, idx) as atoms from full_atoms group by 1, 2)
+select conv_id, block, first_sequence, last_sequence, n_chars, {_IDS('messages')} as messages, {_IDS('atoms')} as atoms, 'evidence-block_' || substr(sha256(concat_ws(chr(9247), '1', conv_id::varchar, block::varchar)), 1, 24) as block_id, sha256({_JSON}) as hash from bm left join ba using (conv_id, block)""")
+def agg_evidence_block(conversations):
+    rows = U.block_records(C.messages(conversations), U.atomize(conversations))
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("messages", "atoms")})
+
+
 _EVIDENCE = f"with {_MESSAGES}, " + tree("(select distinct sha256(concat_ws(chr(9247), conv_id::varchar, sequence::varchar, role, text)) as h from messages)")
 
 

@@ -251,3 +251,16 @@ def test_active_truths_by_term():
         plain[a.truth_id] = a
         active.put(a)
     assert {w for own in active.by_size.values() for w in own} == {w for t in plain.values() for w in t.about}
+
+
+def test_providers_of_names(spark):
+    names = {"ChatGPT": "chatgpt", "openai": "chatgpt", "Anthropic Claude": "claude", "google": "gemini", "Bard": "gemini", "Microsoft": "copilot", "bing chat": "copilot", "Poe": "poe", "perplexity.ai": "perplexity", "My Own!": "my_own_", "": "generic", " claude ": "claude"}
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", X.provider(F.col("name")).alias("p"))
+    assert {r.name: r.p for r in rows.collect()} == names
+
+
+def test_project_tabs(spark):
+    rows = spark.createDataFrame([("truths", "t1", "a"), ("truths", "t2", "b"), ("truths", "t3", None), ("atoms", "x", "a"), ("patterns", "p", "b"), ("messages", "m", "a"), ("ticks", "k", "a")], "table_name string, record_id string, project_id string")
+    ids = lambda tab: {r.record_id for r in V.project_tab(rows, "a", tab).collect()}
+    assert (ids("now"), ids("findings"), ids("patterns"), ids("ticks"), ids("evidence"), ids("anything")) == ({"t1"}, {"x"}, {"p"}, {"k"}, set(), {"t1"})
+    assert {tuple(r) for r in V.project_tabs(rows).collect()} == {("now", "a", "t1"), ("now", "b", "t2"), ("findings", "a", "x"), ("patterns", None, "p"), ("ticks", "a", "k")}
