@@ -229,10 +229,15 @@ def sequence_at(seq: Column, words: Column) -> Column:
 def near(seq: Column, left: str, right: str, distance: int) -> Column:
     """2.5 and up to 4 more the nearer two words stand; 0 beyond the distance."""
 
+    def gap_of(p):  # the nearest two are neighbours among the places of both
+        n = F.greatest(F.size(p) - 1, F.lit(0))
+        return F.array_min(F.zip_with(F.slice(p, 1, n), F.slice(p, 2, n), lambda a, b: F.when(a["first"] != b["first"], b["at"] - a["at"])))
+
     def of(q):
-        places = lambda word: F.filter(F.transform(q, lambda x, i: F.when(x == word, i)), lambda i: i.isNotNull())
-        apart = lambda a: T.once(places(right), lambda b: F.array_min(F.flatten(F.transform(a, lambda i: F.transform(b, lambda j: F.abs(i - j))))))
-        return T.once(places(left), apart)
+        if left == right:
+            return F.when(F.array_contains(q, left), 0)
+        places = F.transform(q, lambda x, i: F.when(x.isin(left, right), F.struct(i.alias("at"), (x == left).alias("first"))))
+        return T.once(F.filter(places, lambda x: x.isNotNull()), gap_of)
 
     return T.once(of(seq), lambda gap: F.when(gap <= distance, 2.5 + 4.0 * (distance - gap + 1) / (distance + 1)).otherwise(0.0))
 
