@@ -87,12 +87,17 @@ def json_runs(source: _Text, most: int = ROW_CHARS) -> Iterator[tuple[int, str]]
         yield first, f"[{','.join(held)}]"
 
 
-def _opened(path: str):
-    if path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file(re.sub("^file:/+", "/", path))
-    scheme, place = path.split("://", 1)
-    store, place = fs.FileSystem.from_uri(f"{scheme}://{quote(place)}")
-    return store.open_input_file(place)
+def file_of(path: str, mode: str = "r"):
+    """A file of any store that pyarrow.fs knows, to read at any place, or to write."""
+    if path.startswith(("file:", "/")):
+        store, place = fs.LocalFileSystem(), re.sub("^file:/+|^/+", "/", path)
+    else:
+        scheme, place = path.split("://", 1)
+        store, place = fs.FileSystem.from_uri(f"{scheme}://{quote(place)}")
+    if mode == "r":
+        return store.open_input_file(place)
+    store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    return store.open_output_stream(place)
 
 
 def _entries(batches):
@@ -101,13 +106,13 @@ def _entries(batches):
         for path in b.column(0).to_pylist():
             names = [None]
             if path.lower().endswith(".zip"):
-                with _opened(path) as f, zipfile.ZipFile(f) as z:
+                with file_of(path) as f, zipfile.ZipFile(f) as z:
                     names = sorted(e.filename for e in z.infolist() if not e.is_dir() and e.filename.lower().endswith(".json"))
             yield pa.RecordBatch.from_arrays([pa.array([path] * len(names), pa.string()), pa.array(names, pa.string())], ["path", "entry"])
 
 
 def _runs(path: str, entry: str | None) -> Iterator[tuple[int, str]]:
-    with _opened(path) as f:
+    with file_of(path) as f:
         if entry is None:
             yield from json_runs(_Text(f.read))
         else:

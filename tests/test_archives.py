@@ -96,3 +96,20 @@ def test_a_mapping_comes_by_time(spark):
     mapping = {"a": node("m9", 1700000300.5, "third"), "b": node("m2", 1700000100, "second"), "c": node("m8", None, "first"), "d": node("m1", 1700000300.7, "fourth"), "e": {"message": None}}
     files = spark.createDataFrame([("chatgpt.json", json.dumps([{"id": "x", "mapping": mapping}]))], "name string, content string")
     assert [r.text for r in X.normalised(files).orderBy("sequence").collect()] == ["first", "second", "third", "fourth"]
+
+
+def test_a_digest_as_zip(spark, tmp_path):
+    """Entries of several tasks in one archive, by path; unsafe paths stay inside; no rows make an empty archive."""
+    from quillstone.sources.zips import write_zip
+
+    rows = [(f"topics/é{i:03d}.md", f"# {i}\n" * i) for i in range(200)] + [("../up/./x.md", "up"), ("same.md", "1"), ("same.md", "2"), ("none.md", None), (None, "gone")]
+    path = str(tmp_path / "out dir" / "digest.zip")
+    got = write_zip(spark.createDataFrame(rows, "path string, content string").repartition(4), path).first()
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and got.n == len(z.namelist()) == 204 and z.namelist() == sorted(z.namelist())
+        assert all(z.read(p).decode() == c for p, c in rows[:200]) and z.read("up/x.md") == b"up" and z.read("none.md") == b""
+        assert [z.read(i).decode() for i in z.infolist() if i.filename == "same.md"] == ["1", "2"]
+    assert got.bytes == (tmp_path / "out dir" / "digest.zip").stat().st_size and len(list((tmp_path / "out dir").iterdir())) <= 2  # a checksum file of Hadoop's at most
+    empty = write_zip(spark.createDataFrame([], "path string, content string"), str(tmp_path / "empty.zip")).first()
+    with zipfile.ZipFile(tmp_path / "empty.zip") as z:
+        assert z.namelist() == [] and empty.n == 0
