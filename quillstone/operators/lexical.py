@@ -587,16 +587,20 @@ def duplicates(rows: DataFrame, key: Column) -> DataFrame:
 def next_terms(docs: DataFrame, longest: int = 3, k: int = 16) -> DataFrame:
     """For each run of up to `longest` words of a text (and none), the k that most often follow, ties by the alphabet.
 
-    A text's runs are built in one pass over its words, so that its exploded rows hold a run each and not the text. Counts are combined before the shuffle, and ranks cut within each task first.
+    A text's words are zipped with themselves, shifted, so that its exploded rows hold a run each and not the text. Whole runs are counted before
+    shorter ones are counted from them, with combining before each shuffle, and ranks are cut within each task first.
     """
+    before = [f"p{m}" for m in range(longest, 0, -1)]
 
     def runs(q):
-        run = lambda i, m: F.struct(F.lit(m).alias("order"), (F.array_join(F.slice(q, i - m + 1, m), " ") if m else F.lit("")).alias("context"), F.get(q, i).alias("next_term"))
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(q) - 1), lambda i: F.filter(F.array(*(F.when(i >= m, run(i, m)) for m in range(longest + 1))), lambda x: x.isNotNull())))
-
-    words = native_terms(F.col("text"))
-    pairs = docs.where("text is not null").select(F.inline(T.once(words, lambda q: F.when(F.size(q) > 0, runs(q)))))
-    n = pairs.groupBy("order", "context", "next_term").agg(F.count("*").alias("n"))
+        shifted = [F.concat(F.array_repeat(F.lit(None).cast("string"), m), q).alias(f"p{m}") for m in range(longest, 0, -1)]
+        return F.arrays_zip(*shifted, q.alias("next_term"))
+
+    rows = docs.where("text is not null").select(F.inline(T.once(native_terms(F.col("text")), runs))).toDF(*before, "next_term").where("next_term is not null")  # the shifted ends have no next one
+    whole = rows.groupBy(*before, "next_term").agg(F.count("*").alias("n"))
+    shorter = [F.when(F.col(f"p{m}").isNotNull() if m else F.lit(True), F.struct(F.lit(m).alias("order"), F.concat_ws(" ", F.lit(None).cast("string"), *(f"p{j}" for j in range(m, 0, -1))).alias("context"))) for m in range(longest + 1)]
+    each = whole.select("next_term", "n", F.explode(F.array(*shorter)).alias("run")).where("run is not null")
+    n = each.groupBy(F.col("run.order").alias("order"), F.col("run.context").alias("context"), "next_term").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("order", "context").orderBy(F.desc("n"), "next_term"))
     return n.withColumn("rank", rank).where(F.col("rank") <= k)
 
