@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import conversations as C
 from ..operators import digest as D
+from ..operators import postings as I
 from ..operators import projects as P
 from ..operators import records as R
 from ..operators import truths as U
 from ..sources import exports as X
 from .projection import _T, tables
-from .reference import _LOW, _MESSAGES, _NORM, ORACLES, QUERIES, query
+from .reference import _LOW, _MESSAGES, _NORM, _WORDS, ORACLES, QUERIES, query
 from .truths import FULL, WITH, jaccard
 
 # --- exports: conversations written as files of four shapes, and read back
@@ -272,6 +273,21 @@ def snk_delete(events):
     return R.without(events.select("event_id", "user_id"), events.where("event_type = 'error'"), "event_id")
 
 
+_REVISED = "select doc_id, case when doc_id % 5 = 0 then 'revised ' || coalesce(source, '') || ' ' || substr(text, length(text) // 2 + 1) else text end as text from documents where doc_id % 7 <> 0 and text is not null"
+
+
+@query("documents", sql=f"with d as ({_REVISED}), p as (select doc_id, term, count(*) as n from (select doc_id, unnest({_WORDS}) as term from d) group by all) select term, count(*) as df, count(*) as postings, sum(n)::bigint as n from p group by 1")
+def snk_upsert_index(docs):
+    """The index of all documents after a batch that revises each fifth and deletes each seventh: frequencies that the batch changed beside what the postings say. The SQL builds the index anew."""
+    first = docs.select(F.col("doc_id").alias("record_id"), "source", "text")
+    half = F.concat(F.lit("revised "), F.coalesce("source", F.lit("")), F.lit(" "), F.expr("substr(text, length(text) div 2 + 1)"))
+    gone = F.col("record_id") % 7 == 0
+    touched = first.where((F.col("record_id") % 5 == 0) | gone).select("record_id", F.lit(1).alias("clock"), F.when(~gone, half).alias("text"))
+    index = I.updated(I.built(first), touched)
+    said = index.postings.groupBy("term").agg(F.count("*").alias("postings"), F.sum("n").alias("n"))
+    return index.frequencies.join(said, "term", "full_outer").select("term", "df", "postings", "n")
+
+
 @query("events", sql="select event_id as sequence, user_id as origin from events where event_id > 100 order by event_id, user_id limit 32")
 def topk_pending(events):
     return R.pending(events.select(F.col("event_id").alias("sequence"), F.col("user_id").alias("origin")), 100)
