@@ -60,7 +60,7 @@ def truth_candidates(atoms: DataFrame) -> DataFrame:
 
 _FOLDED = (
     "truth_id string, ord bigint, project_id string, kind string, conv_id bigint, atom_id string, text string, subject string, value string, polarity string, scope string, "
-    "confidence double, status string, relation string, related string, supersedes string"
+    "confidence double, status string, relation string, related string, supersedes string, turn bigint"
 )
 
 
@@ -109,8 +109,10 @@ class _Active:
     def __init__(self):
         self.truths, self.turn, self.by_size, self.turns = {}, {}, {}, 0
 
-    def put(self, a) -> None:
-        if a.truth_id in self.truths:  # the same statement again: it keeps its turn
+    def put(self, a) -> int | None:
+        """Makes a truth active and gives its turn; none where it was active, as the same statement again keeps its turn."""
+        known = a.truth_id in self.truths
+        if known:
             turn = self.turn[a.truth_id]
             self.drop(a.truth_id)
         else:
@@ -120,6 +122,7 @@ class _Active:
         own = self.by_size.setdefault(len(about), {})
         for term in about:
             own.setdefault(term, {})[a.truth_id] = None
+        return None if known else turn
 
     def drop(self, truth_id: str) -> None:
         _, about = self.truths.pop(truth_id)
@@ -159,6 +162,9 @@ def _folded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a in frame.itertuples(index=False):
             if (a.project_id, a.kind) != key:
                 key, active, order = (a.project_id, a.kind), _Active(), 0
+            if not pd.isna(a.turn):  # active before this batch
+                active.put(a)
+                continue
             match = active.best(a, LEAST_LIKE)
             relation, status = "NEW", "CURRENT"
             if match is not None:
@@ -166,23 +172,17 @@ def _folded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 status = {"CONTRADICTS": "CONFLICTING", "UNCERTAIN": "PENDING_REVIEW", "SAME": "HISTORICAL"}.get(relation, "CURRENT")
                 old = {"CONTRADICTS": "CONFLICTING", "SUPERSEDES": "SUPERSEDED", "REFINES": "SUPERSEDED"}.get(relation)
                 if old:
-                    out.append((match.truth_id, order := order + 1, *[None] * 10, old, "CONTRADICTS" if old == "CONFLICTING" else None, None, None))
+                    out.append((match.truth_id, order := order + 1, *[None] * 10, old, "CONTRADICTS" if old == "CONFLICTING" else None, None, None, -1 if old == "SUPERSEDED" else None))
                 if old == "SUPERSEDED":
                     active.drop(match.truth_id)
             replaced = match.truth_id if relation in ("SUPERSEDES", "REFINES") else None
-            out.append((a.truth_id, order := order + 1, a.project_id, a.kind, a.conv_id, a.atom_id, a.text, a.subject, a.value, a.polarity, a.scope, a.confidence, status, relation, match.truth_id if match is not None else None, replaced))
-            if status in R.ACTIVE:
-                active.put(a)
+            turn = active.put(a) if status in R.ACTIVE else None
+            out.append((a.truth_id, order := order + 1, a.project_id, a.kind, a.conv_id, a.atom_id, a.text, a.subject, a.value, a.polarity, a.scope, a.confidence, status, relation, match.truth_id if match is not None else None, replaced, turn))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _FOLDED.split(", ")])
 
 
-def fold_truths(atoms: DataFrame) -> DataFrame:
-    """One row per truth: what it says, its last status and relation, the truth it met and the one it replaces.
-
-    A project's statements of one kind are judged in order, each against the truths that are active then, so one
-    task streams them, sorted, and holds active truths alone. What a decision needs is computed by columns before. An empty table has no truths;
-    repeated statements are truths of their own, the later ones HISTORICAL.
-    """
+def truth_features(atoms: DataFrame) -> DataFrame:
+    """Statements that may become truths, with what a decision needs, computed by columns."""
     a = truth_candidates(atoms)
     ident = T.normalize_identity(F.col("text"))
     keys = F.array_distinct(F.slice(F.filter(F.transform("keywords", lambda k: T.normalize_identity(k)), lambda k: F.length(k) >= 3), 1, 6))
@@ -192,11 +192,44 @@ def fold_truths(atoms: DataFrame) -> DataFrame:
         T.normalize_identity(F.col("value")).alias("value_id"), T.normalize_identity(F.col("scope")).alias("scope_id"), R.has(ident, R.UPDATE_CUE).alias("update"), R.has(ident, R.UNSURE_CUE).alias("unsure"),
         F.col("family").isin("explicit_qa_selection", "corroborated_exact_config").alias("exact"),
     ).where("subject_id <> ''")
-    features = features.withColumn("truth_id", T.canonical_id("truth", VERSION, F.col("project_id"), F.col("kind"), F.col("subject_id"), F.col("atom_id")))
-    ordered = features.repartition("project_id", "kind").sortWithinPartitions("project_id", "kind", "conv_id", "sequence", "index", "atom_id")
-    writes = ordered.mapInPandas(_folded, _FOLDED)
+    return features.withColumn("truth_id", T.canonical_id("truth", VERSION, F.col("project_id"), F.col("kind"), F.col("subject_id"), F.col("atom_id")))
+
+
+def fold_step(features: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """What statements write, in order (ord): truths they make and changes of those they meet. `active`, of earlier steps, has features with batch and turn.
+
+    A project's statements of one kind are judged in order, each against the truths that are active then, so one task streams them, sorted, and holds
+    active truths alone. turn is positive where a truth becomes active and -1 where it ends.
+    """
+    none = F.lit(None).cast("bigint")
+    rows = features.withColumns({"batch": none, "turn": none})
+    if active is not None:
+        touched = features.select("project_id", "kind").distinct()
+        rows = rows.unionByName(active.join(touched, ["project_id", "kind"], "left_semi"))
+    rows = rows.repartition("project_id", "kind").withColumn("fresh", F.col("turn").isNull())
+    return rows.sortWithinPartitions("project_id", "kind", "fresh", "batch", "turn", "conv_id", "sequence", "index", "atom_id").mapInPandas(_folded, _FOLDED)
+
+
+def still_active(features: DataFrame, writes: DataFrame, batch: int, active: DataFrame | None = None) -> DataFrame:
+    """The active truths after a step, for the next one."""
+    last = writes.where("turn is not null").groupBy("truth_id").agg(F.max_by("turn", "ord").alias("turn"))
+    new = features.dropDuplicates(["truth_id"]).join(last.where("turn > 0"), "truth_id").withColumn("batch", F.lit(batch).cast("bigint"))
+    return new if active is None else active.join(last, "truth_id", "left_anti").unionByName(new)
+
+
+def truths_of(writes: DataFrame, order=None) -> DataFrame:
+    """One row per truth from all that was written about it, the last by `order` counting."""
+    order = F.col("ord") if order is None else order
     made = [F.max(c).alias(c) for c in ("project_id", "kind", "conv_id", "atom_id", "text", "subject", "value", "polarity", "scope", "confidence", "related", "supersedes")]  # one write alone has them
-    return writes.groupBy("truth_id").agg(*made, F.max_by("status", "ord").alias("status"), F.max_by("relation", F.when(F.col("relation").isNotNull(), F.col("ord"))).alias("relation"))
+    return writes.groupBy("truth_id").agg(*made, F.max_by("status", order).alias("status"), F.max_by("relation", F.when(F.col("relation").isNotNull(), order)).alias("relation"))
+
+
+def fold_truths(atoms: DataFrame) -> DataFrame:
+    """One row per truth: what it says, its last status and relation, the truth it met and the one it replaces.
+
+    An empty table has no truths; repeated statements are truths of their own, the later ones HISTORICAL. `streaming.truths` folds the same a batch at a time.
+    """
+    return truths_of(fold_step(truth_features(atoms)))
 
 
 def block_records(rows: DataFrame, atoms: DataFrame, size: int = 250) -> DataFrame:
