@@ -274,6 +274,27 @@ def residual(a: Column, b: Column) -> Column:
     return T.once(F.struct(a.alias("a"), b.alias("b")), starts)
 
 
+def like_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs of units of one section that share at least `least` of all their terms, the earlier one first, with similarity.
+
+    Such units share one of the first n - least * n + 1 terms of each, terms taken from the section's rarest on, and neither has less than `least` of the other's
+    terms. So units meet on rare terms only, and a long text's pairs grow with those that are alike.
+    """
+    keys = ["doc_id", "section"]
+    posts = rows.select(*keys, F.struct("paragraph", "unit").alias("p"), "n_terms", F.explode("terms").alias("t"))
+    posts = posts.withColumn("df", F.count("*").over(Window.partitionBy(*keys, "t")))
+    each = posts.groupBy(*keys, "p", "n_terms").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("by_df"))  # the terms of one unit
+    prefix = F.slice("by_df", 1, (F.col("n_terms") - F.ceil(F.col("n_terms") * least) + 1).cast("int"))
+    first = each.select(*keys, "p", "n_terms", F.explode(F.filter(prefix, lambda x: x["df"] > 1)).alias("x")).select(*keys, "p", "n_terms", "x.t")
+    a, b = (first.select(*keys, "t", F.col("p").alias(f"p{i}"), F.col("n_terms").alias(f"n{i}")) for i in (1, 2))
+    sizes = F.least("n1", "n2") >= F.greatest("n1", "n2") * least
+    met = a.join(b, [*keys, "t"]).where((F.col("p1") < F.col("p2")) & sizes).select(*keys, "p1", "p2").distinct()
+    side = lambda i: each.select(*keys, F.col("p").alias(f"p{i}"), F.col("n_terms").alias(f"n{i}"), F.col("by_df.t").alias(f"terms{i}"))
+    both = F.size(F.array_intersect("terms1", "terms2"))
+    pairs = met.join(side(1), [*keys, "p1"]).join(side(2), [*keys, "p2"]).withColumn("both", both)
+    return pairs.withColumn("similarity", F.round(F.col("both") / (F.col("n1") + F.col("n2") - F.col("both")), 9)).where(F.col("similarity") >= least).select(*keys, "p1", "p2", "similarity")
+
+
 def change_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of units of one section of a document, the earlier one first, that share terms enough to be versions of each other, with similarity and signals.
 

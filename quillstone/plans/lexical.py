@@ -167,12 +167,7 @@ def q_change_index(docs):
 @query("documents", sql=f"{_PAIRS} select doc_id, section, count(*) as pairs, max(similarity) as best from q1 where similarity >= 0.5 group by all")
 def join_near_dup_section(docs):
     """Of each section, the pairs of like units (half of their terms shared) and the best similarity."""
-    own = units(docs)
-    posts = own.select("doc_id", "section", F.struct("paragraph", "unit").alias("p"), "n_terms", F.explode("terms").alias("t"))
-    a, b = (posts.select("doc_id", "section", "t", F.col("p").alias(f"p{i}"), F.col("n_terms").alias(f"n{i}")) for i in (1, 2))
-    met = a.join(b, ["doc_id", "section", "t"]).where("p1 < p2").groupBy("doc_id", "section", "p1", "p2", "n1", "n2").agg(F.count("*").alias("both"))
-    like = F.round(F.col("both") / (F.col("n1") + F.col("n2") - F.col("both")), 9)
-    return met.withColumn("similarity", like).where("similarity >= 0.5").groupBy("doc_id", "section").agg(F.count("*").alias("pairs"), F.max("similarity").alias("best"))
+    return L.like_pairs(units(docs), 0.5).groupBy("doc_id", "section").agg(F.count("*").alias("pairs"), F.max("similarity").alias("best"))
 
 
 _DOCS = f"with u as (select doc_id, norm, {_SEQ} as seq from (select doc_id, {_SEARCHED} as norm from documents where text is not null))"
