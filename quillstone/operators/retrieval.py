@@ -208,6 +208,40 @@ def sufficiency(found: DataFrame, query: str) -> DataFrame:
     return one.select("score", F.round("coverage", 6).alias("coverage"), "n", state.alias("state"))
 
 
+def job(found: DataFrame, query: str, root: str, created: str, project: str | None = None, limit: int = 24) -> DataFrame:
+    """One row: a question with all that an answer may rest on: its bundle's hashes, the ids of its evidence in rank order, how far these carry, and the route that is taken where they don't.
+
+    `created` is part of the id, so one question asked twice makes two jobs. A question without words is an error; one without evidence has empty lists.
+    """
+    p, c = plan(query, limit), F.col
+    if not p.query:
+        raise ValueError("a job needs a question")
+    place = F.array_sort(F.collect_list(F.struct((-c("score")).alias("s"), "record_id", "table_name", "evidence_id")))  # at most 256 pieces
+    pieces = found.agg(place.alias("x")).select(F.col("x.evidence_id").alias("evidence_ids"), F.col("x.record_id").alias("record_ids"))
+    enough = sufficiency(found, query).select(c("score").alias("sufficiency"), c("state").alias("sufficiency_state"))
+    box = databox(found, query, root, project).select(c("id").alias("databox_id"), c("hash").alias("databox_hash"), "evidence_hash", "n_evidence", "route")
+    one = box.crossJoin(enough).crossJoin(pieces)  # three single rows
+    lacks = c("sufficiency_state") != "SUFFICIENT"
+    one = one.withColumns({
+        "question": F.lit(p.query), "project_id": F.lit(project).cast("string"), "memory_root": F.lit(root), "created": F.lit(created), "candidate_cap": F.lit(p.candidates), "used_fallback": lacks,
+        "fallback": F.when(lacks | (c("route") != "B_250_CHUNK"), "B_250_CHUNK"), "job_id": T.canonical_id("job", "2", F.lit(root), F.lit(p.query), F.lit(project or ""), c("databox_hash"), F.lit(created)),
+    })
+    fields = ("job_id", "created", "question", "project_id", "memory_root", "databox_hash", "evidence_hash", "route", "fallback", "candidate_cap", "sufficiency", "sufficiency_state")
+    line = F.concat_ws(T.SEPARATOR, *(F.coalesce(c(f).cast("string"), F.lit("")) for f in fields), F.array_join("evidence_ids", ","))
+    return one.withColumn("hash", F.sha2(line.cast("binary"), 256))
+
+
+def job_answers(jobs: DataFrame, cited: DataFrame) -> DataFrame:
+    """Answers (answer_id, job_id, evidence_id, a row for each citation) against their jobs: answer_id, n_cited, n_outside (not among the job's evidence), status PASS or FAIL.
+
+    An answer without any citation (a null evidence_id) and one to a job that isn't known fail.
+    """
+    allowed = jobs.select("job_id", F.explode("evidence_ids").alias("evidence_id")).distinct().withColumn("allowed", F.lit(True))
+    rows = cited.select("answer_id", "job_id", "evidence_id").distinct().join(allowed, ["job_id", "evidence_id"], "left")
+    one = rows.groupBy("answer_id").agg(F.count("evidence_id").alias("n_cited"), F.count_if(F.col("evidence_id").isNotNull() & F.col("allowed").isNull()).alias("n_outside"))
+    return one.withColumn("status", F.when((F.col("n_cited") > 0) & (F.col("n_outside") == 0), "PASS").otherwise("FAIL"))
+
+
 def local_chunk(norm: Column, start: Column, end: Column, cap: int = 250) -> Column:
     """struct(text, first, count): `cap` tokens of normalised text around the token at the middle of start and end; all of a shorter text."""
     tokens = F.split(norm, " ")

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import conversations as C
 from ..operators import retrieval as V
 from .projection import _T, AS_OF, tables
-from .reference import _MESSAGES, _NORM, QUERIES, query
+from .reference import _MESSAGES, _NORM, ORACLES, QUERIES, query
 from .truths import rx
 
 ASKED, PROJECT, ROOT = "what changed in thing and oning", "p3", "root"
@@ -172,6 +172,19 @@ def agg_sufficiency(docs, conversations):
     return V.sufficiency(V.retrieve(records(docs, conversations), ASKED), ASKED)
 
 
+_ENOUGH = ORACLES["agg_sufficiency"].removeprefix(sql_retrieve(ASKED)).rpartition("select score,")[0]
+_JOB_TABLES = ("truths", "atoms", "messages")
+
+
+@query("documents", "conversations", sql=f"""{sql_retrieve(ASKED, only=f"table_name in {_JOB_TABLES}")}{_ENOUGH}, li as (select coalesce(string_agg(record_id, ',' order by score desc, record_id, table_name), '') as records from res)
+select '{_P.query}' as question, '{_P.route}' as route, {_P.candidates} as candidate_cap, n as n_evidence, score as sufficiency, score < 0.72 as used_fallback, case when score < 0.72 or '{_P.route}' <> 'B_250_CHUNK' then 'B_250_CHUNK' end as fallback, records from sc, li""")
+def q_job(docs, conversations):
+    """A question as a job, over statements, truths and messages; its ids and hashes are held by tests."""
+    found = V.retrieve(records(docs, conversations), ASKED, tables=list(_JOB_TABLES))
+    own = V.job(found, ASKED, ROOT, AS_OF).withColumn("records", F.array_join("record_ids", ","))
+    return own.select("question", "route", "candidate_cap", "n_evidence", "sufficiency", "used_fallback", "fallback", "records")
+
+
 def _od(c: str, n: str) -> str:
     split = rf"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}_-]+'), lambda x: length(x) >= 2)"
     return f"array_to_string(list_filter({split}, lambda x, i: list_position({split}, x) = i)[1:{n}], ' ')"
