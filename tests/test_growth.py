@@ -11,3 +11,10 @@ def test_simhash_moves_terms_and_no_sums(spark):
     rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"])], "k long, terms array<string>")
     made = plan(L.simhash(rows, "k", "terms"))
     assert "Join" not in made and "REPARTITION_BY_COL" in made  # 64 sums of each row and partition were shuffled
+
+
+def test_hamming_never_broadcasts_changed_bands(spark):
+    rows = spark.createDataFrame([(50, 0), (1, 7), (2, -1)], "doc_id long, signature long")
+    found = L.hamming_matches(rows.where("doc_id % 50 = 0"), rows, "doc_id")
+    assert "BroadcastHashJoin" not in plan(found)
+    assert {(r.asked, r.found, r.distance) for r in found.collect()} == {(50, 50, 0), (50, 1, 3)}
