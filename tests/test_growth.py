@@ -18,3 +18,11 @@ def test_hamming_never_broadcasts_changed_bands(spark):
     found = L.hamming_matches(rows.where("doc_id % 50 = 0"), rows, "doc_id")
     assert "BroadcastHashJoin" not in plan(found)
     assert {(r.asked, r.found, r.distance) for r in found.collect()} == {(50, 50, 0), (50, 1, 3)}
+
+
+def test_shingles_meet_on_the_rarest_of_an_asked_row(spark):
+    texts = [(i, ["common", f"x{i}", f"y{i}"]) for i in range(1, 60)] + [(100, ["common", "x1", "y1", "z"])]
+    rows = spark.createDataFrame(texts, "doc_id long, shingles array<string>")
+    found = L.shingle_matches(rows.where("doc_id in (1, 100)"), rows, "doc_id")
+    assert {(r.asked, r.found, r.similarity) for r in found.collect()} == {(1, 100, 0.75), (100, 1, 0.75)}
+    assert "array_intersect" in plan(found)  # all pairs of the common shingle were counted
