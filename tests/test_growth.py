@@ -26,3 +26,11 @@ def test_shingles_meet_on_the_rarest_of_an_asked_row(spark):
     found = L.shingle_matches(rows.where("doc_id in (1, 100)"), rows, "doc_id")
     assert {(r.asked, r.found, r.similarity) for r in found.collect()} == {(1, 100, 0.75), (100, 1, 0.75)}
     assert "array_intersect" in plan(found)  # all pairs of the common shingle were counted
+
+
+def test_contexts_are_dealt_once_a_level(spark):
+    docs = spark.createDataFrame([(1, "a b c d e a b c x"), (2, "b")], "doc_id long, text string")
+    found = L.next_terms(docs)
+    assert plan(found).count("keys=[order") == 0  # each order was shuffled by its term, then again by its context
+    want = {(2, "a b", "c", 2, 1), (3, "a b c", "d", 1, 1), (3, "a b c", "x", 1, 2), (0, "", "b", 3, 1), (1, "b", "c", 2, 1)}
+    assert want <= {tuple(r) for r in found.select("order", "context", "next_term", "n", "rank").collect()}
