@@ -1,5 +1,7 @@
 """Plans whose shuffled or broadcast rows outgrew the input."""
 
+from pyspark.sql import functions as F
+
 from quillstone.operators import lexical as L
 
 
@@ -34,3 +36,11 @@ def test_contexts_are_dealt_once_a_level(spark):
     assert plan(found).count("keys=[order") == 0  # each order was shuffled by its term, then again by its context
     want = {(2, "a b", "c", 2, 1), (3, "a b c", "d", 1, 1), (3, "a b c", "x", 1, 2), (0, "", "b", 3, 1), (1, "b", "c", 2, 1)}
     assert want <= {tuple(r) for r in found.select("order", "context", "next_term", "n", "rank").collect()}
+
+
+def test_guesses_travel_no_further_than_their_join(spark):
+    rows = L.ngram_contexts(spark.createDataFrame([(1, "a b c. a b d.")], "doc_id long, text string"))
+    found = L.predictions(rows, L.predictor(rows))
+    assert {(r.term, r.order) for r in found.where("place = 0 or order is null").collect()} == set()
+    assert found.agg(F.sum("n")).first()[0] == rows.count()
+    assert "g3" not in plan(found)
