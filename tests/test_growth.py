@@ -44,3 +44,19 @@ def test_guesses_travel_no_further_than_their_join(spark):
     assert {(r.term, r.order) for r in found.where("place = 0 or order is null").collect()} == set()
     assert found.agg(F.sum("n")).first()[0] == rows.count()
     assert "g3" not in plan(found)
+
+
+def test_units_are_made_once(spark):
+    """Each was made twice and its normal form up to five times: by the two sides of a join, or by a filter that went below the units."""
+    docs = spark.createDataFrame([(1, "One thing. " * 40), (2, "other words"), (3, "Other  words!"), (4, None)], "doc_id long, text string")
+    rows = L.units(L.sections(L.paragraphs(docs)))
+    once, twice = L.unique_units(rows), L.duplicates(rows, L.family_key(F.col("norm")))
+    assert "Join" not in plan(once) and {r.doc_id for r in once.collect()} == set()
+    assert "Filter" not in plan(twice).split("Generate explode(filter")[1].split("Generate posexplode")[0]
+    assert ("other words|other words|0", 2, 2) in {(r.key, r.n, r.first_doc) for r in twice.collect()}
+
+
+def test_long_texts_are_no_headings_and_their_words_not_counted(spark):
+    texts = ["Part " + "x " * 400, "Part one", "word " * 30 + "one. Two.", "w " * 18 + "x" * 400 + ". y", "a. b. " * 3 + "x" * 400]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", L.heading_like(F.col("t")).alias("h"), L.stays_whole(F.col("t"), F.lit(False)).alias("w"))
+    assert [(r.h, r.w) for r in rows.orderBy("i").collect()] == [(False, True), (True, True), (False, True), (False, True), (False, True)]
