@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,24 +49,60 @@ def fingerprints(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id").distinct().join(content, "conv_id", "left").join(named, "conv_id", "left").select("conv_id", F.coalesce("content", none).alias("content"), F.coalesce("names", none).alias("names"))
 
 
-def overlap(a: Column, b: Column) -> Column:
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_distinct(a))).otherwise(0.0)
-
-
-def project_scores(prints: DataFrame, projects: DataFrame) -> DataFrame:
-    """Conversations against the projects they share a word or a name with: project_id, score, shared words. Projects have terms and names.
-
-    No pair without a common word is made; titles are taken for generic, so content, names and exact names count.
+#: Blocks that projects are dealt to, and lanes that conversations are; a task holds one of either. A block of 20,000 projects takes about 20 MB.
+BLOCKS, LANES = 4, 64
+
+
+def _best_two(rows: pd.DataFrame, projects: pd.DataFrame) -> pd.DataFrame:
+    """The two best of a block's projects for each conversation of a lane, of those with a word or a name in common: counts of common words are sums over the places of a word, so no pair is a row."""
+    ids, out = sorted(projects["project_id"]), []
+    at = {p: i for i, p in enumerate(ids)}
+    places: tuple[dict, dict] = {}, {}
+    n_terms, n_names = np.zeros(len(ids)), np.zeros(len(ids))
+    for p, terms, names_ in zip(projects["project_id"], projects["terms"], projects["names"], strict=True):
+        for words, found, size in ((set(terms), places[0], n_terms), (set(names_), places[1], n_names)):
+            size[at[p]] = len(words)
+            for w in words:
+                found.setdefault(w, []).append(at[p])
+    index = tuple({w: np.array(x) for w, x in found.items()} for found in places)
+
+    def common(words, k):
+        hits = [index[k][w] for w in words if w in index[k]]
+        return np.bincount(np.concatenate(hits), minlength=len(ids)) if hits else np.zeros(len(ids), np.int64)
+
+    for conv, content, names_ in zip(rows["conv_id"], rows["content"], rows["names"], strict=True):
+        first, most, every, named = set(content[:12]), set(content[:20]), set(content), set(names_)
+        n12 = common(first, 0)
+        n20 = n12 + common(most - first, 0)
+        shared = n20 + common(every - most, 0)
+        n_named = common(named, 1)
+        exact = n_named + common(every - named, 1) > 0
+        met = exact | (shared > 0) | (common(named - every, 0) > 0)
+        if not met.any():
+            continue
+        union, union_named = len(most) + n_terms - n20, len(named) + n_names - n_named
+        evidence = np.maximum(n20 / np.maximum(union, 1), n12 / max(len(first), 1))
+        score = 0.46 * evidence + 0.18 * (n_named / np.maximum(union_named, 1)) + 0.12 * exact
+        score = np.where(met, np.round(np.clip(score, 0.0, 1.0), 9), -1.0)
+        for _ in range(2):  # of equal scores the smallest id is the first
+            i = int(score.argmax())
+            if score[i] >= 0:
+                out.append((conv, ids[i], float(score[i]), int(shared[i])))
+                score[i] = -1.0
+    return pd.DataFrame(out, columns=["conv_id", "project_id", "score", "shared"])
+
+
+def project_scores(prints: DataFrame, projects: DataFrame, blocks: int = BLOCKS, lanes: int = LANES) -> DataFrame:
+    """Of the projects that a conversation shares a word or a name with, the two best of each block: project_id, score, shared words. Projects have an id of their own, terms and names.
+
+    Every conversation meets every project, in the tasks: what is shuffled and kept grows with either side and not with their product. Titles are taken for generic, so content, names and exact names count.
     """
-    own = prints.withColumn("all", F.array_union("content", "names"))
-    posts = projects.select("project_id", F.explode(F.array_union("terms", "names")).alias("w"))
-    met = own.select("conv_id", F.explode("all").alias("w")).join(posts, "w").select("conv_id", "project_id").distinct()
-    pairs = met.join(own, "conv_id").join(projects.select("project_id", "terms", F.col("names").alias("project_names")), "project_id")
-    c = F.col
-    evidence = F.greatest(T.jaccard(F.slice("content", 1, 20), c("terms")), overlap(F.slice("content", 1, 12), c("terms")))
-    exact = F.when(F.arrays_overlap("all", "project_names"), 1.0).otherwise(0.0)
-    score = 0.46 * evidence + 0.18 * T.jaccard(c("names"), c("project_names")) + 0.12 * exact
-    return pairs.select("conv_id", "project_id", F.round(T.clamp(score), 9).alias("score"), F.size(F.array_intersect("content", "terms")).alias("shared"))
+    block, lane = F.explode(F.array(*map(F.lit, range(blocks)))).alias("block"), F.explode(F.array(*map(F.lit, range(lanes)))).alias("lane")
+    own = prints.select("conv_id", "content", "names", block, F.pmod(F.xxhash64("conv_id"), F.lit(lanes)).cast("int").alias("lane"))
+    theirs = projects.select("project_id", "terms", "names", F.pmod(F.xxhash64("project_id"), F.lit(blocks)).cast("int").alias("block"), lane)
+    types = {f.name: f.dataType.simpleString() for f in (*prints.schema, *projects.schema)}
+    keys = ["block", "lane"]
+    return own.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInPandas(_best_two, f"conv_id {types['conv_id']}, project_id {types['project_id']}, score double, shared int")
 
 
 def matched(scores: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillstone.operators import lexical as L
+from quillstone.operators import projects as P
 
 
 def plan(df) -> str:
@@ -60,3 +61,26 @@ def test_long_texts_are_no_headings_and_their_words_not_counted(spark):
     texts = ["Part " + "x " * 400, "Part one", "word " * 30 + "one. Two.", "w " * 18 + "x" * 400 + ". y", "a. b. " * 3 + "x" * 400]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", L.heading_like(F.col("t")).alias("h"), L.stays_whole(F.col("t"), F.lit(False)).alias("w"))
     assert [(r.h, r.w) for r in rows.orderBy("i").collect()] == [(False, True), (True, True), (False, True), (False, True), (False, True)]
+
+
+def test_projects_are_met_without_pairs(spark):
+    """Each pair of a conversation and a project with a word in common was a row, joined twice."""
+    prints = [(i, ["common", *(f"w{i % 7}{j}" for j in range(i % 15))], [f"n{i % 5}"] if i % 3 else []) for i in range(60)] + [(60, [], [])]
+    rows = spark.createDataFrame(prints, "conv_id long, content array<string>, names array<string>")
+    projects = rows.where("conv_id % 10 = 0").select(F.concat(F.lit("p"), "conv_id").alias("project_id"), F.slice("content", 1, 12).alias("terms"), F.slice("names", 1, 8).alias("names"))
+    found = P.matched(P.project_scores(rows, projects, 3, 2))
+    assert "Join" not in plan(P.project_scores(rows, projects))
+    want = {}
+    for c, content, names in prints:
+        scored = []
+        for p, words, named in prints[::10]:
+            terms, pn = set(words[:12]), set(named[:8])
+            if {*content, *names} & {*terms, *pn}:
+                like = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+                over = len(set(content[:12]) & terms) / len(set(content[:12])) if content and terms else 0.0
+                score = round(0.46 * max(like(set(content[:20]), terms), over) + 0.18 * like(set(names), pn) + 0.12 * bool({*content, *names} & pn), 9)
+                scored.append((-score, f"p{p}", len(set(content) & terms)))
+        if scored:
+            (s, p, shared), *rest = sorted(scored)
+            want[c] = (p, -s, -s >= 0.14 and shared >= 3 and (not rest or -s >= -rest[0][0] + 0.08))
+    assert {r.conv_id: (r.project_id, r.score, r.accepted) for r in found.collect()} == want
