@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..sources import folders
 from . import records
 
@@ -21,9 +23,47 @@ class Index(NamedTuple):
     frequencies: DataFrame
 
 
+#: What each byte of a text is to its words: lower-cased, or a blank for what parts them (bytes of other alphabets too).
+_FOLDED = np.array([ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 32 for b in range(256)], np.uint8)
+#: Bytes of text that are taken apart at once (one longer text is taken alone), and characters that a word has at least.
+_BYTES, _LEAST = 4 << 20, 3
+
+
+def _chunk(offsets: np.ndarray, folded: np.ndarray) -> pa.ListArray:
+    """Of some texts, given by their folded bytes and where each begins, the words with their numbers."""
+    lists = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(folded)]))
+    words, places = lists.flatten(), pc.list_parent_indices(lists)
+    kept = pc.greater_equal(pc.binary_length(words), _LEAST)
+    named = words.filter(kept).dictionary_encode()
+    kinds = max(1, len(named.dictionary))
+    pairs, n = np.unique(places.filter(kept).to_numpy() * kinds + named.indices.to_numpy(), return_counts=True)
+    said = pa.StructArray.from_arrays([named.dictionary.take(pa.array(pairs % kinds)).cast(pa.string()), pa.array(n.astype(np.int64))], ["term", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs // kinds, np.arange(len(offsets))).astype(np.int32)), said)
+
+
+def _counted(texts: pa.Array) -> pa.Array:
+    """The distinct words of each text with their numbers."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    data, at = texts.buffers()[2] or b"", int(np.frombuffer(texts.buffers()[1], np.int64, 1, texts.offset * 8)[0]) if len(texts) else 0
+    out, first = [], 0
+    while first < len(ends):
+        done = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + _BYTES, "right")))
+        offsets = np.concatenate([[0], ends[first:last] - done]).astype(np.int64)
+        out.append(_chunk(offsets, _FOLDED[np.frombuffer(data, np.uint8, int(offsets[-1]), at + done)]))
+        first = last
+    return pa.concat_arrays(out) if out else _chunk(np.zeros(1, np.int64), np.zeros(0, np.uint8))
+
+
 def postings(rows: DataFrame) -> DataFrame:
-    """(record_id, term, n) of rows with record_id and text. A null or empty text has none."""
-    return rows.select("record_id", F.explode(T.ascii_words(F.col("text"), 3)).alias("term")).groupBy("record_id", "term").agg(F.count("*").alias("n"))
+    """(record_id, term, n) of rows with record_id and text; a record's rows count together. A null or empty text has none, nor has a row without an id.
+
+    Terms are the words of `text.ascii_words`. Texts are dealt by record, so words are made on all cores and counted where they are made: no word is shuffled.
+    """
+    counted = F.arrow_udf(_counted, "array<struct<term:string,n:bigint>>")
+    own = rows.where("record_id is not null").groupBy("record_id").agg(F.array_join(F.collect_list(F.col("text").cast("string")), " ").alias("text"))  # the texts of one record
+    return own.select("record_id", F.inline(counted("text")))
 
 
 def built(rows: DataFrame) -> Index:
@@ -46,7 +86,7 @@ def changes(gone: DataFrame, come: DataFrame) -> DataFrame:
 def updated(index: Index, touched: DataFrame) -> Index:
     """The index after a batch of upserts and deletions (a null text): the old postings of touched records go, new ones come, and only their terms change frequency."""
     last = last_words(touched)
-    ids, come = last.select("record_id"), postings(last)
+    ids, come = touched.where("record_id is not null").select("record_id").distinct(), postings(last)
     gone = index.postings.join(ids, "record_id", "left_semi")
     summed = index.frequencies.union(changes(gone, come)).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
     return Index(index.postings.join(ids, "record_id", "left_anti").union(come), summed)

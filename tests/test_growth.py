@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillstone.operators import lexical as L
+from quillstone.operators import postings as I
 from quillstone.operators import projects as P
 
 
@@ -84,3 +85,12 @@ def test_projects_are_met_without_pairs(spark):
             (s, p, shared), *rest = sorted(scored)
             want[c] = (p, -s, -s >= 0.14 and shared >= 3 and (not rest or -s >= -rest[0][0] + 0.08))
     assert {r.conv_id: (r.project_id, r.score, r.accepted) for r in found.collect()} == want
+
+
+def test_postings_shuffle_texts_and_no_words(spark):
+    """Each word of a record was a row that was shuffled by record and term."""
+    texts = [(1, "One two, one THREE naïve K2x a-b"), (1, "two é"), (2, None), (3, ""), (4, "ab c"), (None, "lost words"), (5, "x" * 9_000_000 + " tail")]
+    rows = I.postings(spark.createDataFrame(texts, "record_id long, text string"))
+    assert "hashpartitioning(record_id" in plan(rows) and not [line for line in plan(rows).splitlines() if "Exchange" in line and "term" in line]
+    got = {(r.record_id, r.term if len(r.term) < 99 else len(r.term), r.n) for r in rows.collect()}
+    assert got == {(1, "one", 2), (1, "two", 2), (1, "three", 1), (1, "k2x", 1), (5, 9_000_000, 1), (5, "tail", 1)}
