@@ -159,27 +159,40 @@ def search_mode(records: DataFrame, query: str, mode: str) -> DataFrame:
     return found.where("status = 'CURRENT'") if mode == "current" else found.where("status is null or status <> 'CURRENT'") if mode == "history" else found
 
 
+def _evidence_columns() -> dict[str, Column]:
+    c = F.col
+    return {
+        "evidence_id": c("evidence_id"), "type": c("table_name"), "record_id": c("record_id"), "text": T.normalize_text(F.coalesce("text", F.lit(""))), "project_id": c("project_id"), "source_id": c("source_id"),
+        "message_id": F.when(c("table_name") == "messages", c("record_id")), "truth_status": F.when(c("table_name") == "truths", c("status")), "updated_at": c("updated_at"), "score": c("score"), "hash": c("hash"),
+    }
+
+
 def evidence(found: DataFrame) -> DataFrame:
     """What a bundle says of each piece."""
-    c = F.col
-    return found.select(
-        "evidence_id", c("table_name").alias("type"), "record_id", T.normalize_text(F.coalesce("text", F.lit(""))).alias("text"), "project_id", "source_id", F.when(c("table_name") == "messages", c("record_id")).alias("message_id"),
-        F.when(c("table_name") == "truths", c("status")).alias("truth_status"), "updated_at", "score", "hash",
-    )
+    return found.select(*(column.alias(name) for name, column in _evidence_columns().items()))
+
+
+def _bundled() -> list[Column]:
+    """Aggregates of a bundle over its evidence in rank order."""
+    c, e = F.col, _evidence_columns()
+    line = F.concat_ws(T.SEPARATOR, *(F.coalesce(e[x].cast("string"), F.lit("")) for x in ("evidence_id", "type", "text", "project_id", "source_id", "message_id", "truth_status", "updated_at")))
+    return [
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-c("score")).alias("s"), "record_id", line.alias("line")))), lambda x: x["line"]), "|").cast("binary"), 256).alias("evidence_hash"),
+        F.count("*").alias("n_evidence"), F.count_distinct(F.when(c("source_id") != "", c("source_id"))).alias("sources"), F.count_if(e["truth_status"] == "CURRENT").alias("current_truths"), F.count_if(e["truth_status"] == "CONFLICTING").alias("conflicts"),
+    ]
+
+
+def _hashed(one: DataFrame, query: str, root: str, project: str | None) -> DataFrame:
+    """A bundle's aggregates with its id, query, route and hash."""
+    p = plan(query)
+    head = [F.lit(x) for x in (root, p.query, project or "", p.route)]
+    one = one.withColumns({"query": head[1], "route": head[3], "id": T.canonical_id("databox", "1", *head, F.col("evidence_hash"))})
+    return one.withColumn("hash", F.sha2(F.concat_ws(T.SEPARATOR, "id", *head, "evidence_hash", *(F.col(x).cast("string") for x in ("sources", "current_truths", "conflicts"))).cast("binary"), 256))
 
 
 def databox(found: DataFrame, query: str, root: str, project: str | None = None) -> DataFrame:
     """One row: the bundle's id, counts and hashes over its evidence (at most 256 pieces) in rank order."""
-    p, c = plan(query), F.col
-    line = F.concat_ws(T.SEPARATOR, *(F.coalesce(F.col(x).cast("string"), F.lit("")) for x in ("evidence_id", "type", "text", "project_id", "source_id", "message_id", "truth_status", "updated_at")))
-    e = evidence(found).withColumn("line", line)
-    one = e.agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-c("score")).alias("s"), "record_id", "line"))), lambda x: x["line"]), "|").cast("binary"), 256).alias("evidence_hash"),
-        F.count("*").alias("n_evidence"), F.count_distinct(F.when(c("source_id") != "", c("source_id"))).alias("sources"), F.count_if(c("truth_status") == "CURRENT").alias("current_truths"), F.count_if(c("truth_status") == "CONFLICTING").alias("conflicts"),
-    )
-    head = [F.lit(x) for x in (root, p.query, project or "", p.route)]
-    one = one.withColumns({"query": head[1], "route": head[3], "id": T.canonical_id("databox", "1", *head, c("evidence_hash"))})
-    return one.withColumn("hash", F.sha2(F.concat_ws(T.SEPARATOR, "id", *head, "evidence_hash", *(c(x).cast("string") for x in ("sources", "current_truths", "conflicts"))).cast("binary"), 256))
+    return _hashed(found.agg(*_bundled()), query, root, project)
 
 
 def verified(box: DataFrame, found: DataFrame, query: str, root: str, project: str | None = None) -> DataFrame:
@@ -188,24 +201,35 @@ def verified(box: DataFrame, found: DataFrame, query: str, root: str, project: s
     return box.crossJoin(again).select("id", ((F.col("id") == F.col("id2")) & (F.col("evidence_hash") == F.col("e2")) & (F.col("hash") == F.col("h2"))).alias("whole"))  # two single rows
 
 
-def sufficiency(found: DataFrame, query: str) -> DataFrame:
-    """One row: how far a query's evidence carries an answer (score, coverage, n, state)."""
+def _placed(found: DataFrame) -> DataFrame:
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "record_id", "table_name"))  # at most 256 rows
+    return found.withColumns({"place": place, "low": F.lower(T.normalize_text(F.coalesce("text", F.lit(""))))})
+
+
+def _carried(query: str) -> list[Column]:
+    """Aggregates of a query's sufficiency over its placed evidence."""
     terms, c = plan(query).terms, F.col
     terms = list(dict.fromkeys(t for t in re.split(r"[^\w-]+", query.lower()) if len(t) >= 2))[:32] if terms else []
-    place = F.row_number().over(Window.orderBy(F.desc("score"), "record_id", "table_name"))  # at most 256 rows
-    rows = found.withColumns({"place": place, "low": F.lower(T.normalize_text(F.coalesce("text", F.lit(""))))})
     covered = sum((F.max(F.when((c("place") <= 12) & c("low").contains(t), 1).otherwise(0)) for t in terms), F.lit(0))
     trust = F.coalesce("confidence", F.least(c("score") / 6, F.lit(1.0)))
-    one = rows.agg(
+    return [
         (F.coalesce(covered, F.lit(0)) / max(1, len(terms)) if terms else F.lit(1.0)).alias("coverage"), F.count("*").alias("n"), F.coalesce(F.avg(F.when(c("place") <= 4, trust)), F.lit(0.0)).alias("semantic"),
         F.coalesce(F.bool_or((c("table_name") == "truths") & (c("status") == "CURRENT")), F.lit(False)).alias("current"), F.coalesce(F.bool_or(c("status").isin("CONFLICTING", "PENDING_REVIEW")), F.lit(False)).alias("conflict"),
         F.coalesce(F.max("score"), F.lit(0.0)).alias("best"),
-    )
-    bonus = lambda condition: F.when(condition, 0.08).otherwise(0.0)
+    ]
+
+
+def _judged(one: DataFrame) -> DataFrame:
+    """These aggregates with score and state."""
+    c, bonus = F.col, lambda condition: F.when(condition, 0.08).otherwise(0.0)
     score = c("coverage") * 0.46 + c("semantic") * 0.28 + F.least(c("n") / 4, F.lit(1.0)) * 0.14 + bonus(c("current")) + bonus(c("best") >= 4) - bonus(c("conflict"))
     one = one.withColumn("score", F.round(T.clamp(score), 6))
-    state = F.when(c("score") >= 0.72, "SUFFICIENT").when(c("score") >= 0.5, "AMBIGUOUS").otherwise("INSUFFICIENT")
-    return one.select("score", F.round("coverage", 6).alias("coverage"), "n", state.alias("state"))
+    return one.withColumn("state", F.when(c("score") >= 0.72, "SUFFICIENT").when(c("score") >= 0.5, "AMBIGUOUS").otherwise("INSUFFICIENT"))
+
+
+def sufficiency(found: DataFrame, query: str) -> DataFrame:
+    """One row: how far a query's evidence carries an answer (score, coverage, n, state)."""
+    return _judged(_placed(found).agg(*_carried(query))).select("score", F.round("coverage", 6).alias("coverage"), "n", "state")
 
 
 def job(found: DataFrame, query: str, root: str, created: str, project: str | None = None, limit: int = 24) -> DataFrame:
@@ -216,11 +240,12 @@ def job(found: DataFrame, query: str, root: str, created: str, project: str | No
     p, c = plan(query, limit), F.col
     if not p.query:
         raise ValueError("a job needs a question")
-    place = F.array_sort(F.collect_list(F.struct((-c("score")).alias("s"), "record_id", "table_name", "evidence_id")))  # at most 256 pieces
-    pieces = found.agg(place.alias("x")).select(F.col("x.evidence_id").alias("evidence_ids"), F.col("x.record_id").alias("record_ids"))
-    enough = sufficiency(found, query).select(c("score").alias("sufficiency"), c("state").alias("sufficiency_state"))
-    box = databox(found, query, root, project).select(c("id").alias("databox_id"), c("hash").alias("databox_hash"), "evidence_hash", "n_evidence", "route")
-    one = box.crossJoin(enough).crossJoin(pieces)  # three single rows
+    pieces = F.array_sort(F.collect_list(F.struct((-c("score")).alias("s"), "record_id", "table_name", "evidence_id"))).alias("x")  # at most 256 pieces
+    one = _judged(_hashed(_placed(found).agg(*_bundled(), *_carried(query), pieces), query, root, project))  # the evidence is found once
+    one = one.select(
+        c("id").alias("databox_id"), c("hash").alias("databox_hash"), "evidence_hash", "n_evidence", "route", c("score").alias("sufficiency"), c("state").alias("sufficiency_state"),
+        c("x.evidence_id").alias("evidence_ids"), c("x.record_id").alias("record_ids"),
+    )
     lacks = c("sufficiency_state") != "SUFFICIENT"
     one = one.withColumns({
         "question": F.lit(p.query), "project_id": F.lit(project).cast("string"), "memory_root": F.lit(root), "created": F.lit(created), "candidate_cap": F.lit(p.candidates), "used_fallback": lacks,

@@ -52,10 +52,15 @@ def atomize(conversations: DataFrame, projects: int = 7) -> DataFrame:
     )
 
 
-def truth_candidates(atoms: DataFrame) -> DataFrame:
-    """Statements that may become truths: a user's, of four kinds, with no blocking family."""
+def may_be_truth():
+    """Whether a statement may become a truth: a user's, of four kinds, with no blocking family."""
     blocked = F.col("blocked") | F.arrays_overlap("rule_trace", F.array(*(F.lit(f"strict_truth:{b}") for b in R.BLOCKING)))
-    return atoms.where(~blocked & (F.col("role") == "user") & F.col("kind").isin(*R.TRUTH_KINDS) & (F.coalesce("project_id", F.lit("")) != ""))
+    return ~blocked & (F.col("role") == "user") & F.col("kind").isin(*R.TRUTH_KINDS) & (F.coalesce("project_id", F.lit("")) != "")
+
+
+def truth_candidates(atoms: DataFrame) -> DataFrame:
+    """Statements that may become truths."""
+    return atoms.where(may_be_truth())
 
 
 _FOLDED = (

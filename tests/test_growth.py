@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quillstone.operators import lexical as L
 from quillstone.operators import postings as I
 from quillstone.operators import projects as P
+from quillstone.plans import catalogue
 
 
 def plan(df) -> str:
@@ -94,3 +95,9 @@ def test_postings_shuffle_texts_and_no_words(spark):
     assert "hashpartitioning(record_id" in plan(rows) and not [line for line in plan(rows).splitlines() if "Exchange" in line and "term" in line]
     got = {(r.record_id, r.term if len(r.term) < 99 else len(r.term), r.n) for r in rows.collect()}
     assert got == {(1, "one", 2), (1, "two", 2), (1, "three", 1), (1, "k2x", 1), (5, 9_000_000, 1), (5, "tail", 1)}
+
+
+def test_a_job_finds_its_evidence_once(spark):
+    """Its bundle, sufficiency and ids each found it anew, and statements were made for themselves and for truths: six times in all."""
+    made = plan(catalogue.QUERIES["q_job"](spark, "/root/testdata/sf0.001"))
+    assert made.count("Generate posexplode") == 1
