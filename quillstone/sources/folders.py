@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +42,29 @@ def upto(spark: SparkSession, folder: str, n: int, after: int = -1) -> DataFrame
 def drop(spark: SparkSession, path: str) -> None:
     fs, p = _path(spark, path)
     fs.delete(p, True)
+
+
+_MADE: dict[str, list[str]] = {}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table that is made once and read by all that follows, in a folder of its own under spark.checkpoint.dir, which driver and executors share; it stays until `release`.
+
+    Where that is unset, local mode takes a temporary folder and a cluster gives an error.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quillstone-")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that `written` has made in this application; results that aren't written elsewhere can't be read after it."""
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        drop(spark, path)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quillstone.operators import lexical as L
 from quillstone.operators import postings as I
 from quillstone.operators import projects as P
-from quillstone.plans import catalogue
+from quillstone.plans import catalogue, projection
 
 
 def plan(df) -> str:
@@ -101,3 +101,15 @@ def test_a_job_finds_its_evidence_once(spark):
     """Its bundle, sufficiency and ids each found it anew, and statements were made for themselves and for truths: six times in all."""
     made = plan(catalogue.QUERIES["q_job"](spark, "/root/testdata/sf0.001"))
     assert made.count("Generate posexplode") == 1
+
+
+def test_items_make_statements_once(spark):
+    """Each kind of item made all statements and truths from the conversations again."""
+    made = plan(projection._items(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")))
+    assert "conversations.parquet" not in made
+
+
+def test_before_looks_beyond_a_conversation(spark):
+    """Statements of a project were sorted in one task to find the one before each."""
+    rows = spark.createDataFrame([("p1", 1, 0, 0, "a"), ("p1", 1, 0, 1, "b"), ("p1", 1, 2, 0, "c"), ("p1", 8, 1, 0, "d"), ("p1", 15, 0, 0, "e"), ("p2", 2, 0, 0, "f")], "project_id string, conv_id long, sequence int, index int, atom_id string")
+    assert {r.atom_id: r.before for r in projection.placed_after(rows).collect()} == {"a": None, "b": "a", "c": "b", "d": "c", "e": "d", "f": None}
