@@ -83,3 +83,15 @@ def test_changes_against_lists(said, monkeypatch, leaving):
     got = [tuple(r) for r in L.changes(rows).collect()]
     assert len(got) == len(want) > 300 and set(got) == want and len({r[6] for r in got}) == len(S.KINDS)
     assert "Join" not in L.changes(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_asked_changes_cut_only_texts_with_a_side(said, monkeypatch):
+    """All texts were cut into units and met for a change of numbers, which texts without digits can't have."""
+    every = L.changes(L.units(said))
+    for asked in ("number changed", "date changed", "entity changed", "changed value 1200 -> 5", "changed value b2 to a"):
+        found = L.asked_changes(said, asked)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, L.matching_changes(every, asked).collect()))
+    cut, made = [], L.units
+    monkeypatch.setattr(L, "units", lambda paras: cut.append(paras) or made(paras))
+    assert L.asked_changes(said, "number changed").count() > 0
+    assert 0 < cut[0].count() < said.count() and not cut[0].where("not text rlike '[0-9]'").count()
