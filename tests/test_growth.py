@@ -113,3 +113,18 @@ def test_before_looks_beyond_a_conversation(spark):
     """Statements of a project were sorted in one task to find the one before each."""
     rows = spark.createDataFrame([("p1", 1, 0, 0, "a"), ("p1", 1, 0, 1, "b"), ("p1", 1, 2, 0, "c"), ("p1", 8, 1, 0, "d"), ("p1", 15, 0, 0, "e"), ("p2", 2, 0, 0, "f")], "project_id string, conv_id long, sequence int, index int, atom_id string")
     assert {r.atom_id: r.before for r in projection.placed_after(rows).collect()} == {"a": None, "b": "a", "c": "b", "d": "c", "e": "d", "f": None}
+
+
+def test_a_search_makes_units_once(spark):
+    """All units were made to count the query's terms and made again to be scored, those of texts without a term as well."""
+    texts = ["No hit here.", "Thing one. " * 30, "A.thing\n\nnothing", "things nothing éthing", "THING-x", None, "thing2 2thing thing_"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    paras = L.sections(L.paragraphs(docs))
+    found = L.search(L.units(paras), "thing other", 50)
+    assert "posexplode" not in plan(found)
+    assert {r.doc_id for r in found.collect()} == {1, 2, 3, 4, 6}
+    can = L.may_match(F.col("text"), "thing other")
+    assert {(r.doc_id, r.paragraph) for r in paras.where(can).collect()} == {(1, 0), (2, 0), (3, 0), (4, 0), (6, 0)}
+    assert L.search(L.units(paras.where(can)), "thing other", 50).collect() == found.collect()
+    for query in ("section contains one thing", "heading: thing", "..."):  # these leave units without a term
+        assert paras.where(L.may_match(F.col("text"), query)).count() == paras.count()
